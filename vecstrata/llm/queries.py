@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, packing, rules, simhash
+from . import bpe, decontam, langid, packing, rules, secret_scan, simhash
 from .common import read
 
 
@@ -14,6 +14,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(read(spark, sf_dir, "documents"))
+    return found.withColumn("value_sha256", F.sha2("value", 256)).drop("value")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
@@ -70,7 +75,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op5_language_id, op6_simhash_near_dedup, op7_benchmark_decontamination, op9_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_secret_scans, op5_language_id, op6_simhash_near_dedup, op7_benchmark_decontamination, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict:
