@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, packing, rules, secret_scan, simhash
+from . import bpe, cdc, decontam, langid, packing, quality, rules, secret_scan, simhash
 from .common import read
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -26,6 +30,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.dedup(read(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = bpe.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -75,7 +83,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_secret_scans, op5_language_id, op6_simhash_near_dedup, op7_benchmark_decontamination, op9_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_secret_scans, op5_language_id, op6_simhash_near_dedup, op7_benchmark_decontamination, op8_substring_dedup, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict:

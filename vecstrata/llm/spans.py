@@ -1,0 +1,54 @@
+"""Byte spans of documents: merging them, and cutting them out of the text."""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import arrow_schema, slices
+
+
+def merged(start: np.ndarray, end: np.ndarray, touching: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs covered by the spans; spans that touch are one run."""
+    if not len(start):
+        return start, end
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    head = np.flatnonzero(np.r_[True, start[1:] > reach[:-1] if touching else start[1:] >= reach[:-1]])
+    return start[head], reach[np.r_[head[1:] - 1, len(start) - 1]]
+
+
+def by_document(spans: DataFrame) -> DataFrame:
+    """(uid, spans): the sorted (start, end) of each document's rows (uid, start, end)."""
+    return spans.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
+def cut(tagged: DataFrame, spans: DataFrame, least: int = 1, keep_text: bool = True) -> DataFrame:
+    """Rows (uid, doc_id, text) without the bytes of their spans: doc_id, n_bytes, n_removed,
+    n_spans, kept_sha256, removed (flat starts and ends) [, kept: the bytes that are left].
+    Maximal runs shorter than ``least`` bytes stay."""
+    schema = "doc_id long,n_bytes long,n_removed long,n_spans long,kept_sha256 string,removed array<long>" + ",kept binary" * keep_text
+    arrow = arrow_schema(schema)
+
+    def run(batches):
+        for part in slices(batches):
+            out: list[tuple] = []
+            for doc, text, found in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("spans").to_pylist()):
+                data = (text or "").encode()
+                removed, kept = [], data
+                if found:
+                    a, b = merged(np.array([s["start"] for s in found], np.int64), np.array([s["end"] for s in found], np.int64))
+                    long = b - a >= least
+                    a, b = a[long], b[long]
+                    removed = np.stack([a, b], axis=1).ravel().tolist()
+                    edge = [0, *removed, len(data)]
+                    kept = b"".join(data[x:y] for x, y in zip(edge[::2], edge[1::2]))
+                row = (doc, len(data), len(data) - len(kept), len(removed) // 2, hashlib.sha256(kept).hexdigest(), removed)
+                out.append((*row, kept) if keep_text else row)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), arrow)], schema=arrow)
+
+    return tagged.join(by_document(spans), "uid", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
