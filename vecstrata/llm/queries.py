@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cdc, decontam, langid, packing, quality, rules, secret_scan, simhash
+from . import bpe, cdc, decontam, langid, packing, quality, rules, secret_scan, simhash, suffix
 from .common import read
 
 
@@ -23,6 +23,10 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("value_sha256", F.sha2("value", 256)).drop("value")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(read(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
@@ -83,7 +87,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_secret_scans, op5_language_id, op6_simhash_near_dedup, op7_benchmark_decontamination, op8_substring_dedup, op9_token_counts, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_secret_scans, op4_suffix_array_dedup, op5_language_id, op6_simhash_near_dedup, op7_benchmark_decontamination, op8_substring_dedup, op9_token_counts, op10_quality_rules)}
 
 
 def oracle_sql() -> dict:
