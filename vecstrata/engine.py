@@ -20,7 +20,7 @@ from .operators import hybrid, index, replay
 from .scratch import materialize
 from .sources.store import Store
 from .types import (
-    ATTRIBUTES, DEFAULT_TOP_K, HEADS_SCHEMA, POSTINGS_SCHEMA, STATE_SCHEMA, VERSIONS_SCHEMA, WAL_SCHEMA,
+    ATTRIBUTES, DEFAULT_TOP_K, HEADS_SCHEMA, POSTINGS_SCHEMA, STATE_SCHEMA, VERSIONS_SCHEMA,
     AlreadyExists, DimensionMismatch, IndexConfig, Metric, NotFound, ValidationError, WriteConflict,
 )
 
@@ -90,20 +90,23 @@ class Namespace:
         return docs.select(F.col("id").cast("long").alias("id"), vector.alias("vector"), made.alias("attributes"))
 
     def _append(self, rows: DataFrame) -> int | None:
-        rows = materialize(rows.select(*(f.split(":")[0].split()[0] for f in ("op_idx", "doc_idx", "op", "ts_ms", "id", "vector", "attributes"))), "write")
-        seen = rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("vector")).alias("low"), F.max(F.size("vector")).alias("high"), F.sum(F.col("id").isNull().cast("int")).alias("no_id"), F.sum((F.col("id") < 0).cast("int")).alias("negative")).first()
-        if not seen.n:
-            return None
-        if seen.no_id or seen.negative:
+        """Stage the rows, check what was staged, publish it; nothing is left of a refused call."""
+        aside, staged = self.store.stage(self.name, rows.select("op_idx", "doc_idx", "op", "ts_ms", "id", "vector", "attributes"))
+        size = F.when(F.col("vector").isNotNull(), F.size("vector"))
+        seen = staged.agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("low"), F.max(size).alias("high"), F.min(F.coalesce("id", F.lit(-1))).alias("least_id")).first()
+        held = self.dimensions() if seen.low is not None else None
+        want = held if held is not None else seen.low
+        wrong = next((s for s in (seen.low, seen.high) if s is not None and s != want), None)
+        if not seen.n or seen.least_id < 0 or wrong is not None:
+            self.store.drop_staged(self.name, aside)
+            if not seen.n:
+                return None
+            if wrong is not None:
+                raise DimensionMismatch(f"expected {want} dimensions, got {wrong}")
             raise ValidationError("ids must be integers from 0 to 2^63 - 1")
-        vectors = rows.where("vector IS NOT NULL").agg(F.min(F.size("vector")).alias("low"), F.max(F.size("vector")).alias("high")).first()
-        held = self.dimensions()
-        for size in (vectors.low, vectors.high):
-            if size is not None and size != (held if held is not None else vectors.low):
-                raise DimensionMismatch(f"expected {held if held is not None else vectors.low} dimensions, got {size}")
-        sequence = self.store.append(self.name, rows)
-        if vectors.low is not None and self.meta()["dimensions"] is None:
-            self.store.write_meta(self.name, self.meta() | {"dimensions": vectors.low})
+        sequence = self.store.publish(self.name, aside)
+        if seen.low is not None and self.meta()["dimensions"] is None:
+            self.store.write_meta(self.name, self.meta() | {"dimensions": seen.low})
         return sequence
 
     def write(self, operations: list[tuple[str, DataFrame]]) -> int | None:
@@ -185,13 +188,21 @@ class Namespace:
             if other:
                 raise DimensionMismatch(f"expected {dims} dimensions, got {other[0]}")
         held, last = self._index(), self.last_sequence()
+        since, tail_ops = held["wal_sequence"] if held else 0, None
         if held is None:
             hits = hybrid.hybrid_knn(queries, top_k, metric, documents=self.documents())
         else:
             config = replace(self._config(held), **({"num_search_heads": num_search_heads} if num_search_heads else {}))
-            tail_ops = replay.latest_ops(self.log(held["wal_sequence"])) if last > held["wal_sequence"] else None
+            tail_ops = replay.latest_ops(self.log(since)) if last > since else None
             hits = hybrid.hybrid_knn(queries, top_k, metric, index=held, tail_ops=tail_ops, config=config)
-        return hybrid.hydrate(hits, self.documents(), include_vectors)
+        # queries x k rows: written once, so that only their documents are read and folded
+        hits = materialize(hits, "hits")
+        mine = lambda df: df.join(hits.select("id").distinct(), "id", "left_semi")
+        if held is None:
+            found = replay.latest_documents(mine(self.log()))
+        else:
+            found = mine(held["docs"]) if tail_ops is None else replay.overlay(mine(held["docs"]), replay.latest_ops(mine(self.log(since))))
+        return hybrid.hydrate(hits, found, include_vectors)
 
     # index
 
@@ -260,6 +271,3 @@ class Namespace:
     def check_index(self) -> dict[str, int]:
         held = self._index()
         return index.invariants(held["heads"], held["postings"], held["versions"], self._config(held)) if held else {}
-
-
-LOG_SCHEMA = WAL_SCHEMA
