@@ -82,3 +82,19 @@ def test_run_and_empty_tables(spark, sf, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_edges_and_clashing_columns(spark, sf):
+    names = ["n", "s", "p", "x", "node", "uid", "spans", "component", "n_words", "score", "kept", "path", "site", "value", "start", "piece", "length", "bin", "block"]
+    text = " ".join(f"word{i % 37}" for i in range(60))
+    rows = [(1, text, "en", "src1", 9), (1, text, "en", "src1", 9), (2, None, None, None, None), (3, "", "en", "a/b", 0), (None, text + " more", "en", None, 9), (4, "long " * 60000, "en", "src1", 300000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *(__import__("pyspark.sql.functions", fromlist=["lit"]).lit(1).alias(c) for c in names))
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, sf)
+        got = made.collect()
+        assert made.columns == docs.columns or name == "best_fit_packing"
+        assert len(got) == {"simhash_near_dedup": 3, "best_fit_packing": 5 + sum(r.doc_id == 4 for r in got)}.get(name, len(got))
+        if name in ("benchmark_decontamination", "secret_scans"):
+            assert len(got) == 6
+        assert stage(spark, docs.limit(0), sf).count() == 0

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 #: Rows of each language, and of all, that training may take; longer texts are no training rows.
-TRAIN_PER_LANG, TRAIN_ROWS, TRAIN_CHARS = 600, 6000, 100_000
+TRAIN_PER_LANG, TRAIN_ROWS, TRAIN_CHARS = 600, 6000, 20_000
 BUCKETS, DIM, EPOCHS, BATCH, RATE = 1 << 15, 16, 4, 32, 2.0
 ORDERS = (2, 3, 4)
 #: Share of right answers on held-back segments that rejection may cost.

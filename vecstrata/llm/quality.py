@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,7 +32,7 @@ from ..scratch import materialize
 from .common import slices
 
 #: Labelled documents the fit may take, and the longest text among them.
-FIT_ROWS, FIT_CHARS = 4000, 100_000
+FIT_ROWS, FIT_CHARS = 4000, 30_000
 #: Words of the model: so many at most, each in so many documents of the sample at least.
 WORDS, LEAST_DOCS, LEAST_Z = 1500, 4, 3.5
 #: Log odds of toxicity above which a document is rejected.
@@ -79,54 +78,59 @@ class Head:
         return float(self.bias + said + np.clip((np.asarray(rates) - self.center) / self.scale, -6, 6) @ self.rates)
 
 
-def without_copies(seen: list, least: int = 9) -> list:
-    """Drop near copies from the sample, or each group's rare words would pass for telling
-    ones: rows that share the lowest hashes of their long words, under one of four hashes."""
-    out, known = [], set()
-    for e, y in seen:
-        rare = [w for w in e[0] if len(w) >= least]
-        signs = {(k, *sorted(zlib.crc32(w, k) for w in rare)[:2]) for k in (1, 2, 3, 4)} if len(rare) > 4 else set()
-        if not signs & known:
-            out.append((e, y))
-        known |= signs
-    return out
+def copy_signs(words: set[bytes], least: int = 9) -> set[tuple]:
+    """What near copies share with high chance: the lowest two hashes of the long words,
+    under each of four hash functions; nothing if there are few long words."""
+    rare = [w for w in words if len(w) >= least]
+    return {(k, *sorted(zlib.crc32(w, k) for w in rare)[:2]) for k in (1, 2, 3, 4)} if len(rare) > 4 else set()
 
 
 def fit(rows: list[tuple[str, int]], seed: int = 3) -> Head:
-    """Fit on (text, 0 or 1); a constant yes if only one of the two is there."""
-    seen = without_copies([(e, y) for text, y in rows if (e := evidence(text)) is not None])
-    y = np.array([v for _, v in seen], float)
+    """Fit on (text, 0 or 1); a constant yes if only one of the two is there.
+
+    Near copies count once, or each group's rare words would pass for telling ones.  The
+    sample's words are held as hashes, and named again only where they are chosen."""
+    seen, known = [], set()
+    for at, (text, v) in enumerate(rows):
+        if (e := evidence(text)) is not None:
+            signs = copy_signs(e[0])
+            if not signs & known:
+                seen.append((at, np.fromiter(map(zlib.crc32, e[0]), np.uint32, len(e[0])), e[1], v))
+            known |= signs
+    del known
+    y = np.array([v for *_, v in seen], np.float32)
     if not len(y) or y.min() == y.max():
         return Head(bias=-8.0 if len(y) and y.max() == 0 else 8.0)
-    counts, of_one = Counter(), Counter()
-    for (words, _), v in seen:
-        counts.update(words)
+    share = float(y.mean())
+    hashes, n = np.unique(np.concatenate([h for _, h, _, _ in seen]), return_counts=True)
+    of_one = np.zeros(len(hashes))
+    for _, h, _, v in seen:
         if v:
-            of_one.update(words)
-    share, scored = y.mean(), []
-    for w, n in counts.items():
-        if n >= LEAST_DOCS:
-            z = (of_one[w] - n * share) / np.sqrt(n * share * (1 - share))
-            if abs(z) >= LEAST_Z:
-                scored.append((-abs(z), w))
-    names = [w for _, w in sorted(scored)[:WORDS]]
-    index = {w: i for i, w in enumerate(names)}
-    rates = np.array([r for (_, r), _ in seen])
+            of_one[np.searchsorted(hashes, h)] += 1
+    z = np.abs(of_one - n * share) / np.sqrt(n * share * (1 - share))
+    usable = np.flatnonzero((n >= LEAST_DOCS) & (z >= LEAST_Z))
+    chosen = np.sort(hashes[usable[np.lexsort((hashes[usable], -z[usable]))[:WORDS]]])
+    rates = np.array([r for _, _, r, _ in seen])
     center, scale = rates.mean(axis=0), np.maximum(rates.std(axis=0), 1e-3)
-    x = np.zeros((len(seen), len(names) + RATES))
-    for k, ((words, _), _) in enumerate(seen):
-        x[k, [index[w] for w in words & index.keys()]] = 1
-    x[:, len(names) :] = np.clip((rates - center) / scale, -6, 6)
-    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
-    w, b, m, v = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+    x = np.zeros((len(seen), len(chosen) + RATES), np.float32)
+    names: dict[int, bytes] = {}
+    for k, (at, h, _, _) in enumerate(seen):
+        hit = h[np.isin(h, chosen)]
+        x[k, np.searchsorted(chosen, hit)] = 1
+        if not names.keys() >= set(hit.tolist()):
+            names.update((c, w) for w in evidence(rows[at][0])[0] if (c := zlib.crc32(w)) in set(hit.tolist()))
+    x[:, len(chosen) :] = np.clip((rates - center) / scale, -6, 6)
+    words = [names[c] for c in chosen.tolist()]
+    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+    w, b, m, v = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     for step in range(1, 301):  # Adam over the whole sample
         p = 1 / (1 + np.exp(-(x @ w + b)))
         g = weight * (p - y) / len(y)
         grad = np.r_[x.T @ g + 2e-4 * w, g.sum()]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-        w, b = w - move[:-1], b - move[-1]
-    return Head(dict(zip(names, w[: len(names)].tolist())), w[len(names) :], center, scale, float(b))
+        w, b = (w - move[:-1]).astype(np.float32), float(b - move[-1])
+    return Head(dict(zip(words, w[: len(words)].tolist())), w[len(words) :].astype(float), center, scale, float(b))
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> list:
@@ -170,30 +174,29 @@ def combined(scored: DataFrame, site: str = "source") -> DataFrame:
     without the row) and ``__score`` (the combined probability)."""
     p = F.coalesce(1 / (1 + F.exp(-F.col("__quality"))), F.lit(0.0))
     rows = scored.withColumns({"__p": p, "__host": host_of(F.col(site)) if site in scored.columns else F.lit(""), "__path": path_of(F.col(site)) if site in scored.columns else F.lit("")})
-    paths = materialize(rows.groupBy("__host", "__path").agg(F.count(F.lit(1)).alias("n"), F.sum("__p").alias("s"), F.sum(F.col("__p") ** 2).alias("q")), "path-sums")
-    hosts = paths.groupBy("__host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).first()
+    paths = materialize(rows.groupBy("__host", "__path").agg(F.count(F.lit(1)).alias("__n"), F.sum("__p").alias("__s"), F.sum(F.col("__p") ** 2).alias("__q")), "path-sums")
+    hosts = paths.groupBy("__host").agg(F.sum("__n").alias("__hn"), F.sum("__s").alias("__hs"))
+    total = paths.agg(F.sum("__n").alias("n"), F.sum("__s").alias("s"), F.sum("__q").alias("q")).first()
     n = total.n or 0
     mean = total.s / n if n else 0.5
     spread = max((total.q or 0) / max(n, 1) - mean**2, 1e-6)
 
     def strength(sites: DataFrame, size: str, got: str, prior: Column) -> float:
         """Within-site variance over between-site variance: rows the prior is worth."""
-        seen = sites.where(F.col(size) > 0).agg(F.sum(F.col(size) * (F.col(got) / F.col(size) - prior) ** 2).alias("ss"), F.count(F.lit(1)).alias("k"), F.sum(size).alias("n")).first()
+        seen = sites.agg(F.sum(F.col(size) * (F.col(got) / F.col(size) - prior) ** 2).alias("ss"), F.count(F.lit(1)).alias("k"), F.sum(size).alias("n")).first()
         if not seen.k or seen.k < 2:
             return 1e6
         between = (seen.ss - seen.k * spread) / seen.n
         return float(min(max(spread / max(between, 1e-9), 1.0), 1e6))
 
-    of_host = strength(hosts, "hn", "hs", F.lit(mean))
-    host_mean = (F.col("hs") + of_host * mean) / (F.col("hn") + of_host)  # for a row, below, without the row
-    both = paths.join(hosts, "__host").withColumn("__prior", host_mean)
-    of_path = strength(both, "n", "s", F.col("__prior"))
-    sites = materialize(both.select("__host", "__path", "n", "s", "hn", "hs"), "site-posteriors")
+    of_host = strength(hosts, "__hn", "__hs", F.lit(mean))
+    both = paths.join(hosts, "__host")
+    of_path = strength(both, "__n", "__s", (F.col("__hs") + of_host * mean) / (F.col("__hn") + of_host))
+    sites = materialize(both.select("__host", "__path", "__n", "__s", "__hn", "__hs"), "site-sums")
     met = rows.join(sites, ["__host", "__path"])
-    prior = (F.col("hs") - F.col("__p") + of_host * mean) / (F.col("hn") - 1 + of_host)
-    posterior = (F.col("s") - F.col("__p") + of_path * prior) / (F.col("n") - 1 + of_path)
-    score = 1 / (1 + F.exp(-(F.col("__quality") + _logit(F.col("__site")) - F.lit(float(np.log(min(max(mean, 1e-4), 1 - 1e-4) / (1 - min(max(mean, 1e-4), 1 - 1e-4))))))))
+    prior = (F.col("__hs") - F.col("__p") + of_host * mean) / (F.col("__hn") - 1 + of_host)
+    posterior = (F.col("__s") - F.col("__p") + of_path * prior) / (F.col("__n") - 1 + of_path)
+    score = 1 / (1 + F.exp(-(F.col("__quality") + _logit(F.col("__site")) - _logit(F.lit(float(mean))))))
     return met.withColumn("__site", posterior).withColumn("__score", F.coalesce(score, F.lit(0.0)))
 
 
