@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialize
 from . import spans
-from .common import arrow_schema, slices
+from .common import arrow_schema, bounded, slices
 
 LEAST, BITS, MOST, LEAST_RUN = 32, 5, 1024, 64
 GEAR = np.random.default_rng(9).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -92,7 +92,7 @@ def chunks(tagged: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame, text: str = "text", least_run: int = LEAST_RUN, keep_text: bool = True) -> DataFrame:
     """Every document without its repeated chunks; the columns of ``spans.cut``."""
-    tagged = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("uid")), "tagged")
+    tagged = materialize(bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("uid")), "tagged")
     made = materialize(chunks(tagged.select("uid", "doc_id", "text")), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "start")
     first = made.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("first.uid").alias("u"), F.col("first.start").alias("s"))

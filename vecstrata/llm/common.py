@@ -17,13 +17,25 @@ from pyspark.sql import functions as F
 
 #: Text bytes handled at once by a Python worker; a longer document is a slice of its own.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch on its way to or from a Python worker.
+BATCH_BYTES = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bounded(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session whose Arrow batches to Python hold ``BATCH_BYTES`` at most."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = conf.get(name).rstrip("b")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return docs
+
+
 def doc_text(docs: DataFrame, text: str = "text") -> DataFrame:
+    bounded(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, slices
+from .common import arrow_schema, bounded, slices
 
 WINDOW, BLOCK_BYTES = 13, 32 << 20
 
@@ -89,7 +89,7 @@ def runs(hit: np.ndarray) -> list[int]:
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` (which has doc_id and text) and ``__n_words``, ``__runs``
     (flat starts and ends of hit runs of words) and ``__items`` (the items that occur)."""
-    spark, kept = docs.sparkSession, docs.columns
+    spark, kept = bounded(docs).sparkSession, docs.columns
     out = docs.withColumns({"__n_words": F.lit(0).cast("long"), "__runs": F.array().cast("array<long>"), "__items": F.array().cast("array<string>")})
     schema = out.schema
     extra = arrow_schema("__n_words long,__runs array<long>,__items array<string>")

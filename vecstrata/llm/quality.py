@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .common import slices
+from .common import bounded, slices
 
 #: Labelled documents the fit may take, and the longest text among them.
 FIT_ROWS, FIT_CHARS = 4000, 30_000
@@ -144,7 +144,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, text: str = "text", rows:
 
 def with_evidence(docs: DataFrame, quality: Head, toxic: Head, text: str = "text") -> DataFrame:
     """``docs`` with ``__quality`` and ``__toxic``, log odds by the document alone (null without a word)."""
-    sent = docs.sparkSession.sparkContext.broadcast((quality, toxic))  # WORDS words each
+    sent = bounded(docs).sparkSession.sparkContext.broadcast((quality, toxic))  # WORDS words each
 
     def run(batches):
         for part in slices(batches, text):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .common import slices
+from .common import bounded, slices
 from .graph import components
 
 PIVOTS, SEED = 16, 42
@@ -76,7 +76,7 @@ def fingerprint(text: str | None, shingle: int, words: int = 1) -> bytes:
 
 def with_fingerprint(docs: DataFrame, shingle: int, words: int = 1, text: str = "text") -> DataFrame:
     """``docs`` with the binary column ``__fp``; whole texts, one Arrow pass."""
-    schema = docs.withColumn("__fp", F.lit(None).cast("binary")).schema
+    schema = bounded(docs).withColumn("__fp", F.lit(None).cast("binary")).schema
 
     def run(batches):
         for part in slices(batches, text):
