@@ -51,6 +51,18 @@ def test_links_and_components(spark):
     assert [got.get(i, i) for i in range(len(fps))] == brute_components(fps, 2)
 
 
+def test_hot_buckets_are_taken_apart(spark):
+    rng = np.random.default_rng(6)
+    base = int(rng.integers(0, 1 << 63))
+    fps = sorted({base ^ (1 << int(k)) ^ (1 << int(m)) for k, m in rng.integers(0, 64, (150, 2))} | {int(x) for x in rng.integers(0, 1 << 63, 50)} | {0, 1 << 63, 3})
+    rows = spark.createDataFrame([(i, f.to_bytes(8)) for i, f in enumerate(fps)], "node long, fp binary")
+    got = {r.node: r.component for r in graph.components(simhash.links(rows, 1, 2, 3, limit=20)).collect()}
+    assert [got.get(i, i) for i in range(len(fps))] == brute_components(fps, 2)
+    wide = spark.createDataFrame([(i, bytes(60) + (f % (1 << 30)).to_bytes(4)) for i, f in enumerate(fps)], "node long, fp binary")
+    whole, parted = (graph.components(simhash.links(wide, 8, 40, 32, limit=n)).groupBy("component").count().collect() for n in (10**6, 20))
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, parted))
+
+
 def test_components_of_a_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(50)] + [(7, 7)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -11,7 +11,10 @@ fingerprints are a table; by the triangle inequality two fingerprints can only b
 ``max_bits`` if no coordinate of the table differs by more, and only pairs that pass are
 verified bit by bit.  A bucket is walked breadth first over its rows not yet reached, so a
 group of thousands of near copies costs about one sweep, not all pairs, and gives a
-spanning forest: no more edges than rows, and no link between groups is lost.
+spanning forest: no more edges than rows, and no link between groups is lost.  A bucket of
+more than ``BUCKET`` distinct fingerprints is never met in one task: at two bits of 64 its
+rows are linked through common neighbours, exactly; wider fingerprints go to cells that
+share leaders.
 
 Null or empty text: the fingerprint zero, linked like any other.  Repeated rows and
 repeated doc_ids are rows of their own.  An empty table gives an empty result.
@@ -32,6 +35,8 @@ from .common import bounded, slices
 from .graph import components
 
 PIVOTS, SEED = 16, 42
+#: Distinct fingerprints that one task may meet in a bucket.
+BUCKET = 50_000
 #: Near-duplicates by similarity: 64-bit words of the fingerprint, bands, and the sort of similarity.
 WIDE_WORDS, WIDE_BANDS = 8, 32
 _STEP = 0x9E3779B97F4A7C15
@@ -119,13 +124,43 @@ def bands_of(fps: np.ndarray, bands: int) -> np.ndarray:
     return np.stack([bits[:, a:b].astype(np.int64) @ (1 << np.arange(b - a, dtype=np.int64)) for a, b in zip(cuts, cuts[1:])], axis=1)
 
 
-def links(nodes: DataFrame, words: int, max_bits: int, bands: int) -> DataFrame:
+def star_links(rows: DataFrame) -> DataFrame:
+    """(a, b) for (node, fp) rows of 64 bits that link within two bits, without meeting in a
+    bucket: two are within two bits if and only if some fingerprint is at most one bit from
+    either, so each row names itself and its 64 neighbours, and joins the smallest node
+    that names the same.  65 rows each, whatever the group; a grouped minimum is no hot key."""
+    number = F.conv(F.hex("fp"), 16, -10).cast("long")
+    around = F.array(F.col("__f"), *(F.col("__f").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")) for k in range(64)))
+    named = rows.select("node", number.alias("__f")).select("node", F.explode(around).alias("center"))
+    low = named.groupBy("center").agg(F.min("node").alias("a"))
+    return named.join(low, "center").where("a <> node").select("a", F.col("node").alias("b"))
+
+
+def cells(dealt: DataFrame, hot: DataFrame, limit: int) -> DataFrame:
+    """Rows of hot buckets dealt to cells of about ``limit`` rows; the bucket's leaders (the
+    smallest nodes of eight classes) are in every cell, so that near copies of one document
+    stay connected through them, and cells meet in the other bands."""
+    salts = F.ceil(F.col("n") / limit)
+    own = dealt.join(hot, "bucket").select(F.xxhash64("bucket", F.pmod(F.xxhash64("node", "bucket"), salts)).alias("bucket"), "node", "fp")
+    first = hot.select("bucket", salts.alias("salts"), F.explode(F.array_compact(F.col("leaders"))).alias("l"))
+    leaders = first.select("bucket", "l", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("cell")).select(F.xxhash64("bucket", "cell").alias("bucket"), F.col("l.node").alias("node"), F.col("l.fp").alias("fp"))
+    return own.unionByName(leaders).dropDuplicates(["bucket", "node"])
+
+
+def links(nodes: DataFrame, words: int, max_bits: int, bands: int, limit: int = BUCKET) -> DataFrame:
     """(a, b): edges within ``max_bits`` between the (node, fp) rows; fingerprints differ.
 
     The rows are dealt by band and slice value and met in sorted streams, so a task holds
-    one bucket of distinct fingerprints at a time."""
+    one bucket of distinct fingerprints at a time.  Buckets above ``limit`` are taken apart
+    by ``hot_links`` first."""
     pivots = references(words)
 
+    def count(batches):
+        for b in batches:
+            if b.num_rows:
+                fps = np.frombuffer(b"".join(b.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(b.num_rows, words)
+                yield pa.RecordBatch.from_arrays([pa.array((bands_of(fps, bands) * bands + np.arange(bands)).ravel())], names=["bucket"])
+
     def deal(batches):
         for b in batches:
             if not b.num_rows:
@@ -176,7 +211,19 @@ def links(nodes: DataFrame, words: int, max_bits: int, bands: int) -> DataFrame:
             yield made
 
     dealt = nodes.select("node", "fp").mapInArrow(deal, "bucket long, node long, fp binary")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long").distinct()
+    hot = materialize(nodes.select("fp").mapInArrow(count, "bucket long").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit), "hot-buckets")
+    extra = None
+    if not hot.isEmpty():
+        inside = dealt.join(hot, "bucket", "left_semi")
+        if words == 1 and max_bits == 2:
+            extra = star_links(inside.select("node", "fp").distinct())
+        dealt = dealt.join(hot, "bucket", "left_anti")
+        if extra is None:
+            eighth = lambda k: F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(8)) == k, F.struct("node", "fp")))
+            lead = inside.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.array(*map(eighth, range(8))).alias("leaders"))
+            dealt = dealt.unionByName(cells(inside, materialize(lead, "hot-leaders"), limit))
+    met = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
+    return (met if extra is None else met.unionByName(extra)).distinct()
 
 
 def report(docs: DataFrame, shingle: int = 3, max_bits: int = 2, text: str = "text") -> DataFrame:
