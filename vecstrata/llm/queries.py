@@ -24,7 +24,31 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.dedup(read(spark, sf_dir, "documents"), keep_text=False)
+    return suffix.dedup(read(spark, sf_dir, "documents"), keep_text=False).drop("removed")
+
+
+OP4_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)
+), r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM w) WHERE doc_id > least
+), g AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span
+  FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM r)
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, span
+), parts AS (
+  SELECT s.doc_id, a, b, substring(h, CAST(2 * coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY a), 0) + 1 AS BIGINT), CAST(2 * (a - coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY a), 0)) AS BIGINT)) AS before
+  FROM spans s JOIN d ON d.doc_id = s.doc_id
+), sums AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(before, '' ORDER BY a) AS front, max(b) AS last FROM parts GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(front, '') || substring(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN sums ON d.doc_id = sums.doc_id
+"""
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +115,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op7_benchmark_decontamination": OP7_SQL}
+    return {"op4_suffix_array_dedup": OP4_SQL, "op7_benchmark_decontamination": OP7_SQL}

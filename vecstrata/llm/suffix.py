@@ -129,7 +129,7 @@ def _mix(z: np.ndarray) -> np.ndarray:
 def runs(data: np.ndarray, lens: np.ndarray) -> dict[str, np.ndarray]:
     """The runs of concatenated documents: ``start`` and ``stop`` (first and last window),
     ``gram`` (its place), ``doc``, and hashes of gram and whole run."""
-    ends = np.cumsum(lens)
+    doc_of = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
     out: list[tuple] = []
     width = LENGTH - GRAM + 1
     for base in range(0, max(len(data) - LENGTH + 1, 0), BLOCK):
@@ -142,13 +142,12 @@ def runs(data: np.ndarray, lens: np.ndarray) -> dict[str, np.ndarray]:
             low, reach = np.minimum(low[:-reach], low[reach:]), 2 * reach
         if reach < width:
             low = np.minimum(low[: len(low) - (width - reach)], low[width - reach :])
-        place = (low & _POSITION).astype(np.int64)
-        doc = np.searchsorted(ends, base + np.arange(len(place)), side="right")
-        inside = base + np.arange(len(place)) + LENGTH <= ends[doc]
-        new = np.r_[True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]
-        start = np.flatnonzero(inside & (new | ~np.r_[False, inside[:-1]]))
-        stop = np.flatnonzero(inside & (np.r_[new[1:], True] | ~np.r_[inside[1:], False]))
-        p = place[start]
+        place, doc = (low & _POSITION).astype(np.int32), doc_of[base : base + len(low)]
+        inside = doc == doc_of[base + LENGTH - 1 : base + LENGTH - 1 + len(low)]  # the window ends in the document it starts in
+        new = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
+        start = np.flatnonzero(inside & np.r_[True, new | ~inside[:-1]])
+        stop = np.flatnonzero(inside & np.r_[new | ~inside[1:], True])
+        p = place[start].astype(np.int64)
         shape = (p - start).astype(np.uint64) << np.uint64(8) | (stop - start).astype(np.uint64)
         whole = _mix((sums[stop + LENGTH] - sums[start]) * _DOWN[start] ^ _mix(shape + np.uint64(1)))
         out.append((start + base, stop + base, p + base, doc[start], gram[p], whole))
@@ -164,17 +163,17 @@ class Slice:
 
     def __init__(self, doc_ids: list, lens: list, data: bytes, shards: int):
         self.doc_ids, self.lens, self.data = doc_ids, np.array(lens, np.int64), np.frombuffer(data, np.uint8)
-        self.order_of = np.array([_LAST if d is None else d for d in doc_ids], np.int64)
+        self.order_of = np.array([_LAST if d is None else d for d in doc_ids], np.int64)  # ascending, see _sliced
         r = runs(self.data, self.lens)
         mixed = _mix(r["gram_hash"] + np.uint64(77))
-        shard = ((mixed >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-        tag, run = (mixed & np.uint64(0xFFFFFFFF)).astype(np.uint32), r["run_hash"] >> np.uint64(16)
-        key = self.order_of[r["doc"]]
-        o = np.lexsort((key, run, tag, shard))
+        shard = (mixed >> np.uint64(32)) % np.uint64(shards)
+        dealt, run = shard << np.uint64(32) | (mixed & np.uint64(0xFFFFFFFF)), r["run_hash"] >> np.uint64(16)
+        o = np.lexsort((run, dealt))  # stable: equal runs stay in the order of their documents
         self.runs = {k: v[o] for k, v in r.items()}
-        self.shard, self.tag, self.run, self.key = shard[o], tag[o], run[o], key[o]
+        dealt, self.run, self.key = dealt[o], run[o], self.order_of[self.runs["doc"]]
+        self.shard, self.tag = (dealt >> np.uint64(32)).astype(np.int64), (dealt & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         new = np.ones(len(o), bool)
-        new[1:] = (self.shard[1:] != self.shard[:-1]) | (self.tag[1:] != self.tag[:-1]) | (self.run[1:] != self.run[:-1])
+        new[1:] = (dealt[1:] != dealt[:-1]) | (self.run[1:] != self.run[:-1])
         self.head = np.flatnonzero(new)
         self.entry = np.cumsum(new) - 1
 
@@ -295,6 +294,7 @@ def _sliced(docs: DataFrame, text: str) -> DataFrame:
     def run(batches):
         task, n = TaskContext.get().partitionId() << 32, 0
         for part in slices(batches):
+            part = part.sort_by([("doc_id", "ascending")])  # nulls last
             data = [(t or "").encode() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"slice_id": [task + n], "doc_ids": [part.column("doc_id").to_pylist()], "lens": [[len(d) for d in data]], "data": [b"".join(data)]}, schema=arrow_schema(schema))
             n += 1
