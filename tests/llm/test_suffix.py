@@ -1,6 +1,8 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -66,6 +68,50 @@ def mixed_rows(seed, n=60):
     return [*rows, (3, None), (None, passages[0]), (4, ""), (None, rows[0][1])]
 
 
+def in_process(rows, shards, per_slice):
+    """The operator's steps without Spark: (doc_id, removed bytes) of every document."""
+    groups = [sorted(rows[a : a + per_slice], key=lambda r: (r[0] is None, r[0] or 0)) for a in range(0, len(rows), per_slice)]
+    parts = [suffix.Slice([d for d, _ in g], [len((t or "").encode()) for _, t in g], b"".join((t or "").encode() for _, t in g), shards) for g in groups]
+    dealt = [(shard, k, blob) for k, p in enumerate(parts) for shard, blob in p.deal()]
+    replies = {}
+    for shard in range(shards):
+        own = [(k, b) for s, k, b in dealt if s == shard]
+        if own:
+            made = suffix._shard_reply(pa.table({"shard": pa.array([shard] * len(own), pa.int32()), "slice_id": [k for k, _ in own], "blob": [b for _, b in own]}))
+            for r in made.to_pylist():
+                replies.setdefault(r["slice_id"], []).append(r)
+    fetched = pa.Table.from_batches([suffix.fetched_of(p, k, replies.get(k, []), 3) for k, p in enumerate(parts)])
+    marks = [m for s in range(3) for m in suffix._shard_marks(fetched.filter(pc.equal(fetched["shard"], s))).to_pylist()]
+    out = []
+    for k, p in enumerate(parts):
+        gone = np.zeros(len(p.data), bool)
+        dup = p.answers(replies.get(k, []))[0]
+        for r in range(len(p.entry)):
+            e = p.entry[r]
+            if dup[e] or p.key[r] > p.key[p.head[e]]:
+                gone[p.runs["start"][r] : p.runs["stop"][r] + 50] = True
+            else:
+                for m in marks:
+                    if m["slice_id"] == k and m["entry"] == e:
+                        for x in m["first"]:
+                            gone[p.runs["start"][r] + x : p.runs["start"][r] + x + 50] = True
+        at = 0
+        for d, n in zip(p.doc_ids, p.lens.tolist()):
+            out.append((str(d), n, int(gone[at : at + n].sum())))
+            at += n
+    return sorted(out), fetched
+
+
+def test_hot_grams_are_dealt_by_window(monkeypatch):
+    rows = mixed_rows(21, 90)
+    want = [r[:3] for r in brute(rows)]
+    got_, plain = in_process(rows, 4, 9)
+    assert got_ == want and not any(plain["base"].to_pylist())
+    monkeypatch.setattr(suffix, "HOT", 2)
+    got_, parted = in_process(rows, 4, 9)
+    assert got_ == want and any(parted["base"].to_pylist())
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_matches_brute_force(spark, monkeypatch, seed):
     rows = mixed_rows(seed)
@@ -87,7 +133,7 @@ def test_many_slices_shards_and_batches(spark, monkeypatch):
     for shard in range(shards):
         own = [suffix.unpack(b) for s, _, b in dealt if s == shard]
         if own:
-            dup, send = suffix.compare_entries(*(np.concatenate([o[k] for o in own]) for k in range(3)))
+            dup, send, _ = suffix.compare_entries(*(np.concatenate([o[k] for o in own]) for k in range(3)))
             assert not (dup & send).any()
 
 

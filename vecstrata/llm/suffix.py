@@ -23,7 +23,9 @@ have equal grams at equal places, so whatever is equal meets where the gram is d
 4. slices take both answers and cut their documents.
 
 A passage that a third of all documents share is one entry a slice and then one a shard, so
-no task sees all its copies.  Of its edges, each different one is an entry of its gram.
+no task sees all its copies.  Its edges differ from copy to copy; where more than ``HOT``
+different runs have one gram, they are dealt window by window instead, by a hash of the
+window, and meet in as many suffix arrays.
 
 Null text: empty.  A null doc_id comes after all others.  Rows with the same doc_id do not
 remove each other's bytes.  An empty table gives an empty result.
@@ -45,6 +47,8 @@ from .common import arrow_schema, doc_text, slices
 LENGTH, GRAM = 50, 26
 #: Window starts handled at once, symbols of one suffix array, text bytes of a shard.
 BLOCK, BATCH_SYMBOLS, SHARD_BYTES = 1 << 20, 1 << 16, 16 << 20
+#: Different runs of one gram that one suffix array may take.
+HOT = 2048
 _LAST = np.int64((1 << 63) - 1)
 _TABLE = np.random.default_rng(50).integers(0, 1 << 64, 256, dtype=np.uint64)
 _STEP = 0x9E3779B97F4A7C15
@@ -189,17 +193,17 @@ class Slice:
             parts = [np.array([len(e), len(ids)], "<i8"), ids.astype("<i8"), self.tag[e].astype("<u4"), (run & np.uint64(0xFFFFFFFF)).astype("<u4"), (run >> np.uint64(32)).astype("<u2"), local.astype("<u2")]
             yield int(self.shard[h[a]]), b"".join(p.tobytes() for p in parts)
 
-    def answers(self, replies: list) -> tuple[np.ndarray, np.ndarray]:
-        """Per entry: repeated elsewhere under a smaller doc_id; to be fetched.  ``replies``
-        has (shard, dup, send) in the order of the shards."""
+    def answers(self, replies: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per entry: repeated elsewhere under a smaller doc_id; to be fetched; of a hot
+        gram.  ``replies`` has (shard, dup, send, hot) of each shard dealt to."""
         of_shard = {r["shard"]: r for r in replies or []}
-        dup, send = np.zeros(len(self.head), bool), np.zeros(len(self.head), bool)
+        dup, send, hot = (np.zeros(len(self.head), bool) for _ in range(3))
         shards = self.shard[self.head]
         for s in np.unique(shards).tolist():
             a, b = np.searchsorted(shards, [s, s + 1])
-            for bits, name in ((dup, "dup"), (send, "send")):
+            for bits, name in ((dup, "dup"), (send, "send"), (hot, "hot")):
                 bits[a:b] = np.unpackbits(np.frombuffer(of_shard[s][name], np.uint8), count=b - a).astype(bool)
-        return dup, send
+        return dup, send, hot
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,9 +218,10 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tag, low | high << np.uint64(32), ids[np.frombuffer(blob, "<u2", n, at + 10 * n)]
 
 
-def compare_entries(tag: np.ndarray, run: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(dup, send): entries whose run stands under a smaller id too; one entry, of the
-    smallest id, of each different run of a gram whose runs have different ids."""
+def compare_entries(tag: np.ndarray, run: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(dup, send, hot): entries whose run stands under a smaller id too; one entry, of the
+    smallest id, of each different run of a gram whose runs have different ids; and whether
+    its gram has more than HOT runs."""
     n = len(tag)
     o = np.lexsort((ids, run, tag))
     t, r, d = tag[o], run[o], ids[o]
@@ -225,12 +230,14 @@ def compare_entries(tag: np.ndarray, run: np.ndarray, ids: np.ndarray) -> tuple[
     cls = gram.copy()
     cls[1:] |= r[1:] != r[:-1]
     first = np.flatnonzero(cls)
-    dup, send = np.zeros(n, bool), np.zeros(n, bool)
+    dup, send, hot = (np.zeros(n, bool) for _ in range(3))
     dup[o] = d > d[first][np.cumsum(cls) - 1]
     begin = np.flatnonzero(gram[first])
     least, most = np.minimum.reduceat(d[first], begin), np.maximum.reduceat(d[first], begin)
-    send[o[first]] = (least < most)[np.cumsum(gram[first]) - 1]
-    return dup, send
+    own = np.cumsum(gram[first]) - 1
+    send[o[first]] = (least < most)[own]
+    hot[o[first]] = (np.bincount(own) > HOT)[own]
+    return dup, send, hot
 
 
 def _common(group: np.ndarray, side: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -283,11 +290,35 @@ def repeated_windows(bodies: list[bytes], ids: np.ndarray, length: int = LENGTH)
     return list(zip(body[late].tolist(), offset[late].tolist()))
 
 
-_REPLY = "slice_id long,shard int,dup binary,send binary"
-_FETCH = "shard int,gram long,id long,slice_id long,entry int,gram_at int,body binary"
+_REPLY = "slice_id long,shard int,dup binary,send binary,hot binary"
+_FETCH = "shard int,gram long,id long,slice_id long,entry int,base int,gram_at int,body binary"
 _MARKS = "slice_id long,entry int,first array<long>"
 
 
+def fetched_of(s: Slice, slice_id: int, replies: list, shards: int) -> pa.RecordBatch:
+    """The runs of a slice that were asked for; those of hot grams as single windows."""
+    _, send, hot = s.answers(replies)
+    entry = np.flatnonzero(send & ~hot)
+    start, stop, base = s.runs["start"][s.head[entry]], s.runs["stop"][s.head[entry]] + LENGTH, np.zeros(len(entry), np.int64)
+    group = s.runs["gram_hash"][s.head[entry]]
+    if (send & hot).any():
+        parted = np.flatnonzero(send & hot)
+        first = s.runs["start"][s.head[parted]]
+        n = s.runs["stop"][s.head[parted]] - first + 1
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        begin = np.repeat(first, n) + at
+        windows = np.lib.stride_tricks.sliding_window_view(s.data, LENGTH)[begin]
+        entry, start, stop, base = np.r_[entry, np.repeat(parted, n)], np.r_[start, begin], np.r_[stop, begin + LENGTH], np.r_[base, at]
+        group = np.r_[group, _mix((_TABLE[windows] * _UP[:LENGTH]).sum(axis=1, dtype=np.uint64))]
+    e = s.head[entry]
+    cols = [
+        (group % np.uint64(shards)).astype(np.int32), group.view(np.int64), s.key[e], np.full(len(e), slice_id, np.int64), entry.astype(np.int32), base.astype(np.int32),
+        (s.runs["gram"][e] - start).astype(np.int32), [s.data[x:y].tobytes() for x, y in zip(start.tolist(), stop.tolist())],
+    ]
+    schema = arrow_schema(_FETCH)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+
 def _sliced(docs: DataFrame, text: str) -> DataFrame:
     schema = "slice_id long,doc_ids array<long>,lens array<long>,data binary"
 
@@ -305,16 +336,16 @@ def _sliced(docs: DataFrame, text: str) -> DataFrame:
 def _shard_reply(table: pa.Table) -> pa.Table:
     blobs = [unpack(b) for b in table.column("blob").to_pylist()]
     tag, run, ids = (np.concatenate([b[k] for b in blobs]) for k in range(3))
-    dup, send = compare_entries(tag, run, ids)
+    dup, send, hot = compare_entries(tag, run, ids)
     cuts = np.cumsum([0, *(len(b[0]) for b in blobs)])
     packed = lambda bits: [np.packbits(bits[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
-    return pa.Table.from_pydict({"slice_id": table.column("slice_id"), "shard": table.column("shard"), "dup": packed(dup), "send": packed(send)}, schema=arrow_schema(_REPLY))
+    return pa.Table.from_pydict({"slice_id": table.column("slice_id"), "shard": table.column("shard"), "dup": packed(dup), "send": packed(send), "hot": packed(hot)}, schema=arrow_schema(_REPLY))
 
 
 def _shard_marks(table: pa.Table) -> pa.Table:
     schema = arrow_schema(_MARKS)
-    table = table.sort_by([("gram", "ascending"), ("id", "ascending"), ("slice_id", "ascending"), ("entry", "ascending")])
-    gram, ids, gram_at = (table.column(c).to_numpy() for c in ("gram", "id", "gram_at"))
+    table = table.sort_by([("gram", "ascending"), ("id", "ascending"), ("slice_id", "ascending"), ("entry", "ascending"), ("base", "ascending")])
+    gram, ids, gram_at, base = (table.column(c).to_numpy() for c in ("gram", "id", "gram_at", "base"))
     bodies = table.column("body").to_pylist()
     low, high = trimmed(gram, bodies, gram_at.astype(np.int64))
     usable = np.flatnonzero(high - low >= LENGTH)
@@ -328,7 +359,7 @@ def _shard_marks(table: pa.Table) -> pa.Table:
         part = usable[at:end]
         for body, offset in repeated_windows([bodies[i][low[i] : high[i]] for i in part.tolist()], ids[part]):
             i = int(part[body])
-            marks.setdefault(i, []).append(int(low[i]) + offset)
+            marks.setdefault(i, []).append(int(base[i]) + int(low[i]) + offset)
         at = end
     rows = sorted(marks)
     take = table.take(pa.array(rows, pa.int64()))
@@ -351,22 +382,13 @@ def dedup(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFr
 
     dealt = source.mapInArrow(deal, "shard int, slice_id long, blob binary")
     replies = materialize(dealt.groupBy("shard").applyInArrow(_shard_reply, _REPLY), "shard-replies")
-    by_slice = replies.groupBy("slice_id").agg(F.collect_list(F.struct("shard", "dup", "send")).alias("replies"))
+    by_slice = replies.groupBy("slice_id").agg(F.collect_list(F.struct("shard", "dup", "send", "hot")).alias("replies"))
     asked = materialize(by_slice, "slice-replies")
 
     def fetch(batches):
         for b in batches:
             for i in range(b.num_rows):
-                s = opened(b, i)
-                _, send = s.answers(b.column("replies")[i].as_py())
-                entries = np.flatnonzero(send)
-                e = s.head[entries]
-                start, stop = s.runs["start"][e], s.runs["stop"][e] + LENGTH
-                gram = s.runs["gram_hash"][e].view(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array((s.runs["gram_hash"][e] % np.uint64(4 * shards)).astype(np.int32)), pa.array(gram), pa.array(s.key[e]), pa.array(np.full(len(e), b.column("slice_id")[i].as_py(), np.int64)),
-                    pa.array(entries.astype(np.int32)), pa.array((s.runs["gram"][e] - start).astype(np.int32)), pa.array([s.data[x:y].tobytes() for x, y in zip(start.tolist(), stop.tolist())], pa.binary()),
-                ], schema=arrow_schema(_FETCH))
+                yield fetched_of(opened(b, i), b.column("slice_id")[i].as_py(), b.column("replies")[i].as_py(), 4 * shards)
 
     fetched = source.join(asked, "slice_id").mapInArrow(fetch, _FETCH)
     marks = materialize(fetched.groupBy("shard").applyInArrow(_shard_marks, _MARKS), "window-marks")
@@ -378,7 +400,7 @@ def dedup(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFr
         for b in batches:
             for i in range(b.num_rows):
                 s = opened(b, i)
-                dup, _ = s.answers(b.column("replies")[i].as_py())
+                dup, _, _ = s.answers(b.column("replies")[i].as_py())
                 edge = np.zeros(len(s.data) + 1, np.int64)
                 gone = dup[s.entry] | (s.key > s.key[s.head][s.entry]) if len(s.entry) else np.zeros(0, bool)
                 np.add.at(edge, s.runs["start"][gone], 1)
