@@ -45,8 +45,9 @@ from ..scratch import materialize
 from .common import arrow_schema, doc_text, slices
 
 LENGTH, GRAM = 50, 26
-#: Window starts handled at once, symbols of one suffix array, text bytes of a shard.
-BLOCK, BATCH_SYMBOLS, SHARD_BYTES = 1 << 20, 1 << 16, 16 << 20
+#: Text bytes of a slice, window starts handled at once, symbols of one suffix array, text
+#: bytes of a shard.
+SLICE, BLOCK, BATCH_SYMBOLS, SHARD_BYTES = 2 << 20, 1 << 19, 1 << 16, 16 << 20
 #: Different runs of one gram that one suffix array may take.
 HOT = 2048
 _LAST = np.int64((1 << 63) - 1)
@@ -324,7 +325,7 @@ def _sliced(docs: DataFrame, text: str) -> DataFrame:
 
     def run(batches):
         task, n = TaskContext.get().partitionId() << 32, 0
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             part = part.sort_by([("doc_id", "ascending")])  # nulls last
             data = [(t or "").encode() for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"slice_id": [task + n], "doc_ids": [part.column("doc_id").to_pylist()], "lens": [[len(d) for d in data]], "data": [b"".join(data)]}, schema=arrow_schema(schema))
@@ -383,7 +384,8 @@ def dedup(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFr
     dealt = source.mapInArrow(deal, "shard int, slice_id long, blob binary")
     replies = materialize(dealt.groupBy("shard").applyInArrow(_shard_reply, _REPLY), "shard-replies")
     by_slice = replies.groupBy("slice_id").agg(F.collect_list(F.struct("shard", "dup", "send", "hot")).alias("replies"))
-    asked = materialize(by_slice, "slice-replies")
+    # hashed, as sorting would hold whole partitions of slices
+    asked = materialize(by_slice, "slice-replies").hint("shuffle_hash")
 
     def fetch(batches):
         for b in batches:
@@ -392,7 +394,7 @@ def dedup(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFr
 
     fetched = source.join(asked, "slice_id").mapInArrow(fetch, _FETCH)
     marks = materialize(fetched.groupBy("shard").applyInArrow(_shard_marks, _MARKS), "window-marks")
-    noted = marks.groupBy("slice_id").agg(F.collect_list(F.struct("entry", "first")).alias("marks"))
+    noted = marks.groupBy("slice_id").agg(F.collect_list(F.struct("entry", "first")).alias("marks")).hint("shuffle_hash")
     schema = "doc_id long,n_bytes long,n_removed long,n_spans long,kept_sha256 string,removed array<long>" + ",kept binary" * keep_text
     arrow = arrow_schema(schema)
 
@@ -401,7 +403,7 @@ def dedup(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFr
             for i in range(b.num_rows):
                 s = opened(b, i)
                 dup, _, _ = s.answers(b.column("replies")[i].as_py())
-                edge = np.zeros(len(s.data) + 1, np.int64)
+                edge = np.zeros(len(s.data) + 1, np.int32)
                 gone = dup[s.entry] | (s.key > s.key[s.head][s.entry]) if len(s.entry) else np.zeros(0, bool)
                 np.add.at(edge, s.runs["start"][gone], 1)
                 np.add.at(edge, s.runs["stop"][gone] + LENGTH, -1)
