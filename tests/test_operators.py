@@ -40,6 +40,10 @@ def test_knn_edges(spark):
     assert exact.knn_batch(docs, q, 0).count() == 0 and exact.knn_batch(docs.limit(0), q, 3).count() == 0
     nan = spark.createDataFrame([(1, [float("nan")]), (2, [5.0])], "id long, vector array<float>")
     assert [r.id for r in exact.knn(nan, [0.0], 2).collect()] == [2, 1]
+    q = spark.createDataFrame([(0, [0.0])], "qid long, vector array<double>")
+    assert [r.id for r in exact.knn_batch(nan, q, 1).collect()] == [2]
+    many = spark.createDataFrame([(i, [float("nan")]) for i in range(5)] + [(9, [1.0])], "id long, vector array<float>").coalesce(1)
+    assert [r.id for r in exact.knn_batch(many, q, 3).orderBy("rank").collect()] == [9, 0, 1]
 
 
 def test_query_blocks(spark, monkeypatch):

@@ -60,7 +60,7 @@ def nearest(metric: str, query: np.ndarray, approx: np.ndarray, ids: np.ndarray,
     all rows within rounding of the k-th, which are then scored exactly."""
     if len(ids) > k:
         cut = np.partition(approx, k - 1)[k - 1]
-        at = np.flatnonzero(approx <= cut + 1e-9 * (1 + abs(cut) + float(query @ query)))
+        at = np.flatnonzero(~(approx > cut + 1e-9 * (1 + abs(cut) + float(query @ query))))  # NaN stays, and sorts last
     else:
         at = np.arange(len(ids))
     dist = one_to_many(metric, query, rows[at])
