@@ -115,6 +115,11 @@ def test_index_lifecycle(spark, engine):
     checked = ns.check_index()
     assert checked["uncovered"] == checked["future"] == checked["headless"] == 0
     assert ns.doc_count() == 660
+    assert ns.shadow_recall(queries, 10) == 1.0
+    assert ns.compact() == 4 and ns.compact() == 0 and ns.doc_count() == 660 and ns.last_sequence() == 4
+    same()
+    assert ns.delete([650]) == 5 and ns.doc_count() == 659
+    same()
     near = ns.query_batch(queries, 10, num_search_heads=8)
     assert exact.recall_at_k(exact.knn_batch(ns.documents().where("vector IS NOT NULL"), queries, 10), near, 10).first().recall > 0.5
     engine.delete_namespace("n")
@@ -122,6 +127,22 @@ def test_index_lifecycle(spark, engine):
     assert again.upsert(docs(spark, [(1, [1.0], None)])) == 1 and again.doc_count() == 1
 
 
+def test_filtered_queries(spark, engine):
+    ns = engine.create_namespace("n", "euclidean_squared")
+    rows = spark.range(60).selectExpr("id", "array(CAST(id AS FLOAT), 0F) AS vector", "to_json(named_struct('color', IF(id % 3 = 0, 'red', 'blue'), 'n', id)) AS attributes")
+    ns.upsert(rows.where("id < 40"))
+    red = "attributes['color'].s = 'red' AND attributes['n'].u >= 6"
+    want = lambda: [r.id for r in ns.query([0.0, 0.0], 4, where=red, num_search_heads=1000).collect()]
+    assert want() == [6, 9, 12, 15]
+    ns.build_index(IndexConfig(max_posting_size=8, num_search_heads=1000, replica_count=1))
+    assert want() == [6, 9, 12, 15]
+    ns.upsert(rows.where("id >= 40"))
+    ns.upsert(rows.where("id = 12").selectExpr("id", "vector", "'{\"color\": \"blue\", \"n\": 12}' AS attributes"))
+    ns.delete([6])
+    assert want() == [9, 15, 18, 21]
+    assert ns.query([0.0, 0.0], 3, where="id >= 50").count() == 3 and ns.query([0.0, 0.0], 3, where="id > 99").count() == 0
+
+
 def test_streams(spark, engine, tmp_path):
     ns = engine.create_namespace("n", "euclidean_squared")
     for part in range(3):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions import attributes as attr
 from .functions.distance import metric_of
-from .operators import hybrid, index, replay
+from .operators import exact, hybrid, index, replay
 from .scratch import materialize
 from .sources.store import Store
 from .types import (
@@ -139,8 +139,9 @@ class Namespace:
         return replay.tail(self.store.log(self.name), after)
 
     def last_sequence(self) -> int:
-        made = self.store.sequences(self.name)
-        return made[-1] if made else 0
+        """The newest entry, or the index's watermark if the log was compacted to it."""
+        manifest = self.store.manifest(self.name)
+        return max([manifest["wal_sequence"] if manifest else 0, *self.store.sequences(self.name)])
 
     def _index(self) -> dict | None:
         manifest = self.store.manifest(self.name)
@@ -175,13 +176,14 @@ class Namespace:
 
     # queries
 
-    def query(self, vector, top_k: int = DEFAULT_TOP_K, distance_metric: str | None = None, include_vectors: bool = False, num_search_heads: int | None = None) -> DataFrame:
+    def query(self, vector, top_k: int = DEFAULT_TOP_K, distance_metric: str | None = None, include_vectors: bool = False, num_search_heads: int | None = None, where=None) -> DataFrame:
         """The top_k nearest documents of one vector: id, dist, rank, attributes [, vector]."""
-        found = self.query_batch(hybrid.queries_of(self.spark, [vector]), top_k, distance_metric, include_vectors, num_search_heads)
+        found = self.query_batch(hybrid.queries_of(self.spark, [vector]), top_k, distance_metric, include_vectors, num_search_heads, where)
         return found.drop("qid").orderBy("rank")
 
-    def query_batch(self, queries: DataFrame, top_k: int = DEFAULT_TOP_K, distance_metric: str | None = None, include_vectors: bool = False, num_search_heads: int | None = None) -> DataFrame:
-        """The top_k nearest documents of every (qid, vector) row."""
+    def query_batch(self, queries: DataFrame, top_k: int = DEFAULT_TOP_K, distance_metric: str | None = None, include_vectors: bool = False, num_search_heads: int | None = None, where=None) -> DataFrame:
+        """The top_k nearest documents of every (qid, vector) row, among those that fulfil
+        ``where`` (a Column or SQL over id and attributes), if given."""
         dims, metric = self.dimensions(), str(metric_of(distance_metric or self.meta()["distance_metric"]))
         if dims is not None:
             other = queries.where(F.size("vector") != dims).select(F.size("vector")).first()
@@ -189,12 +191,13 @@ class Namespace:
                 raise DimensionMismatch(f"expected {dims} dimensions, got {other[0]}")
         held, last = self._index(), self.last_sequence()
         since, tail_ops = held["wal_sequence"] if held else 0, None
+        allowed = self.documents().where(where).select("id") if where is not None else None
         if held is None:
-            hits = hybrid.hybrid_knn(queries, top_k, metric, documents=self.documents())
+            hits = hybrid.hybrid_knn(queries, top_k, metric, documents=self.documents(), allowed=allowed)
         else:
             config = replace(self._config(held), **({"num_search_heads": num_search_heads} if num_search_heads else {}))
             tail_ops = replay.latest_ops(self.log(since)) if last > since else None
-            hits = hybrid.hybrid_knn(queries, top_k, metric, index=held, tail_ops=tail_ops, config=config)
+            hits = hybrid.hybrid_knn(queries, top_k, metric, index=held, tail_ops=tail_ops, config=config, allowed=allowed)
         # queries x k rows: written once, so that only their documents are read and folded
         hits = materialize(hits, "hits")
         mine = lambda df: df.join(hits.select("id").distinct(), "id", "left_semi")
@@ -268,6 +271,28 @@ class Namespace:
         self.store.commit_manifest(self.name, gen, json.loads(json.dumps(manifest)))
         return manifest | {"gen": gen}
 
+    def shadow_recall(self, queries: DataFrame, k: int = DEFAULT_TOP_K, num_search_heads: int | None = None) -> float:
+        """Recall at k of the index against an exact scan of the same state."""
+        truth = hybrid.hybrid_knn(queries, k, self.meta()["distance_metric"], documents=self.documents())
+        return exact.recall_at_k(truth, self.query_batch(queries, k, num_search_heads=num_search_heads), k).first().recall or 0.0
+
+    def compact(self) -> int:
+        """Delete the log entries that the newest generation holds; how many went.  Their
+        numbers stay claimed, so later entries count on."""
+        manifest = self.store.manifest(self.name)
+        gone = [s for s in self.store.sequences(self.name) if manifest and s <= manifest["wal_sequence"]]
+        if gone:
+            self._keep_dimensions()
+        for s in gone:
+            self.store.files.delete(self.name, "wal", f"sequence={s}")
+        return len(gone)
+
+    def _keep_dimensions(self) -> None:
+        """Write dimensions that only the log knows into the metadata."""
+        meta, dims = self.meta(), self.dimensions()
+        if meta["dimensions"] is None and dims is not None:
+            self.store.write_meta(self.name, meta | {"dimensions": dims})
+
     def check_index(self) -> dict[str, int]:
         held = self._index()
         return index.invariants(held["heads"], held["postings"], held["versions"], self._config(held)) if held else {}

@@ -10,20 +10,22 @@ from .exact import knn_batch, rank_by_query
 from .index import ann_candidates
 
 
-def hybrid_knn(queries: DataFrame, k: int = DEFAULT_TOP_K, metric: str = "euclidean_squared", *, documents: DataFrame | None = None, index: dict | None = None, tail_ops: DataFrame | None = None, config: IndexConfig | None = None) -> DataFrame:
+def hybrid_knn(queries: DataFrame, k: int = DEFAULT_TOP_K, metric: str = "euclidean_squared", *, documents: DataFrame | None = None, index: dict | None = None, tail_ops: DataFrame | None = None, config: IndexConfig | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """(qid, id, dist, rank).
 
     Without an index: exact over ``documents``.  With one (``heads``, ``postings``,
     ``versions``): its live candidates; with a tail too (the latest operation of each id
     written since), candidates whose id the tail has are dropped before the top k, and the
-    tail's own vectors are scored exactly.  The branch depends on what is passed alone."""
+    tail's own vectors are scored exactly.  The branch depends on what is passed alone.
+    ``allowed`` (id) limits the answers, before the top k in every branch."""
+    keep = (lambda df: df.join(allowed, "id", "left_semi")) if allowed is not None else lambda df: df
     if index is None:
-        return knn_batch(documents.where("vector IS NOT NULL"), queries, k, metric)
-    found = ann_candidates(queries, index["heads"], index["postings"], index["versions"], config or IndexConfig(), metric)
+        return knn_batch(keep(documents.where("vector IS NOT NULL")), queries, k, metric)
+    found = keep(ann_candidates(queries, index["heads"], index["postings"], index["versions"], config or IndexConfig(), metric))
     if tail_ops is None:
         return rank_by_query(found, k)
     kept = found.join(tail_ops.select("id"), "id", "left_anti").select("qid", "id", "dist")
-    fresh = knn_batch(tail_ops.where("op = 'upsert' AND vector IS NOT NULL"), queries, k, metric).select("qid", "id", "dist")
+    fresh = knn_batch(keep(tail_ops.where("op = 'upsert' AND vector IS NOT NULL")), queries, k, metric).select("qid", "id", "dist")
     return rank_by_query(kept.unionByName(fresh), k)
 
 
