@@ -40,7 +40,7 @@ def test_cut_points(monkeypatch):
     assert cdc.cut_points(b"") == [] and cdc.cut_points(b"ab") == [2]
 
 
-def brute(rows):
+def brute(rows, within=False):
     seen, out = {}, {}
     for d, text in rows:
         data = (text or "").encode()
@@ -48,9 +48,9 @@ def brute(rows):
         gone = []
         for a, b in zip([0, *cuts], cuts):
             key = data[a:b]
-            if key in seen:
+            if key in seen and (within or seen[key] != d):
                 gone.append((a, b))
-            seen.setdefault(key, (d, a))
+            seen.setdefault(key, d)
         a, b = spans.merged(np.array([x for x, _ in gone], np.int64), np.array([y for _, y in gone], np.int64))
         long = b - a >= cdc.LEAST_RUN
         edge = [0, *np.stack([a[long], b[long]], 1).ravel().tolist(), len(data)]
@@ -62,13 +62,16 @@ def brute(rows):
 def rows():
     passage = words(5, 80)
     out = [(i, words(100 + i, 60) + " " + passage + " " + words(200 + i, 60)) for i in range(8)]
+    out.append((20, words(77, 90) + " " + words(77, 90)))  # repeats inside one document
     return [*out, (8, words(9, 100)), (9, words(9, 100)), (10, None), (11, ""), (12, "short"), (13, "short")]
 
 
 def test_matches_brute_force(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("*", "1 AS uid", "'x' AS digest")
     got = {r.doc_id: r for r in cdc.dedup(docs).collect()}
-    assert {k: r.kept_sha256 for k, r in got.items()} == brute(rows)
+    assert {k: r.kept_sha256 for k, r in got.items()} == brute(sorted(rows)) and got[20].n_removed == 0
+    inside = {r.doc_id: r for r in cdc.dedup(docs, within=True).collect()}
+    assert {k: r.kept_sha256 for k, r in inside.items()} == brute(sorted(rows), True) and inside[20].n_removed > 200
     assert got[0].n_removed == got[8].n_removed == 0 and got[9].n_removed == got[9].n_bytes
     assert all(got[i].n_removed > 250 for i in range(1, 8)) and got[13].n_removed == 0
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got.values())

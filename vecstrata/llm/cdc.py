@@ -4,8 +4,8 @@ A chunk ends where the top bits of the gear hash (h = 2h + G[byte], 32 bits, so
 bytes count) are zero, but not before ``LEAST`` and at ``MOST`` bytes at the latest, never
 inside a UTF-8 character.  As the ends depend on the bytes around them alone, an insertion
 shifts chunks without changing those further on.  Chunks are compared by a 128-bit digest:
-the first in (doc_id, start) order stays, later ones go where a run of them has
-``LEAST_RUN`` bytes or more.
+the first in (doc_id, start) order stays, those of later documents go where a run of them
+has ``LEAST_RUN`` bytes or more.  What repeats only inside one document stays by default.
 
 The hash is computed for all bytes at once, by doubling.  The first place of each digest is
 a grouped minimum with partial results on the map side, so a chunk that a third of all
@@ -90,11 +90,12 @@ def chunks(tagged: DataFrame) -> DataFrame:
     return tagged.mapInArrow(run, schema)
 
 
-def dedup(docs: DataFrame, text: str = "text", least_run: int = LEAST_RUN, keep_text: bool = True) -> DataFrame:
-    """Every document without its repeated chunks; the columns of ``spans.cut``."""
+def dedup(docs: DataFrame, text: str = "text", least_run: int = LEAST_RUN, keep_text: bool = True, within: bool = False) -> DataFrame:
+    """Every document without the chunks that an earlier document has (``within``: or that
+    it has itself, further up); the columns of ``spans.cut``."""
     tagged = materialize(bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("uid")), "tagged")
     made = materialize(chunks(tagged.select("uid", "doc_id", "text")), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "start")
     first = made.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("first.uid").alias("u"), F.col("first.start").alias("s"))
-    again = made.select("uid", "start", "end", "digest").join(materialize(first, "repeated-digests"), "digest").where("uid <> u OR start <> s")
+    again = made.select("uid", "start", "end", "digest").join(materialize(first, "repeated-digests"), "digest").where("uid <> u OR start <> s" if within else "uid <> u")
     return spans.cut(tagged, again.select("uid", "start", "end"), least_run, keep_text)
