@@ -63,6 +63,18 @@ def test_hot_buckets_are_taken_apart(spark):
     assert sorted(map(tuple, whole)) == sorted(map(tuple, parted))
 
 
+def test_hot_wide_buckets_lose_no_link(spark):
+    rng = np.random.default_rng(8)
+    base = int.from_bytes(rng.bytes(62)) << 16  # all in one bucket: the last band is zero, the others differ
+    fps = []
+    for _ in range(60):  # pairs 31 bits apart, one in every band but the last, far from the other pairs
+        one = int.from_bytes(rng.bytes(62)) << 16
+        fps += [one, one ^ sum(1 << (16 * int(k) + 3) for k in rng.permutation(np.arange(1, 32))[:31])]
+    rows = spark.createDataFrame([(i, f.to_bytes(64)) for i, f in enumerate([*fps, base])], "node long, fp binary")
+    got = {tuple(sorted((r.a, r.b))) for r in simhash.links(rows, 8, 40, 32, limit=10).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(60)}
+
+
 def test_components_of_a_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(50)] + [(7, 7)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -13,8 +13,8 @@ verified bit by bit.  A bucket is walked breadth first over its rows not yet rea
 group of thousands of near copies costs about one sweep, not all pairs, and gives a
 spanning forest: no more edges than rows, and no link between groups is lost.  A bucket of
 more than ``BUCKET`` distinct fingerprints is never met in one task: at two bits of 64 its
-rows are linked through common neighbours, exactly; wider fingerprints go to cells that
-share leaders.
+rows are linked through common neighbours, exactly; wider fingerprints are dealt to cells,
+and each two cells meet in a task of their own.
 
 Null or empty text: the fingerprint zero, linked like any other.  Repeated rows and
 repeated doc_ids are rows of their own.  An empty table gives an empty result.
@@ -136,15 +136,13 @@ def star_links(rows: DataFrame) -> DataFrame:
     return named.join(low, "center").where("a <> node").select("a", F.col("node").alias("b"))
 
 
-def cells(dealt: DataFrame, hot: DataFrame, limit: int) -> DataFrame:
-    """Rows of hot buckets dealt to cells of about ``limit`` rows; the bucket's leaders (the
-    smallest nodes of eight classes) are in every cell, so that near copies of one document
-    stay connected through them, and cells meet in the other bands."""
-    salts = F.ceil(F.col("n") / limit)
-    own = dealt.join(hot, "bucket").select(F.xxhash64("bucket", F.pmod(F.xxhash64("node", "bucket"), salts)).alias("bucket"), "node", "fp")
-    first = hot.select("bucket", salts.alias("salts"), F.explode(F.array_compact(F.col("leaders"))).alias("l"))
-    leaders = first.select("bucket", "l", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("cell")).select(F.xxhash64("bucket", "cell").alias("bucket"), F.col("l.node").alias("node"), F.col("l.fp").alias("fp"))
-    return own.unionByName(leaders).dropDuplicates(["bucket", "node"])
+def cell_pairs(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows (bucket, node, ...) of the buckets in ``hot`` (bucket, cells: two or more), dealt
+    to cells by a hash of the node; each two cells of a bucket become a bucket of their own,
+    so any two rows still meet, and no task holds more than two cells."""
+    own = rows.join(hot, "bucket").withColumn("__c", F.pmod(F.xxhash64("node", "bucket"), "cells"))
+    each = own.withColumn("__o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))).where("__o <> __c")
+    return each.withColumn("bucket", F.xxhash64("bucket", F.least("__c", "__o"), F.greatest("__c", "__o"))).drop("cells", "__c", "__o")
 
 
 def links(nodes: DataFrame, words: int, max_bits: int, bands: int, limit: int = BUCKET) -> DataFrame:
@@ -152,7 +150,7 @@ def links(nodes: DataFrame, words: int, max_bits: int, bands: int, limit: int =
 
     The rows are dealt by band and slice value and met in sorted streams, so a task holds
     one bucket of distinct fingerprints at a time.  Buckets above ``limit`` are taken apart
-    by ``hot_links`` first."""
+    by ``star_links`` or ``cell_pairs`` first."""
     pivots = references(words)
 
     def count(batches):
@@ -219,9 +217,7 @@ def links(nodes: DataFrame, words: int, max_bits: int, bands: int, limit: int =
             extra = star_links(inside.select("node", "fp").distinct())
         dealt = dealt.join(hot, "bucket", "left_anti")
         if extra is None:
-            eighth = lambda k: F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(8)) == k, F.struct("node", "fp")))
-            lead = inside.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.array(*map(eighth, range(8))).alias("leaders"))
-            dealt = dealt.unionByName(cells(inside, materialize(lead, "hot-leaders"), limit))
+            dealt = dealt.unionByName(cell_pairs(inside, hot.select("bucket", F.ceil(2 * F.col("n") / limit).alias("cells"))))
     met = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
     return (met if extra is None else met.unionByName(extra)).distinct()
 
