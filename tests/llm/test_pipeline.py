@@ -50,6 +50,21 @@ def test_near_dedup_stage_against_brute_force(stages):
         assert max(likeness(a, b) for b in ids if b != a) >= 0.6
 
 
+def test_near_dedup_stage_decides_at_the_similarity(stages):
+    shingles = {}
+    for r in stages[1][0].collect():
+        w = r.text.encode().lower().split()
+        shingles[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    low = {i: i for i in shingles}
+    for a in sorted(shingles):
+        for b in sorted(shingles):
+            both = len(shingles[a] & shingles[b]) if b < a else 0
+            if 5 * both >= 4 * (len(shingles[a]) + len(shingles[b]) - both) and low[a] != low[b]:
+                x, y = sorted((low[a], low[b]))
+                low = {i: x if c == y else c for i, c in low.items()}
+    assert {r.doc_id for r in stages[1][1].collect()} == set(low.values())
+
+
 def test_decontamination_stage_leaves_no_window(spark, sf, stages):
     from vecstrata.llm import decontam
 

@@ -110,3 +110,40 @@ def test_keep_one(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [2, 9]
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def alike(tag, common, n=300):
+    """Two texts of ``n`` shingles that share ``common`` of them: the start of the one and of the other."""
+    both = [f"{tag}c{i}" for i in range(common + 4)]
+    return [" ".join([*both, *(f"{tag}{side}{i}" for i in range(n - common))]) for side in "xy"]
+
+
+def test_keep_one_decides_at_the_similarity(spark):
+    at, below = 267, 266  # 267 / 333 = 0.8018, 266 / 334 = 0.7964
+    assert at / (600 - at) >= 0.8 > below / (600 - below)
+    rows = [t for k in range(40) for t in alike(f"p{k}", at)] + [t for k in range(40) for t in alike(f"q{k}", below)]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert kept == {*range(0, 80, 2), *range(80, 160)}
+
+
+def test_set_forest_and_cells(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.choice(60, int(rng.integers(1, 50)), replace=False)).astype(np.uint64) for _ in range(60)]
+    sets += [np.delete(s, 0) for s in sets if len(s) > 5] + [np.r_[s, np.uint64(99)] for s in sets]
+    low = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(np.intersect1d(sets[i], sets[j])) * 5 >= 4 * len(np.union1d(sets[i], sets[j])) and low[i] != low[j]:
+                a, b = sorted((low[i], low[j]))
+                low = [a if x == b else x for x in low]
+    got = list(range(len(sets)))
+    for i, j in simhash.set_forest(sets, 0.8):
+        a, b = sorted((got[i], got[j]))
+        got = [a if x == b else x for x in got]
+    assert got == low
+    texts = [" ".join(f"w{(k + i * (i % 17 == k)) % 400}" for i in range(200)) for k in range(12)] * 2 + alike("z", 290)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+    for name in ("candidates", "verified"):
+        monkeypatch.setattr(getattr(simhash, name), "__defaults__", (5,))
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == whole

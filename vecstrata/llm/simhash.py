@@ -27,7 +27,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
@@ -37,8 +37,10 @@ from .graph import components
 PIVOTS, SEED = 16, 42
 #: Distinct fingerprints that one task may meet in a bucket.
 BUCKET = 50_000
-#: Near-duplicates by similarity: 64-bit words of the fingerprint, bands, and the sort of similarity.
-WIDE_WORDS, WIDE_BANDS = 8, 32
+#: Near-duplicates by similarity: 64-bit words of the fingerprint; shingles that one task may compare.
+WIDE_WORDS, COMPARE = 8, 1 << 17
+#: Documents sampled for common shingles, and how many of these are told apart.
+SAMPLE, COMMON = 5000, 100_000
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -67,9 +69,8 @@ def widen(h: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def fingerprint(text: str | None, shingle: int, words: int = 1) -> bytes:
+def majority(h: np.ndarray, words: int = 1) -> bytes:
     """Big-endian fingerprint: a bit is 1 if it is set in over half the hashes."""
-    h = shingle_hashes(text, shingle)
     if not len(h):
         return bytes(8 * words)
     count = np.zeros(64 * words, np.int64)
@@ -79,6 +80,11 @@ def fingerprint(text: str | None, shingle: int, words: int = 1) -> bytes:
     return np.packbits(2 * count > len(h)).tobytes()
 
 
+def fingerprint(text: str | None, shingle: int, words: int = 1) -> bytes:
+    """The fingerprint of a text; a shingle weighs as often as it stands there."""
+    return majority(shingle_hashes(text, shingle), words)
+
+
 def with_fingerprint(docs: DataFrame, shingle: int, words: int = 1, text: str = "text") -> DataFrame:
     """``docs`` with the binary column ``__fp``; whole texts, one Arrow pass."""
     schema = bounded(docs).withColumn("__fp", F.lit(None).cast("binary")).schema
@@ -145,31 +151,10 @@ def cell_pairs(rows: DataFrame, hot: DataFrame) -> DataFrame:
     return each.withColumn("bucket", F.xxhash64("bucket", F.least("__c", "__o"), F.greatest("__c", "__o"))).drop("cells", "__c", "__o")
 
 
-def links(nodes: DataFrame, words: int, max_bits: int, bands: int, limit: int = BUCKET) -> DataFrame:
-    """(a, b): edges within ``max_bits`` between the (node, fp) rows; fingerprints differ.
-
-    The rows are dealt by band and slice value and met in sorted streams, so a task holds
-    one bucket of distinct fingerprints at a time.  Buckets above ``limit`` are taken apart
-    by ``star_links`` or ``cell_pairs`` first."""
+def met_in_buckets(dealt: DataFrame, words: int, max_bits: int) -> DataFrame:
+    """(a, b): a spanning forest, for each bucket of (bucket, node, fp) rows, of the links within ``max_bits``."""
     pivots = references(words)
 
-    def count(batches):
-        for b in batches:
-            if b.num_rows:
-                fps = np.frombuffer(b"".join(b.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(b.num_rows, words)
-                yield pa.RecordBatch.from_arrays([pa.array((bands_of(fps, bands) * bands + np.arange(bands)).ravel())], names=["bucket"])
-
-    def deal(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            fps = np.frombuffer(b"".join(b.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(b.num_rows, words)
-            values, n = bands_of(fps, bands), b.num_rows
-            node = np.tile(b.column("node").to_numpy(), bands)
-            for k in range(bands):
-                part = slice(k * n, (k + 1) * n)
-                yield pa.RecordBatch.from_arrays([pa.array(values[:, k] * bands + k), pa.array(node[part]), b.column("fp")], names=["bucket", "node", "fp"])
-
     def meet(batches):
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -208,6 +193,33 @@ def links(nodes: DataFrame, words: int, max_bits: int, bands: int, limit: int =
         if held and (made := solve(*join())) is not None:
             yield made
 
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
+
+
+def links(nodes: DataFrame, words: int, max_bits: int, bands: int, limit: int = BUCKET) -> DataFrame:
+    """(a, b): edges within ``max_bits`` between the (node, fp) rows; fingerprints differ.
+
+    The rows are dealt by band and slice value and met in sorted streams, so a task holds
+    one bucket of distinct fingerprints at a time.  Buckets above ``limit`` are taken apart
+    by ``star_links`` or ``cell_pairs`` first."""
+
+    def count(batches):
+        for b in batches:
+            if b.num_rows:
+                fps = np.frombuffer(b"".join(b.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(b.num_rows, words)
+                yield pa.RecordBatch.from_arrays([pa.array((bands_of(fps, bands) * bands + np.arange(bands)).ravel())], names=["bucket"])
+
+    def deal(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            fps = np.frombuffer(b"".join(b.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(b.num_rows, words)
+            values, n = bands_of(fps, bands), b.num_rows
+            node = np.tile(b.column("node").to_numpy(), bands)
+            for k in range(bands):
+                part = slice(k * n, (k + 1) * n)
+                yield pa.RecordBatch.from_arrays([pa.array(values[:, k] * bands + k), pa.array(node[part]), b.column("fp")], names=["bucket", "node", "fp"])
+
     dealt = nodes.select("node", "fp").mapInArrow(deal, "bucket long, node long, fp binary")
     hot = materialize(nodes.select("fp").mapInArrow(count, "bucket long").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit), "hot-buckets")
     extra = None
@@ -218,7 +230,7 @@ def links(nodes: DataFrame, words: int, max_bits: int, bands: int, limit: int =
         dealt = dealt.join(hot, "bucket", "left_anti")
         if extra is None:
             dealt = dealt.unionByName(cell_pairs(inside, hot.select("bucket", F.ceil(2 * F.col("n") / limit).alias("cells"))))
-    met = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
+    met = met_in_buckets(dealt, words, max_bits)
     return (met if extra is None else met.unionByName(extra)).distinct()
 
 
@@ -235,21 +247,153 @@ def report(docs: DataFrame, shingle: int = 3, max_bits: int = 2, text: str = "te
     return rows.join(by_fp, "__fp").select("doc_id", F.lower(F.hex("__fp")).alias("fingerprint"), "component_id")
 
 
-def bits_for(similarity: float, words: int, slack: float = 1.1) -> int:
-    """Differing bits allowed for a Jaccard similarity of shingle sets: the share of bits
-    is the angle between the shingle vectors over pi, with some slack for chance."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(slack * 64 * words * np.arccos(cosine) / np.pi)
+def bits_for(similarity: float, words: int, slack: float = 1.25, spread: float = 5.0) -> int:
+    """Differing bits that a pair of a Jaccard similarity of shingle sets stays below: the
+    share of bits is the angle between the shingle vectors over pi (a quarter more where
+    sets are small), and ``spread`` standard deviations are left to chance."""
+    bits, cosine = 64 * words, 2 * similarity / (1 + similarity)
+    share = slack * np.arccos(cosine) / np.pi
+    return int(bits * share + spread * np.sqrt(bits * share * (1 - share)))
+
+
+def with_set(docs: DataFrame, shingle: int, words: int, text: str) -> DataFrame:
+    """``docs`` with ``__set`` (a hash of the set of shingles), its size and its fingerprint."""
+    schema = bounded(docs).withColumns({"__set": F.lit(0).cast("long"), "__size": F.lit(0).cast("long"), "__fp": F.lit(None).cast("binary")}).schema
+
+    def run(batches):
+        for part in slices(batches, text):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in part.column(text).to_pylist()]
+            name = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64))
+            made = [name, pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(t, shingle, words) for t in part.column(text).to_pylist()], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "__set", "__size", "__fp"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def common_shingles(tagged: DataFrame, shingle: int, text: str) -> np.ndarray:
+    """Shingles that many documents of a bounded sample have, the rarer first.  They only
+    order the prefixes, so what the sample misses costs time, never a pair."""
+    n = tagged.count()
+
+    def run(batches):
+        for part in slices(batches, text):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in part.column(text).to_pylist()]
+            few = np.concatenate([s[:2000] for s in sets])  # the same end of the hashes everywhere
+            yield pa.RecordBatch.from_arrays([pa.array(few.view(np.int64))], names=["h"])
+
+    found = tagged.select(text).sample(min(1.0, SAMPLE / max(n, 1)), SEED).mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    rows = found.orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    return np.array([r.h for r in rows][::-1], np.int64).view(np.uint64)
+
+
+def prefix(h: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, in an order that all sets share (common ones last), so
+    many that two sets alike by ``similarity`` or more have one of them in common."""
+    if not len(h):
+        return h
+    n = int((1 - similarity) * len(h) + 1e-9) + 1
+    rank = np.zeros(len(h), np.int64)
+    if len(common):
+        by = np.argsort(common)
+        at = np.minimum(np.searchsorted(common[by], h), len(common) - 1)
+        rank = np.where(common[by][at] == h, by[at] + 1, 0)
+    return h[np.lexsort((h, rank))[:n]]
+
+
+def candidates(tagged: DataFrame, nodes: DataFrame, shingle: int, similarity: float, text: str, limit: int = BUCKET) -> DataFrame:
+    """(a, b): a forest over the sets that share a prefix shingle and whose fingerprints are
+    within ``bits_for``; every pair alike by ``similarity`` is connected in it."""
+    common = common_shingles(tagged, shingle, text)
+
+    def run(batches):
+        for part in slices(batches, text):
+            heads = [prefix(np.unique(shingle_hashes(t, shingle)), common, similarity) for t in part.column(text).to_pylist()]
+            node = np.repeat(part.column("__set").to_numpy(), [len(x) for x in heads])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).astype(np.uint64).view(np.int64)), pa.array(node)], names=["bucket", "node"])
+
+    dealt = tagged.select(text, "__set").mapInArrow(run, "bucket long, node long").repartition("bucket").distinct()
+    shared = materialize(dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1"), "shared-shingles")
+    dealt = shared.drop("n").join(nodes.select("node", "fp"), "node").select("bucket", "node", "fp")
+    hot = materialize(shared.where(F.col("n") > limit).select("bucket", F.ceil(2 * F.col("n") / limit).alias("cells")).distinct(), "hot-shingles")
+    if not hot.isEmpty():
+        dealt = dealt.join(hot, "bucket", "left_anti").unionByName(cell_pairs(dealt, hot))
+    return met_in_buckets(dealt, WIDE_WORDS, bits_for(similarity, WIDE_WORDS)).distinct()
+
+
+def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Edges (i, j) of a spanning forest of the graph that links the sets (none is empty)
+    whose Jaccard similarity is ``similarity`` or more, each pair counted exactly."""
+    size = np.array([len(s) for s in sets], np.int64)
+    held, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(size) - size
+    edges, rest = [], np.arange(len(sets))
+    live, begin = flat, start  # the shingles of the sets not yet reached
+    while len(rest) > 1:
+        queue, todo = [int(rest[0])], rest[1:]
+        while queue and len(todo):
+            if 2 * len(todo) < len(begin):
+                live = np.concatenate([flat[start[k] : start[k] + size[k]] for k in todo])
+                begin, rows = np.cumsum(size[todo]) - size[todo], todo
+            elif len(begin) == len(sets):
+                rows = np.arange(len(sets))
+            u = queue.pop()
+            mark = np.zeros(len(held), np.int64)
+            mark[flat[start[u] : start[u] + size[u]]] = 1
+            both = np.add.reduceat(mark[live], begin)
+            near = rows[(both + 1e-9 >= similarity * (size[u] + size[rows] - both))]
+            near = near[np.isin(near, todo, assume_unique=True)]
+            edges += [(u, int(v)) for v in near]
+            queue += near.tolist()
+            todo = todo[~np.isin(todo, near, assume_unique=True)]
+        rest = todo
+    return edges
+
+
+def verified(tagged: DataFrame, nodes: DataFrame, parts: DataFrame, shingle: int, similarity: float, text: str, limit: int = COMPARE) -> DataFrame:
+    """(a, b): links between the sets of each of ``parts`` (node, component), decided on the
+    shingles themselves.  Parts of more than ``limit`` shingles are met by pairs of cells."""
+    inside = materialize(nodes.join(parts, "node").select("node", "size", "component", F.col("first.__uid").alias("__uid")), "near-sets")
+
+    def run(batches):
+        for part in slices(batches, text):
+            sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in part.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("component"), part.column("node"), pa.array(sets, pa.binary())], names=["bucket", "node", "hashes"])
+
+    def meet(batches):
+        key, node, sets = None, [], []
+
+        def solve():
+            edges = set_forest(sets, similarity) if len(sets) > 1 else []
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array([node[e[k]] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for k, u, raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", "hashes"))):
+                if k != key:
+                    yield from solve()
+                    key, node, sets = k, [], []
+                node.append(u)
+                sets.append(np.frombuffer(raw, np.uint64))
+        yield from solve()
+
+    dealt = materialize(tagged.select("__uid", text).join(inside, "__uid").mapInArrow(run, "bucket long, node long, hashes binary"), "near-shingles")
+    hot = materialize(inside.groupBy(F.col("component").alias("bucket")).agg(F.sum("size").alias("n")).where(F.col("n") > limit).select("bucket", F.ceil(2 * F.col("n") / limit).alias("cells")), "hot-parts")
+    if not hot.isEmpty():
+        dealt = dealt.join(hot, "bucket", "left_anti").unionByName(cell_pairs(dealt, hot))
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
     """``docs`` with one document (the smallest doc_id) left of each group of near-duplicates
-    whose ``shingle``-word shingles are alike by ``similarity`` or more, as wide
-    fingerprints of 64 x ``WIDE_WORDS`` bits tell."""
-    tagged = materialize(with_fingerprint(docs, shingle, WIDE_WORDS, text).withColumn("__uid", F.monotonically_increasing_id()), "fingerprinted")
-    rows = tagged.select("__uid", "__fp", F.col("doc_id").cast("long").alias("__id"))
-    nodes = materialize(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min("__uid").alias("node"), F.min(F.struct(F.col("__id").isNull(), "__id", "__uid")).alias("first")), "fingerprints")
-    parts = components(links(nodes, WIDE_WORDS, bits_for(similarity, WIDE_WORDS), WIDE_BANDS))
+    whose sets of ``shingle``-word shingles are alike by ``similarity`` or more.
+
+    Prefixes of the sets and fingerprints of 64 x ``WIDE_WORDS`` bits give groups that no
+    near-duplicate leaves; within a group the sets themselves decide."""
+    tagged = materialize(with_set(docs, shingle, WIDE_WORDS, text).withColumn("__uid", F.monotonically_increasing_id()), "fingerprinted")
+    rows = tagged.select("__uid", "__set", "__size", "__fp", F.col("doc_id").cast("long").alias("__id"))
+    nodes = materialize(rows.groupBy(F.col("__set").alias("node")).agg(F.first("__fp").alias("fp"), F.first("__size").alias("size"), F.min(F.struct(F.col("__id").isNull(), "__id", "__uid")).alias("first")), "shingle-sets")
+    coarse = components(candidates(tagged, nodes, shingle, similarity, text))
+    parts = components(verified(tagged, nodes, coarse, shingle, similarity, text))
     placed = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = placed.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.__uid").alias("__uid"))
     return tagged.join(kept, "__uid", "left_semi").select(*docs.columns)
