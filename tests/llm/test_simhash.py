@@ -126,6 +126,14 @@ def test_keep_one_decides_at_the_similarity(spark):
     assert kept == {*range(0, 80, 2), *range(80, 160)}
 
 
+def test_keep_one_takes_sets(spark):
+    block = " ".join(f"b{i}" for i in range(24))
+    pages = [" ".join([block] * 20 + [f"{side}{i}" for i in range(200)]) for side in "xy"]  # alike by about 0.1
+    same = " ".join(f"s{i}" for i in range(100))
+    docs = spark.createDataFrame([(1, pages[0]), (2, pages[1]), (3, same), (4, " ".join([same] * 9)), (5, "")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 2, 3, 5]
+
+
 def test_set_forest_and_cells(spark, monkeypatch):
     rng = np.random.default_rng(9)
     sets = [np.unique(rng.choice(60, int(rng.integers(1, 50)), replace=False)).astype(np.uint64) for _ in range(60)]

@@ -264,7 +264,7 @@ def with_set(docs: DataFrame, shingle: int, words: int, text: str) -> DataFrame:
         for part in slices(batches, text):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in part.column(text).to_pylist()]
             name = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64))
-            made = [name, pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(t, shingle, words) for t in part.column(text).to_pylist()], pa.binary())]
+            made = [name, pa.array([len(s) for s in sets], pa.int64()), pa.array([majority(s, words) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "__set", "__size", "__fp"])
 
     return docs.mapInArrow(run, schema)
