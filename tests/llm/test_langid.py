@@ -42,3 +42,13 @@ def test_frame_edges(spark):
     model = langid.train(langid.training_rows(docs))
     assert sorted((r.doc_id or 0, r.lang_pred) for r in langid.identify(docs, model).collect()) == [(0, "und"), (1, "en"), (1, "en")]
     assert langid.training_rows(docs.limit(0)) == []
+
+
+def test_training_rows_are_even_over_many_languages(spark):
+    rows = [(f"text {i} of {k}", f"l{k:02d}") for k in range(30) for i in range(1000 if k < 15 else 30)] + [("long text " * 5000, "zz")]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    count = {}
+    for text, lang in langid.training_rows(docs, per_lang=60, rows=900):
+        assert 0 < len(text) <= langid.TRAIN_CHARS
+        count[lang] = count.get(lang, 0) + 1
+    assert count == {f"l{k:02d}": 29 for k in range(30)} | {"zz": 1}

@@ -19,13 +19,13 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_texts
 
-#: Rows of each language, and of all, that training may take; longer texts are no training rows.
-TRAIN_PER_LANG, TRAIN_ROWS, TRAIN_CHARS = 600, 6000, 20_000
+#: Rows of each language, and of all, that training may take, and their characters; rows of each language at least.
+TRAIN_PER_LANG, TRAIN_ROWS, TRAIN_CHARS, FLOOR = 600, 6000, 20_000, 20
 BUCKETS, DIM, EPOCHS, BATCH, RATE = 1 << 15, 16, 4, 32, 2.0
 ORDERS = (2, 3, 4)
 #: Share of right answers on held-back segments that rejection may cost.
@@ -152,15 +152,22 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 
 
 def training_rows(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows, even over the languages, chosen by a hash of doc_id."""
-    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text").between(1, chars)))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    """A bounded sample of labelled rows, even over the languages, chosen by a hash of doc_id:
+    ``rows`` are divided among the languages first, ``FLOOR`` at least for each, and of a
+    longer text a segment of ``chars`` characters from its middle is taken."""
+    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()}
     if not counts:
         return []
+    share = min(per_lang, max(FLOOR, rows // len(counts)))
     span = 1 << 40
-    bound = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(span * min(1.0, per_lang / n)))))
     key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(span))
-    picked = known.withColumn("__key", key).where(F.col("__key") < bound[F.col("lang")]).orderBy("__key", "lang").limit(rows).select("text", "lang").collect()
+    # twice the share and some more by the hash, so that few are ranked; a language falls short of its share only by chance
+    bounds = docs.sparkSession.createDataFrame([(lang, int(span * min(1.0, (2 * share + 50) / n))) for lang, n in counts.items()], "lang string, __bound long")
+    near = known.join(F.broadcast(bounds), "lang").withColumn("__key", key).where("__key < __bound")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("__key", "text"))
+    middle = F.when(F.length("text") > chars, F.expr(f"substring(text, CAST((length(text) - {chars}) / 2 AS INT) + 1, {chars})")).otherwise(F.col("text"))
+    picked = near.select("lang", "__key", middle.alias("text")).withColumn("__rank", rank).where(F.col("__rank") <= share).orderBy("__key", "lang").select("text", "lang").collect()
     return [(r.text, r.lang) for r in picked]
 
 
