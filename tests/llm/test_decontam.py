@@ -58,3 +58,16 @@ def test_spans_are_cut(spark):
     docs = spark.createDataFrame([(1, "pad " * 400 + passage + " tail", 7)], "doc_id long, text string, n_chars long")
     row = decontam.clean(docs, spark.createDataFrame([(1, passage)], "item_id int, text string")).first()
     assert row.text == "pad " * 400 + " tail" and row.n_chars == len(row.text)
+
+
+def test_items_without_id(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(20)) for c in "vw")
+    bench = spark.createDataFrame([(None, one), (None, one + " more"), (7, two), (8, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{one} and {two}"), (2, one), (3, two), (4, "clean")], "doc_id long, text string")
+    for block_bytes in (decontam.BLOCK_BYTES, 20):
+        found = decontam.scan(docs, bench, block_bytes=block_bytes).collect()
+        assert {r.doc_id: r["__items"] for r in found} == {1: ["7", None], 2: [None], 3: ["7"], 4: []}
+    rows = {r.doc_id: r for r in decontam.report(docs, bench).withColumn("d", decontam.items_digest()).collect()}
+    assert [(rows[i].n_hit, rows[i].n_items) for i in (1, 2, 3, 4)] == [(40, 2), (20, 1), (20, 1), (0, 0)]
+    assert [rows[i].d for i in (1, 2)] == [hashlib.sha256(b).hexdigest() for b in (b"7", b"")]
+    assert [r.doc_id for r in decontam.clean(docs, bench).collect()] == [4]

@@ -11,7 +11,8 @@ documents in the same pass and adds to what the blocks before found.  Documents
 shuffled.  A window is looked up only where all its words occur in the benchmark, and by
 the word sequence itself, so a hit needs no further check.
 
-Null text has no words: no hits.  An empty benchmark hits nothing.  Repeated items count
+Null text has no words: no hits.  Items with a null id hit like others; together they are
+one item, a null at the end of the list that the digest leaves out.  An empty benchmark hits nothing.  Repeated items count
 once; repeated documents are each answered.  A document without words is never
 contaminated.
 """
@@ -71,9 +72,9 @@ class Matcher:
         return hit, found
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
+def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, str | None]]]:
     """The benchmark's items in collected blocks of about ``limit`` bytes, at least one."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = total // limit + 1
     for k in range(n):
@@ -106,7 +107,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: in
                     if hit is not None:
                         for a, b in zip(spans[k][::2], spans[k][1::2]):
                             hit[a:b] = True
-                        spans[k], items[k] = runs(hit), sorted(found.union(items[k]))
+                        spans[k], items[k] = runs(hit), sorted(found.union(items[k]), key=lambda x: (x is None, x))
                 cols = [part.column(c) for c in kept] + [pa.array(v, f.type) for v, f in zip((counts, spans, items), extra)]
                 yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([*(part.schema.field(c) for c in kept), *extra]))
 
