@@ -1,5 +1,6 @@
 import io
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -9,8 +10,9 @@ from vecstrata import __main__ as cli
 from vecstrata.engine import Engine
 from vecstrata.operators import exact
 from vecstrata.sources.synthetic import synthetic_documents
-from vecstrata.streaming.ingest import contiguous, index_available, ingest
-from vecstrata.types import AlreadyExists, DimensionMismatch, IndexConfig, NotFound, ValidationError, WriteConflict
+from vecstrata.sources.store import Store
+from vecstrata.streaming.ingest import index_available, ingest
+from vecstrata.types import WAL_SCHEMA, AlreadyExists, DimensionMismatch, IndexConfig, NotFound, ValidationError, WriteConflict
 
 
 @pytest.fixture
@@ -78,14 +80,49 @@ def test_failed_first_batch_sets_no_dimensions(spark, engine):
 def test_sequences_and_manifests_are_exclusive(spark, engine):
     ns = engine.create_namespace("n")
     ns.upsert(docs(spark, [(1, [1.0], None)]))
-    ns.store.files.create("", "n", "wal", "_claims", f"{2:020d}")  # another writer's claim
-    assert ns.upsert(docs(spark, [(2, [1.0], None)])) == 3
-    assert ns.store.sequences("n") == [1, 3] and ns.store.entry("n", 2) is None and ns.store.entry("n", 3).count() == 1
+    with pytest.raises(WriteConflict):
+        ns.store.files.create("", "n", "wal", "entries", f"{1:020d}.json")
+    assert ns.upsert(docs(spark, [(2, [1.0], None)])) == 2
+    assert ns.store.sequences("n") == [1, 2] and ns.store.entry("n", 3) is None and ns.store.entry("n", 2).count() == 1
     ns.build_index()
     with pytest.raises(WriteConflict):
         ns.store.commit_manifest("n", 1, {})
 
 
+def staged(spark, ns, id):
+    rows = spark.createDataFrame([(0, 0, "upsert", 0, id, [float(id)], {})], f"{WAL_SCHEMA}")
+    return ns.store.stage(ns.name, rows)[0]
+
+
+def test_a_slow_writer_loses_nothing(spark, engine):
+    """A begins to write, B publishes and the index is built, then A publishes."""
+    ns = engine.create_namespace("n", "euclidean_squared")
+    ns.upsert(docs(spark, [(1, [1.0], None)]))
+    slow, dead = staged(spark, ns, 2), staged(spark, ns, 9)
+    ns.upsert(docs(spark, [(3, [3.0], None)]))
+    ns.build_index()
+    assert ns.store.manifest("n")["wal_sequence"] == 2
+    assert ns.store.publish("n", slow) == 3
+    assert sorted(r.id for r in ns.documents().collect()) == [1, 2, 3]
+    ns.build_index()
+    assert sorted(r.id for r in ns.documents().collect()) == [1, 2, 3] and dead not in str(ns.store.entries("n"))
+
+
+def test_writers_at_once_get_numbers_of_their_own(spark, engine):
+    ns = engine.create_namespace("n", "euclidean_squared")
+    batches = [staged(spark, ns, k) for k in range(12)]
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(lambda b: Engine(spark, engine.store.files.root).namespace("n").store.publish("n", b), batches))
+    assert sorted(got) == list(range(1, 13)) and ns.doc_count() == 12
+
+
+def test_metadata_versions(engine):
+    ns = engine.create_namespace("n")
+    engine.store.write_meta("n", ns.meta() | {"dimensions": 3})
+    engine.store.write_meta("n", ns.meta() | {"dimensions": 4})
+    assert ns.meta()["dimensions"] == 4 and engine.store.namespaces() == ["n"]
+
+
 def test_index_lifecycle(spark, engine):
     ns = engine.create_namespace("n", "euclidean_squared")
     rows = synthetic_documents(spark, 600, 16, seed=1)
@@ -162,7 +199,29 @@ def test_streams(spark, engine, tmp_path):
     assert ns.doc_count() == 120 and ns.get(500).id == 500
     index_available(ns, str(tmp_path / "c3")).awaitTermination()
     assert ns.store.manifest("n")["wal_sequence"] == 4
-    assert contiguous([1, 2, 4], 0) == 2 and contiguous([], 5) == 5
+    assert ns.compact() == 4
+    ingest(changes, ns, str(tmp_path / "c5"), name="changes", once=True).awaitTermination()  # compacted, and still written once
+    assert ns.last_sequence() == 4
+
+
+def test_a_batch_replayed_after_a_crash_is_written_once(spark, engine, tmp_path, monkeypatch):
+    """The process dies right after the entry is published; another write follows; replay."""
+    ns = engine.create_namespace("n", "euclidean_squared")
+    spark.createDataFrame([(1, [1.0])], "id long, vector array<float>").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, vector array<float>").parquet(str(tmp_path / "in"))
+    publish = Store.publish
+
+    def dying(self, *args):
+        publish(self, *args)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(Store, "publish", dying)
+    with pytest.raises(Exception, match="lost"):
+        ingest(stream, ns, str(tmp_path / "c"), once=True).awaitTermination()
+    monkeypatch.setattr(Store, "publish", publish)
+    ns.upsert(docs(spark, [(1, [5.0], None)]))
+    ingest(stream, ns, str(tmp_path / "c"), once=True).awaitTermination()
+    assert ns.last_sequence() == 2 and ns.get(1).vector == [5.0]
 
 
 def test_command_line(spark, tmp_path):

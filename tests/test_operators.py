@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vecstrata.engine import Engine
 from vecstrata.functions.distance import one_to_many
 from vecstrata.operators import exact, hybrid, index, kmeans, replay
 from vecstrata.sources.synthetic import synthetic_documents
@@ -99,14 +100,42 @@ def test_diversity_rule(spark):
     assert index.diverse(query, heads, dist, 0.9, 4, "euclidean_squared") == [0, 1, 2, 3]
 
 
-def test_placement_over_head_blocks(spark, monkeypatch):
+def test_placement_beyond_one_block(spark, monkeypatch):
     rng = np.random.default_rng(6)
     heads = spark.createDataFrame([(i, v.tolist(), True) for i, v in enumerate(rng.normal(size=(30, 4)))], "head_id long, centroid array<double>, active boolean")
     rows = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 4)))], "vector_id long, version long, vector array<float>")
     config = IndexConfig(replica_count=3, rng_factor=0.0)
     whole = sorted(map(str, index.place(rows, heads, config).collect()))
-    monkeypatch.setattr(index.head_blocks, "__defaults__", (200,))
-    assert sorted(map(str, index.place(rows, heads, config).collect())) == whole and len(whole) == 120
+    monkeypatch.setattr(index, "SALT_ROWS", 3)
+    assert sorted(map(str, index.place(rows, heads, config, 200).collect())) == whole and len(whole) == 120  # five pivots: every head is near each
+
+
+def test_recall_of_routed_placement(spark, built, monkeypatch):
+    docs, config, heads, post, versions = built
+    monkeypatch.setattr(index, "SALT_ROWS", 200)
+    rows = docs.select(F.col("id").alias("vector_id"), F.lit(1).cast("long").alias("version"), "vector")
+    other = index.place(rows, heads, config, 4000)
+    assert other.select("vector_id").distinct().count() == 3000
+    queries = synthetic_documents(spark, 40, 32, seed=5).select(F.col("id").alias("qid"), "vector")
+    found = index.ann_search(queries, heads, other, versions, config, 10)
+    assert exact.recall_at_k(exact.knn_batch(docs, queries, 10), found, 10).first().recall > 0.9
+
+
+def test_search_reads_probed_parts_only(spark, tmp_path, monkeypatch):
+    rows = synthetic_documents(spark, 400, 8, seed=3)
+    ns = Engine(spark, str(tmp_path / "s")).create_namespace("n", "euclidean_squared")
+    ns.upsert(rows)
+    monkeypatch.setattr(index, "PART_BYTES", 1000)
+    ns.build_index(IndexConfig(max_posting_size=20, replica_count=1, num_search_heads=2))
+    held = ns._index()
+    assert held["parts"] > 5
+    query = rows.limit(1).select(F.col("id").alias("qid"), "vector")
+    probed = {r.head_id % held["parts"] for r in index.head_search(query, held["heads"], 2, "euclidean_squared").collect()}
+    got = index.ann_candidates(query, held["heads"], held["postings"], held["versions"], IndexConfig(num_search_heads=2), parts=held["parts"])
+    want = held["postings"].where(F.col("part").isin(list(probed))).join(index.head_search(query, held["heads"], 2, "euclidean_squared"), "head_id")
+    assert {r.id for r in got.collect()} == {r.vector_id for r in want.collect()}
+    plan = held["postings"].where(F.col("part").isin(list(probed)))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [part" in plan
 
 
 def test_liveness_and_dedup(spark):

@@ -72,8 +72,8 @@ class Namespace:
         held = self.meta()["dimensions"]
         if held is not None:
             return held
-        row = self.store.log(self.name).where("vector IS NOT NULL").select(F.size("vector").alias("n")).first()
-        return row.n if row else None
+        first = self.log().where("vector IS NOT NULL").agg(F.min(F.struct("sequence", F.size("vector").alias("n"))).alias("f")).first().f
+        return first.n if first else None
 
     # writes
 
@@ -89,7 +89,7 @@ class Namespace:
         vector = F.col("vector").cast("array<float>") if "vector" in types else F.lit(None).cast("array<float>")
         return docs.select(F.col("id").cast("long").alias("id"), vector.alias("vector"), made.alias("attributes"))
 
-    def _append(self, rows: DataFrame) -> int | None:
+    def _append(self, rows: DataFrame, source: str | None = None) -> int | None:
         """Stage the rows, check what was staged, publish it; nothing is left of a refused call."""
         aside, staged = self.store.stage(self.name, rows.select("op_idx", "doc_idx", "op", "ts_ms", "id", "vector", "attributes"))
         size = F.when(F.col("vector").isNotNull(), F.size("vector"))
@@ -104,20 +104,21 @@ class Namespace:
             if wrong is not None:
                 raise DimensionMismatch(f"expected {want} dimensions, got {wrong}")
             raise ValidationError("ids must be integers from 0 to 2^63 - 1")
-        sequence = self.store.publish(self.name, aside)
-        if seen.low is not None and self.meta()["dimensions"] is None:
-            self.store.write_meta(self.name, self.meta() | {"dimensions": seen.low})
+        sequence = self.store.publish(self.name, aside, source)
+        if seen.low is not None:
+            self._keep_dimensions()
         return sequence
 
-    def write(self, operations: list[tuple[str, DataFrame]]) -> int | None:
-        """Several operations, ('upsert', documents) or ('delete', ids), as one log entry, in order."""
+    def write(self, operations: list[tuple[str, DataFrame]], source: str | None = None) -> int | None:
+        """Several operations, ('upsert', documents) or ('delete', ids), as one log entry, in
+        order.  A ``source`` names the write: the log takes each name once."""
         self.meta()
         parts = None
         for k, (op, df) in enumerate(operations):
             rows = self._normalised(df) if op == "upsert" else df.select(F.col("id").cast("long").alias("id"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast(ATTRIBUTES).alias("attributes"))
             rows = rows.select(F.lit(k).alias("op_idx"), F.monotonically_increasing_id().alias("doc_idx"), F.lit(op).alias("op"), F.lit(int(time.time() * 1000)).alias("ts_ms"), "id", "vector", "attributes")
             parts = rows if parts is None else parts.unionByName(rows)
-        return self._append(parts) if parts is not None else None
+        return self._append(parts, source) if parts is not None else None
 
     def upsert(self, docs: DataFrame) -> int | None:
         """The sequence written; None for no rows."""
@@ -135,20 +136,18 @@ class Namespace:
 
     # state
 
-    def log(self, after: int = 0) -> DataFrame:
-        return replay.tail(self.store.log(self.name), after)
+    def log(self, after: int = 0, up_to: int | None = None) -> DataFrame:
+        return self.store.log(self.name, after, up_to)
 
     def last_sequence(self) -> int:
-        """The newest entry, or the index's watermark if the log was compacted to it."""
-        manifest = self.store.manifest(self.name)
-        return max([manifest["wal_sequence"] if manifest else 0, *self.store.sequences(self.name)])
+        return self.store.last_sequence(self.name)
 
     def _index(self) -> dict | None:
         manifest = self.store.manifest(self.name)
         if manifest is None:
             return None
         read = lambda name, schema: self.store.read_table(self.name, manifest["gen"], name, schema)
-        return manifest | {"heads": read("heads", HEADS_SCHEMA), "postings": read("postings", POSTINGS_SCHEMA), "versions": read("versions", VERSIONS_SCHEMA), "docs": read("docs", STATE_SCHEMA)}
+        return manifest | {"heads": read("heads", HEADS_SCHEMA), "postings": read("postings", f"{POSTINGS_SCHEMA}, part INT"), "versions": read("versions", VERSIONS_SCHEMA), "docs": read("docs", STATE_SCHEMA)}
 
     def documents(self) -> DataFrame:
         """The live documents: id, vector, attributes, last_seq."""
@@ -229,7 +228,7 @@ class Namespace:
             raise ValidationError(f"namespace {self.name!r} has no vectors")
         config = config or (self._config(held) if held else IndexConfig(metric=self.meta()["distance_metric"]))
         gen = (held["gen"] if held else 0) + 1
-        fresh = materialize(replay.latest_ops(self.log(since).where(F.col("sequence") <= last)), "tail")
+        fresh = materialize(replay.latest_ops(self.log(since, last)), "tail")
         if held is None:
             docs = fresh.where("op = 'upsert'").select("id", "vector", "attributes", F.col("sequence").alias("last_seq"))
             rows = docs.where("vector IS NOT NULL").select(F.col("id").alias("vector_id"), "vector")
@@ -242,7 +241,7 @@ class Namespace:
             both = held["versions"].join(changed, "vector_id", "full_outer")
             versions = materialize(both.select("vector_id", F.when(F.col("gone").isNull(), F.col("version")).otherwise(F.coalesce("version", F.lit(0)) + 1).alias("version"), F.coalesce("gone", "deleted").alias("deleted")), "versions")
             added = changed.where("NOT gone").join(versions.select("vector_id", "version"), "vector_id").select("vector_id", "version", "vector")
-            postings = materialize(held["postings"].unionByName(index.place(added, held["heads"], config)), "postings")
+            postings = materialize(held["postings"].drop("part").unionByName(index.place(added, held["heads"], config)), "postings")
             heads = held["heads"]
         versions = materialize(versions, "versions")
         for _ in range(config.max_split_depth):
@@ -259,13 +258,16 @@ class Namespace:
         """Postings, heads, versions and documents of a generation, then its manifest."""
         if gen in self.store.generations(self.name):
             raise WriteConflict(f"generation {gen} exists")
-        self.store.write_table(self.name, gen, "postings", postings.select("head_id", "vector_id", "version", "vector").repartition("head_id"))
+        postings = materialize(postings.select("head_id", "vector_id", "version", "vector"), "live-postings")
+        parts = index.part_count(postings)
+        laid = postings.withColumn("part", F.pmod("head_id", F.lit(parts)).cast("int")).repartition("part").sortWithinPartitions("part", "head_id")
+        self.store.write_table(self.name, gen, "postings", laid, "part")
         self.store.write_table(self.name, gen, "heads", heads)
         self.store.write_table(self.name, gen, "versions", versions)
         self.store.write_table(self.name, gen, "docs", docs)
         read = lambda name, schema: self.store.read_table(self.name, gen, name, schema)
         manifest = {
-            "version": 1, "wal_sequence": last, "config": asdict(config), "active_centroids": read("heads", HEADS_SCHEMA).where("active").count(),
+            "version": 1, "wal_sequence": last, "config": asdict(config), "parts": parts, "active_centroids": read("heads", HEADS_SCHEMA).where("active").count(),
             "num_vectors": read("versions", VERSIONS_SCHEMA).where("NOT deleted").count(), "created_at": int(time.time() * 1000),
         }
         self.store.commit_manifest(self.name, gen, json.loads(json.dumps(manifest)))
@@ -277,21 +279,22 @@ class Namespace:
         return exact.recall_at_k(truth, self.query_batch(queries, k, num_search_heads=num_search_heads), k).first().recall or 0.0
 
     def compact(self) -> int:
-        """Delete the log entries that the newest generation holds; how many went.  Their
-        numbers stay claimed, so later entries count on."""
+        """Delete the log entries that the newest generation holds; how many went.  Later
+        entries count on from the manifest's watermark."""
         manifest = self.store.manifest(self.name)
-        gone = [s for s in self.store.sequences(self.name) if manifest and s <= manifest["wal_sequence"]]
-        if gone:
-            self._keep_dimensions()
-        for s in gone:
-            self.store.files.delete(self.name, "wal", f"sequence={s}")
-        return len(gone)
+        if not manifest:
+            return 0
+        self._keep_dimensions()
+        return self.store.drop_entries(self.name, manifest["wal_sequence"])
 
     def _keep_dimensions(self) -> None:
         """Write dimensions that only the log knows into the metadata."""
         meta, dims = self.meta(), self.dimensions()
         if meta["dimensions"] is None and dims is not None:
-            self.store.write_meta(self.name, meta | {"dimensions": dims})
+            try:
+                self.store.write_meta(self.name, meta | {"dimensions": dims})
+            except WriteConflict:  # another writer noted them: the first entry's, as here
+                pass
 
     def check_index(self) -> dict[str, int]:
         held = self._index()

@@ -21,7 +21,7 @@ def hybrid_knn(queries: DataFrame, k: int = DEFAULT_TOP_K, metric: str = "euclid
     keep = (lambda df: df.join(allowed, "id", "left_semi")) if allowed is not None else lambda df: df
     if index is None:
         return knn_batch(keep(documents.where("vector IS NOT NULL")), queries, k, metric)
-    found = keep(ann_candidates(queries, index["heads"], index["postings"], index["versions"], config or IndexConfig(), metric))
+    found = keep(ann_candidates(queries, index["heads"], index["postings"], index["versions"], config or IndexConfig(), metric, index.get("parts")))
     if tail_ops is None:
         return rank_by_query(found, k)
     kept = found.join(tail_ops.select("id"), "id", "left_anti").select("qid", "id", "dist")

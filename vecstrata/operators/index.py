@@ -3,8 +3,16 @@
 The build is level-synchronous: lists above the size bound are divided from a bounded sample
 of each, in groups of their own, and every vector of a divided list moves to the nearest of
 its parts by an equality join on the list, so no task ever holds a whole list.  Vectors are
-then replicated to the nearest heads that pass the diversity rule.  Heads travel to the
-vectors in blocks of bounded size.
+then replicated to the nearest heads that pass the diversity rule.
+
+While all heads fit one block of ``HEAD_BLOCK_BYTES`` they are broadcast and every vector
+meets all of them.  Beyond, heads are dealt to the ``BEAM`` nearest of a bounded number of
+pivots among them and every vector to its nearest pivot, so a task meets the heads around
+one pivot only; the vectors of a crowded pivot are salted over several tasks.
+
+A search reads the probed lists alone: the posting files are laid out by ``part``, probes are
+found first, vectors are scored where their list is, and only (query, id, version, distance)
+rows travel.
 """
 
 from __future__ import annotations
@@ -18,21 +26,14 @@ from pyspark.sql import functions as F
 from ..functions.distance import distance, many_to_many, metric_of, one_to_many
 from ..scratch import discard, materialize
 from ..types import IndexConfig, Metric
-from .exact import knn_batch, matrix, nearest, rank_by_query
+from .exact import knn_batch, matrix, nearest, query_blocks, rank_by_query
 from .kmeans import divide
 
 HEAD_BLOCK_BYTES, SAMPLE_ROWS, FAN_OUT = 32 << 20, 2048, 64
-
-
-def head_blocks(heads: DataFrame, limit: int = HEAD_BLOCK_BYTES):
-    """Collected blocks (ids, matrix) of the active heads, each of about ``limit`` bytes."""
-    active = heads.where("active").select("head_id", "centroid")
-    n, dims = active.agg(F.count(F.lit(1)), F.max(F.size("centroid"))).first()
-    blocks = (n * 8 * (dims or 0)) // limit + 1
-    for b in range(blocks):
-        rows = (active if blocks == 1 else active.where(F.pmod(F.xxhash64("head_id"), F.lit(blocks)) == b)).orderBy("head_id").collect()
-        if rows:
-            yield np.array([r.head_id for r in rows], np.int64), np.array([r.centroid for r in rows], np.float64)
+#: Pivots that a head is dealt to, pivots at most, vectors of a pivot that one task may take.
+BEAM, PIVOTS, SALT_ROWS = 8, 4096, 1 << 20
+#: Bytes of queries and probes sent to the executors at once; bytes of a part of the postings.
+PROBE_BYTES, PART_BYTES, PARTS = 16 << 20, 64 << 20, 4096
 
 
 def diverse(query: np.ndarray, heads: np.ndarray, dist: np.ndarray, factor: float, most: int, metric: str) -> list[int]:
@@ -47,45 +48,93 @@ def diverse(query: np.ndarray, heads: np.ndarray, dist: np.ndarray, factor: floa
     return chosen
 
 
-def place(rows: DataFrame, heads: DataFrame, config: IndexConfig) -> DataFrame:
+_PLACED = "vector_id long, version long, vector array<float>, heads array<long>"
+
+
+def chosen_heads(batch, ids: np.ndarray, centers: np.ndarray, config: IndexConfig) -> pa.RecordBatch:
+    """The batch's vectors with the heads, among (ids, centers), that each is placed in: of
+    the 2 x replicas nearest those that pass the diversity rule."""
+    metric, want = metric_of(config.metric), 2 * config.replica_count
+    vectors, lists = matrix(batch.column("vector")), []
+    for a in range(0, len(vectors), 1024):
+        approx = many_to_many(metric, vectors[a : a + 1024], centers)
+        for v, row in zip(vectors[a : a + 1024], approx):
+            at, dist = nearest(metric, v, row, ids, centers, want)
+            lists.append(ids[at[diverse(v, centers[at], dist, config.rng_factor, config.replica_count, metric)]])
+    return pa.RecordBatch.from_arrays([batch.column("vector_id"), batch.column("version"), batch.column("vector"), pa.array(lists, pa.list_(pa.int64()))], names=["vector_id", "version", "vector", "heads"])
+
+
+def place(rows: DataFrame, heads: DataFrame, config: IndexConfig, block_bytes: int = HEAD_BLOCK_BYTES) -> DataFrame:
     """(head_id, vector_id, version, vector) of (vector_id, version, vector) rows: of the
     2 x replicas nearest heads those that pass the diversity rule."""
-    spark, metric, want = rows.sparkSession, metric_of(config.metric), 2 * config.replica_count
-    carried = "vector_id long, version long, vector array<float>, near array<struct<d: double, h: long, c: array<double>>>"
-    out = rows.select("vector_id", "version", "vector", F.expr("CAST(array() AS ARRAY<STRUCT<d: DOUBLE, h: BIGINT, c: ARRAY<DOUBLE>>>)").alias("near"))
-    near_type = pa.list_(pa.struct([("d", pa.float64()), ("h", pa.int64()), ("c", pa.list_(pa.float64()))]))
-    for ids, centers in head_blocks(heads):
-        sent = spark.sparkContext.broadcast((ids, centers))
-
-        def meet(batches, sent=sent):
-            ids, centers = sent.value
-            for whole in batches:
-                for a in range(0, whole.num_rows, 1024):
-                    batch = whole.slice(a, 1024)
-                    vectors = matrix(batch.column("vector"))
-                    approx = many_to_many(metric, vectors, centers)
-                    lists = []
-                    for i, held in enumerate(batch.column("near").to_pylist()):
-                        at, dist = nearest(metric, vectors[i], approx[i], ids, centers, want)
-                        now = [*held, *({"d": d, "h": h, "c": c} for d, h, c in zip(dist.tolist(), ids[at].tolist(), centers[at].tolist()))]
-                        lists.append(sorted(now, key=lambda r: (r["d"], r["h"]))[:want])
-                    yield pa.RecordBatch.from_arrays([batch.column("vector_id"), batch.column("version"), batch.column("vector"), pa.array(lists, near_type)], names=["vector_id", "version", "vector", "near"])
-
-        out = out.mapInArrow(meet, carried)
-
-    def choose(batches):
+    active = heads.where("active").select("head_id", F.col("centroid").cast("array<double>").alias("centroid"))
+    n, dims = active.agg(F.count(F.lit(1)), F.max(F.size("centroid"))).first()
+    rows = rows.select("vector_id", "version", "vector")
+    if not n:
+        out = rows.withColumn("heads", F.array().cast("array<long>")).limit(0)
+    elif n * dims * 8 <= block_bytes:
+        held = active.orderBy("head_id").collect()
+        sent = rows.sparkSession.sparkContext.broadcast((np.array([r.head_id for r in held], np.int64), np.array([r.centroid for r in held], np.float64)))
+        out = rows.mapInArrow(lambda batches: (chosen_heads(b, *sent.value, config) for b in batches if b.num_rows), _PLACED)
+    else:
+        out = routed(rows, active, config, int(min(PIVOTS, max(2, n**0.5), max(2, block_bytes // (8 * dims)))))
+    return out.select(F.explode("heads").alias("head_id"), "vector_id", "version", "vector")
+
+
+def routed(rows: DataFrame, active: DataFrame, config: IndexConfig, n_pivots: int) -> DataFrame:
+    """``place`` for more heads than one broadcast: vectors meet the heads around a pivot."""
+    spark, metric = rows.sparkSession, metric_of(config.metric)
+    pivots = spark.sparkContext.broadcast(np.array([r.centroid for r in active.orderBy(F.xxhash64("head_id"), "head_id").limit(n_pivots).collect()], np.float64))
+
+    def near_pivots(vectors: np.ndarray, most: int) -> np.ndarray:
+        """(rows, most): the nearest pivots."""
+        most = min(most, len(pivots.value))
+        at = [np.argpartition(many_to_many(metric, vectors[a : a + 1024], pivots.value), most - 1, axis=1)[:, :most] for a in range(0, len(vectors), 1024)]
+        return np.concatenate(at) if at else np.zeros((0, most), np.int64)
+
+    def deal_heads(batches):
+        for b in batches:
+            if b.num_rows:
+                groups = pa.array(list(near_pivots(matrix(b.column("centroid")), BEAM)), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column("head_id"), b.column("centroid"), groups], names=["head_id", "centroid", "groups"])
+
+    def deal_vectors(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(near_pivots(matrix(b.column("vector")), 1)[:, 0]), *b.columns], names=["pivot", *b.schema.names])
+
+    dealt = materialize(rows.mapInArrow(deal_vectors, "pivot long, vector_id long, version long, vector array<float>"), "dealt-vectors")
+    salts = dealt.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).alias("salts"))  # PIVOTS rows at most
+    own = dealt.join(F.broadcast(salts), "pivot").withColumn("salt", F.pmod(F.xxhash64("vector_id"), F.col("salts")))
+    around = active.mapInArrow(deal_heads, "head_id long, centroid array<double>, groups array<long>").withColumn("pivot", F.explode("groups"))
+    around = around.join(F.broadcast(salts), "pivot").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    none = lambda kind: F.lit(None).cast(kind)
+    mixed = own.select("pivot", "salt", F.lit(1).alias("kind"), "vector_id", "version", "vector", none("array<double>").alias("centroid")).unionByName(
+        around.select("pivot", "salt", F.lit(0).alias("kind"), F.col("head_id").alias("vector_id"), none("long").alias("version"), none("array<float>").alias("vector"), "centroid")
+    )
+
+    def meet(batches):
+        group, ids, centers, ready = None, [], [], None
         for batch in batches:
-            vectors, heads_of = matrix(batch.column("vector")), []
-            for i, near in enumerate(batch.column("near").to_pylist()):
-                if not near:
-                    heads_of.append([])
+            keys = list(zip(batch.column("pivot").to_pylist(), batch.column("salt").to_pylist(), batch.column("kind").to_pylist()))
+            cut = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for a, b in zip(cut, cut[1:]):
+                if a == b:
+                    continue
+                if keys[a][:2] != group:
+                    group, ids, centers, ready = keys[a][:2], [], [], None
+                part = batch.slice(a, b - a)
+                if keys[a][2] == 0:  # heads come first
+                    ids.append(part.column("vector_id").to_numpy())
+                    centers.append(matrix(part.column("centroid")))
                     continue
-                centers, dist = np.array([r["c"] for r in near]), np.array([r["d"] for r in near])
-                heads_of.append([near[c]["h"] for c in diverse(vectors[i], centers, dist, config.rng_factor, config.replica_count, metric)])
-            yield pa.RecordBatch.from_arrays([batch.column("vector_id"), batch.column("version"), batch.column("vector"), pa.array(heads_of, pa.list_(pa.int64()))], names=["vector_id", "version", "vector", "heads"])
+                if ready is None:
+                    flat = np.concatenate(ids)
+                    order = np.argsort(flat)
+                    ready = flat[order], np.concatenate(centers)[order]
+                yield chosen_heads(part, *ready, config)
 
-    chosen = out.mapInArrow(choose, "vector_id long, version long, vector array<float>, heads array<long>")
-    return chosen.select(F.explode("heads").alias("head_id"), "vector_id", "version", "vector")
+    return mixed.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "kind").mapInArrow(meet, _PLACED)
 
 
 def split_plan(lists: DataFrame, config: IndexConfig, first_id: int) -> tuple[DataFrame, int]:
@@ -156,22 +205,62 @@ def live(postings: DataFrame, versions: DataFrame) -> DataFrame:
     return postings.join(versions.where("NOT deleted").select("vector_id", "version"), ["vector_id", "version"])
 
 
-def ann_candidates(queries: DataFrame, heads: DataFrame, postings: DataFrame, versions: DataFrame, config: IndexConfig, metric: str | None = None) -> DataFrame:
-    """(qid, id, dist): every live vector in a probed list once, at its least distance.
-    Lists are chosen by the index's metric, distances may use another."""
-    probes = head_search(queries, heads, config.num_search_heads, config.metric)
-    found = live(postings, versions).join(probes, "head_id").join(queries.select("qid", F.col("vector").alias("__q")), "qid")
-    metric = metric_of(metric or config.metric)
+def part_count(postings: DataFrame) -> int:
+    """Parts that the posting files are laid out by, of about PART_BYTES each."""
+    n, dims = postings.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    return int(min(PARTS, n * 4 * (dims or 0) // PART_BYTES + 1))
 
-    def score(batches):
-        for b in batches:
-            if b.num_rows:
-                dist = one_to_many(metric, matrix(b.column("q")), matrix(b.column("vector")))
-                yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("id"), pa.array(dist)], names=["qid", "id", "dist"])
 
-    # the kernel of the exact path, so that equal vectors tie
-    rows = found.select("qid", F.col("vector_id").alias("id"), "vector", F.col("__q").alias("q")).where("size(q) = size(vector)")
-    return rows.mapInArrow(score, "qid long, id long, dist double").groupBy("qid", "id").agg(F.min("dist").alias("dist"))
+def ann_candidates(queries: DataFrame, heads: DataFrame, postings: DataFrame, versions: DataFrame, config: IndexConfig, metric: str | None = None, parts: int | None = None) -> DataFrame:
+    """(qid, id, dist): every live vector in a probed list once, at its least distance.
+    Lists are chosen by the index's metric, distances may use another.
+
+    For each block of queries the probes are found and broadcast beside them; a task scores
+    the entries of its probed lists, and the small rows that result meet the versions.  With
+    ``parts``, postings have a partition column ``part`` (head_id modulo parts), and only
+    the files of probed parts are listed and read."""
+    spark, metric, out = queries.sparkSession, metric_of(metric or config.metric), None
+    for qids, vectors in query_blocks(queries, PROBE_BYTES):
+        asked = spark.createDataFrame(list(zip(qids.tolist(), vectors.tolist())), "qid long, vector array<double>")
+        probes = head_search(asked, heads, config.num_search_heads, config.metric).collect()
+        if not probes:
+            continue
+        qid, head = np.array([r.qid for r in probes], np.int64), np.array([r.head_id for r in probes], np.int64)
+        order, by_qid = np.lexsort((qid, head)), np.argsort(qids)
+        head, query = head[order], by_qid[np.searchsorted(qids[by_qid], qid[order])]
+        lists = np.unique(head)
+        sent = spark.sparkContext.broadcast((qids, vectors, lists, np.searchsorted(head, lists), np.searchsorted(head, lists, "right"), query))
+
+        def score(batches, sent=sent):
+            qids, vectors, lists, begin, end, query = sent.value
+            for b in batches:
+                head = b.column("head_id").to_numpy()
+                at = np.minimum(np.searchsorted(lists, head), len(lists) - 1)
+                usable = np.flatnonzero(lists[at] == head)
+                if not len(usable):
+                    continue
+                usable = usable[np.argsort(at[usable], kind="stable")]
+                part = b.take(pa.array(usable))
+                ids, version, rows, of = part.column("vector_id").to_numpy(), part.column("version").to_numpy(), matrix(part.column("vector")), at[usable]
+                cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
+                made = []
+                for x, y in zip(cut, cut[1:]):
+                    for q in query[begin[of[x]] : end[of[x]]]:  # the kernel of the exact path, so that equal vectors tie
+                        made.append((np.full(y - x, qids[q]), ids[x:y], version[x:y], one_to_many(metric, vectors[q], rows[x:y])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], names=["qid", "id", "version", "dist"])
+
+        near = postings.where(F.size("vector") == vectors.shape[1])
+        if parts is not None:
+            near = near.where(F.col("part").isin(sorted({int(h) % parts for h in lists})))
+        scored = near.select("head_id", "vector_id", "version", "vector").mapInArrow(score, "qid long, id long, version long, dist double")
+        part = scored.groupBy("qid", "id", "version").agg(F.min("dist").alias("dist"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "qid long, id long, dist double")
+    # written, so that the planner knows their size when they meet the versions of all vectors
+    found = materialize(out, "candidates")
+    alive = versions.where("NOT deleted").select(F.col("vector_id").alias("id"), "version")
+    return found.join(alive, ["id", "version"]).select("qid", "id", "dist")
 
 
 def ann_search(queries: DataFrame, heads: DataFrame, postings: DataFrame, versions: DataFrame, config: IndexConfig, k: int, metric: str | None = None) -> DataFrame:

@@ -62,9 +62,13 @@ def centroid_mean(rows: DataFrame, key: str, vector: str = "vector") -> DataFram
 
 def kmeans_step(rows: DataFrame, centers: DataFrame) -> DataFrame:
     """(cluster, n, centroid): assign (id, vector) rows to the nearest of a few (cluster,
-    centroid) rows, ties to the smaller cluster, and take the means."""
-    pairs = rows.crossJoin(F.broadcast(centers)).withColumn("d", euclidean_squared(F.col("vector"), F.col("centroid")))
-    own = pairs.groupBy("id").agg(F.min_by(F.struct("cluster", "vector"), F.struct("d", "cluster")).alias("r")).select("id", "r.*")
+    centroid) rows, ties to the smaller cluster, and take the means.
+
+    The centres travel as one array, so a vector finds its own without a join on pairs or a
+    shuffle; only the partial means are shuffled."""
+    listed = centers.agg(F.collect_list(F.struct("cluster", "centroid")).alias("centers"))
+    scored = F.transform("centers", lambda c: F.struct(euclidean_squared(F.col("vector"), c["centroid"]).alias("d"), c["cluster"].alias("cluster")))
+    own = rows.crossJoin(F.broadcast(listed)).select("id", "vector", F.array_min(scored)["cluster"].alias("cluster"))
     return own.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).join(centroid_mean(own, "cluster"), "cluster")
 
 

@@ -1,19 +1,18 @@
 """Structured Streaming into and out of the log.
 
-``ingest`` turns each micro-batch into one log entry; a batch id is recorded beside the log
-before the checkpoint advances, so a batch replayed after a failure is written once.
-``index_available`` follows the log as a stream of files and extends the index up to the
-last sequence before a gap, then stops; files arrive in any order, so only the numbers count.
+``ingest`` turns each micro-batch into one log entry that carries the batch's name; the log
+takes each name once, so a batch replayed after a failure, at whatever point, is written
+once.  ``index_available`` follows the log's entries as a stream of files and extends the
+index up to the newest; entries have no gaps, whatever the order in which files are seen.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..engine import Namespace
-from ..types import WAL_SCHEMA, IndexConfig, WriteConflict
+from ..types import IndexConfig
 
 #: Writes are gathered for this long before they become a log entry.
 BATCH_WINDOW = "500 milliseconds"
@@ -23,41 +22,26 @@ def ingest(stream: DataFrame, ns: Namespace, checkpoint: str, name: str = "inges
     """Write a stream of (op, id, vector, attributes) rows, or of documents, to the log."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        mark = [ns.name, "wal", "_batches", f"{name}-{batch_id}"]
-        if ns.store.files.exists(*mark) or batch.isEmpty():
+        source = f"{name}-{batch_id}"
+        if ns.store.has_source(ns.name, source) or batch.isEmpty():
             return
         if "op" in batch.columns:
             held = batch.persist()
-            ns.write([("upsert", held.where("op = 'upsert'")), ("delete", held.where("op = 'delete'"))])
+            ns.write([("upsert", held.where("op = 'upsert'")), ("delete", held.where("op = 'delete'"))], source)
             held.unpersist()
         else:
-            ns.upsert(batch)
-        try:
-            ns.store.files.create("", *mark)
-        except WriteConflict:
-            pass
+            ns.write([("upsert", batch)], source)
 
     out = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime=window)).start()
 
 
-def contiguous(sequences: list[int], after: int) -> int:
-    """The last sequence reached from ``after`` without a gap."""
-    have = set(sequences)
-    while after + 1 in have:
-        after += 1
-    return after
-
-
 def index_available(ns: Namespace, checkpoint: str, config: IndexConfig | None = None) -> StreamingQuery:
-    """Index what the log has now, driven by its files; ends when they are done."""
-    spark = ns.spark
-    files = spark.readStream.schema(f"{WAL_SCHEMA}, sequence BIGINT").option("basePath", ns.store.path(ns.name, "wal")).parquet(ns.store.path(ns.name, "wal"))
+    """Index what the log has now, driven by its entries; ends when they are done."""
+    entries = ns.spark.readStream.text(ns.store.path(ns.name, "wal", "entries"))
 
     def extend(batch: DataFrame, _: int) -> None:
-        if batch.select(F.lit(1)).isEmpty():
-            return
-        held = ns.store.manifest(ns.name)
-        ns.build_index(config, up_to=contiguous(ns.store.sequences(ns.name), held["wal_sequence"] if held else 0))
+        if not batch.isEmpty():
+            ns.build_index(config)
 
-    return files.select("sequence").writeStream.foreachBatch(extend).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return entries.writeStream.foreachBatch(extend).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
