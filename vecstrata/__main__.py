@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import random
 import sys
 
@@ -16,7 +17,8 @@ from .types import EngineError, IndexConfig, Metric
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="vecstrata")
-    p.add_argument("--root", required=True, help="any Hadoop path: file:, hdfs:, s3a:")
+    root = os.environ.get("VECSTRATA_ROOT")
+    p.add_argument("--root", default=root, required=root is None, help="any Hadoop path: file:, hdfs:, s3a:; $VECSTRATA_ROOT if it is set")
     sub = p.add_subparsers(dest="command", required=True)
     c = sub.add_parser("create-ns")
     c.add_argument("name")
