@@ -1,6 +1,8 @@
 import hashlib
+import pickle
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -43,7 +45,7 @@ def test_frame_edges_and_blocks(spark):
     want = {(1, 21, 20, ("7",)), (2, 80, 0, ()), (3, 0, 0, ()), (4, 0, 0, ()), (None, 2, 0, ())}
     for block_bytes in (decontam.BLOCK_BYTES, 20):
         found = decontam.scan(docs.select("doc_id", "text"), bench, block_bytes=block_bytes).collect()
-        assert {(r.doc_id, r["__n_words"], sum(r["__runs"][1::2]) - sum(r["__runs"][::2]), tuple(r["__items"])) for r in found} == want
+        assert {(r.doc_id, r.n_words, sum(r.runs[1::2]) - sum(r.runs[::2]), tuple(r["items"])) for r in found} == want
     rows = decontam.report(docs, bench).withColumn("d", decontam.items_digest()).collect()
     assert len(rows) == 6 and {r.d for r in rows} == {hashlib.sha256(b).hexdigest() for b in (b"7", b"")}
     assert decontam.report(docs, bench.limit(0)).agg({"n_hit": "sum"}).first()[0] == 0
@@ -51,6 +53,26 @@ def test_frame_edges_and_blocks(spark):
     kept = decontam.clean(docs, bench)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 3, 4]
+    clashing = docs.selectExpr("*", "1 AS runs", "2 AS uid", "3 AS n_words", "4 AS c0")
+    for block_bytes in (decontam.BLOCK_BYTES, 20):
+        again = decontam.clean(clashing, bench, block_bytes=block_bytes)
+        assert again.columns == clashing.columns and {tuple(r)[4:] for r in again.collect()} == {(1, 2, 3, 4)}
+
+
+def test_many_blocks_give_the_same(spark, sf):
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = lambda **kw: sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), tuple(r.hit_runs)) for r in decontam.report(docs, bench, **kw).collect())
+    whole = rows()
+    assert any(r[2] for r in whole) and rows(block_bytes=20_000) == whole
+
+
+def test_a_matcher_is_a_few_times_its_text():
+    rng = np.random.default_rng(4)
+    items = [(str(k), " ".join(f"word{i}" for i in rng.integers(0, 50_000, 400))) for k in range(300)]
+    size = sum(len(t) for _, t in items)
+    held = decontam.Matcher(items)
+    assert held.nbytes() < 8 * size and len(pickle.dumps(held)) < 8 * size
+    assert held.find(decontam.words_of(items[7][1]))[1] == {"7"}
 
 
 def test_spans_are_cut(spark):
@@ -66,7 +88,7 @@ def test_items_without_id(spark):
     docs = spark.createDataFrame([(1, f"{one} and {two}"), (2, one), (3, two), (4, "clean")], "doc_id long, text string")
     for block_bytes in (decontam.BLOCK_BYTES, 20):
         found = decontam.scan(docs, bench, block_bytes=block_bytes).collect()
-        assert {r.doc_id: r["__items"] for r in found} == {1: ["7", None], 2: [None], 3: ["7"], 4: []}
+        assert {r.doc_id: r["items"] for r in found} == {1: ["7", None], 2: [None], 3: ["7"], 4: []}
     rows = {r.doc_id: r for r in decontam.report(docs, bench).withColumn("d", decontam.items_digest()).collect()}
     assert [(rows[i].n_hit, rows[i].n_items) for i in (1, 2, 3, 4)] == [(40, 2), (20, 1), (20, 1), (0, 0)]
     assert [rows[i].d for i in (1, 2)] == [hashlib.sha256(b).hexdigest() for b in (b"7", b"")]

@@ -5,81 +5,142 @@ lower-cased.  A benchmark item gives the windows of ``n`` consecutive words; an
 fewer words, but not none, is one window.  A document word inside any occurrence of a
 window is hit.
 
-The benchmark is collected and broadcast in blocks of at most ``BLOCK_BYTES`` of text, so
-what a worker holds is bounded however large the benchmark grows; every block scans the
-documents in the same pass and adds to what the blocks before found.  Documents are never
-shuffled.  A window is looked up only where all its words occur in the benchmark, and by
-the word sequence itself, so a hit needs no further check.
+The windows are 64-bit hashes in one sorted array for each window length, with the words
+themselves beside them: a document's windows are hashed at once, looked up, and every hit is
+verified word by word.  About 4 bytes are held for a byte of benchmark text.  The benchmark
+is collected and broadcast in blocks of at most ``BLOCK_BYTES`` of text.  If there is one
+block, the documents are read once and never shuffled; if there are more, each block scans
+the written documents in a pass of its own, its broadcast is destroyed, and only the hits
+(a row for each document that has any) are merged and joined, so what a worker holds is
+bounded however large the benchmark grows.
 
 Null text has no words: no hits.  Items with a null id hit like others; together they are
-one item, a null at the end of the list that the digest leaves out.  An empty benchmark hits nothing.  Repeated items count
-once; repeated documents are each answered.  A document without words is never
-contaminated.
+one item, a null at the end of the list that the digest leaves out.  An empty benchmark hits
+nothing; an empty table gives an empty result.  Repeated items count once; repeated documents
+are each answered.  A document without words is never contaminated.  Texts are read whole,
+however long.  Further columns, whatever their names, are carried.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bounded, slices
+from .common import Carried, arrow_schema, slices
+from .common import written as materialize
 
-WINDOW, BLOCK_BYTES = 13, 32 << 20
+WINDOW, BLOCK_BYTES = 13, 8 << 20
 
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # before lower-casing
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_KEEP).split() if text else []
 
 
-class _Ids(dict):
-    def __missing__(self, word):
-        return -1
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def window_hashes(hashes: np.ndarray, m: int) -> np.ndarray:
+    """The hash of each window of ``m`` words, from the words' hashes."""
+    n = len(hashes) - m + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for k in range(m if n > 0 else 0):
+        out = out * _STEP + hashes[k : k + n]
+    return out ^ (out >> np.uint64(29))
+
+
+class Windows:
+    """Windows of one length: their distinct hashes in order, where each stands first, and
+    the items that have it."""
+
+    def __init__(self, hashes: np.ndarray, place: np.ndarray, item: np.ndarray):
+        order = np.lexsort((item, hashes))
+        hashes, place, item = hashes[order], place[order], item[order]
+        new = np.r_[True, hashes[1:] != hashes[:-1]]
+        self.again = (place[np.flatnonzero(new)][np.cumsum(new) - 1][~new], place[~new])  # to be equal
+        own = new | np.r_[True, item[1:] != item[:-1]]
+        self.hashes, self.place, self.item = hashes[new], place[new].astype(np.int32), item[own].astype(np.int32)
+        self.start = np.r_[np.flatnonzero(new[own]), own.sum()].astype(np.int32)
+        self.bits = np.uint64(64 - max(10, int(8 * len(self.hashes)).bit_length()))
+        self.maybe = np.zeros(1 << int(64 - self.bits), bool)
+        self.maybe[self.hashes >> self.bits] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in ``hashes``, windows) of equal hashes."""
+        near = np.flatnonzero(self.maybe[hashes >> self.bits])
+        if not len(near):
+            return near, near
+        at = np.minimum(np.searchsorted(self.hashes, hashes[near]), len(self.hashes) - 1)
+        same = self.hashes[at] == hashes[near]
+        return near[same], at[same]
 
 
 class Matcher:
-    """The windows of some benchmark items, keyed by the ids of their words."""
+    """The windows of some benchmark items."""
 
-    def __init__(self, items: list[tuple[str, str | None]], n: int = WINDOW):
-        self.ids, self.windows = _Ids(), {}
+    def __init__(self, items: list[tuple[str | None, str | None]], n: int = WINDOW):
+        self.ids: list[str | None] = sorted({item for item, _ in items}, key=lambda x: (x is None, x))
+        number = {item: k for k, item in enumerate(self.ids)}
+        found: dict[int, list] = {}
+        lines, at = [], 0
         for item, text in items:
             words = words_of(text)
-            ids = np.array([self.ids.setdefault(w, len(self.ids)) for w in words], np.int32)
             m = min(n, len(words))
-            for i in range(len(words) - m + 1 if m else 0):
-                self.windows.setdefault(m, {}).setdefault(ids[i : i + m].tobytes(), set()).add(item)
+            if m:
+                h = window_hashes(word_hashes(words), m)
+                found.setdefault(m, []).append((h, at + np.arange(len(h)), np.full(len(h), number[item])))
+                lines.append(b" ".join(words))
+                at += len(words)
+        self.text = b" ".join(lines)  # all words, one space between any two
+        gaps = np.flatnonzero(np.frombuffer(self.text, np.uint8) == 32)
+        self.begin = np.r_[0, gaps + 1].astype(np.int32)
+        self.end = np.r_[gaps, len(self.text)].astype(np.int32)
+        self.windows = {m: Windows(*(np.concatenate(part) for part in zip(*rows))) for m, rows in sorted(found.items())}
+        for m, held in self.windows.items():
+            if any(self.words(a, m) != self.words(b, m) for a, b in zip(*(x.tolist() for x in held.again))):
+                raise RuntimeError("two windows of the benchmark have one hash")
+            del held.again
+
+    def words(self, at: int, m: int) -> bytes:
+        return self.text[self.begin[at] : self.end[at + m - 1]]
 
-    def find(self, words: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
+    def nbytes(self) -> int:
+        arrays = [self.begin, self.end, *(a for w in self.windows.values() for a in (w.hashes, w.place, w.item, w.start, w.maybe))]
+        return len(self.text) + sum(a.nbytes for a in arrays)
+
+    def find(self, words: list[bytes]) -> tuple[np.ndarray | None, set[str | None]]:
         """(which words are hit, items that occur); None if no word is hit."""
-        ids = np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
-        known = np.r_[0, np.cumsum(ids >= 0)]
-        hit, found = None, set()
+        hashes, hit, found = word_hashes(words), None, set()
         for m, held in self.windows.items():
-            for i in np.flatnonzero(known[m:] - known[:-m] == m).tolist() if len(words) >= m else ():
-                if items := held.get(ids[i : i + m].tobytes()):
+            if len(words) < m:
+                continue
+            for i, k in zip(*(x.tolist() for x in held.find(window_hashes(hashes, m)))):
+                if b" ".join(words[i : i + m]) == self.words(held.place[k], m):  # verify
                     if hit is None:
                         hit = np.zeros(len(words), bool)
                     hit[i : i + m] = True
-                    found |= items
-        return hit, found
+                    found.update(held.item[held.start[k] : held.start[k + 1]].tolist())
+        return hit, {self.ids[k] for k in found}
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The benchmark's items in collected blocks of about ``limit`` bytes, at least one."""
+def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[tuple[list[tuple[str | None, str | None]], int]]:
+    """(items, number of blocks): collected blocks of about ``limit`` bytes, at least one."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = total // limit + 1
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r.item_id, r.text) for r in part.collect()]
+        yield [(r.item_id, r.text) for r in part.collect()], n
 
 
 def runs(hit: np.ndarray) -> list[int]:
@@ -87,39 +148,68 @@ def runs(hit: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0])).tolist()
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns of ``docs`` (which has doc_id and text) and ``__n_words``, ``__runs``
-    (flat starts and ends of hit runs of words) and ``__items`` (the items that occur)."""
-    spark, kept = bounded(docs).sparkSession, docs.columns
-    out = docs.withColumns({"__n_words": F.lit(0).cast("long"), "__runs": F.array().cast("array<long>"), "__items": F.array().cast("array<string>")})
-    schema = out.schema
-    extra = arrow_schema("__n_words long,__runs array<long>,__items array<string>")
-    for block in blocks(benchmark, block_bytes):
-        sent = spark.sparkContext.broadcast(Matcher(block, n))
-
-        def run(batches, sent=sent):
-            for part in slices(batches):
-                counts, spans, items = [], part.column("__runs").to_pylist(), part.column("__items").to_pylist()
-                for k, text in enumerate(part.column("text").to_pylist()):
-                    words = words_of(text)
-                    counts.append(len(words))
-                    hit, found = sent.value.find(words)
-                    if hit is not None:
-                        for a, b in zip(spans[k][::2], spans[k][1::2]):
-                            hit[a:b] = True
-                        spans[k], items[k] = runs(hit), sorted(found.union(items[k]), key=lambda x: (x is None, x))
-                cols = [part.column(c) for c in kept] + [pa.array(v, f.type) for v, f in zip((counts, spans, items), extra)]
-                yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([*(part.schema.field(c) for c in kept), *extra]))
+_FOUND = "n_words long,runs array<long>,items array<string>"
+
 
-        out = out.mapInArrow(run, schema)
-    return out
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
+    """All columns of ``docs`` (none is named like these) and n_words, runs (flat starts and
+    ends of hit runs of words) and items (those that occur)."""
+    extra = arrow_schema(_FOUND)
 
+    def against(rows: DataFrame, block: list) -> tuple:
+        sent = rows.sparkSession.sparkContext.broadcast(Matcher(block, n))
 
-def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
+        def run(batches):
+            for part in slices(batches, text):
+                counts, spans, items = [], [], []
+                for content in part.column(text).to_pylist():
+                    words = words_of(content)
+                    hit, found = sent.value.find(words)
+                    counts.append(len(words))
+                    spans.append([] if hit is None else runs(hit))
+                    items.append(sorted(found, key=lambda x: (x is None, x)))
+                made = [pa.array(v, f.type) for v, f in zip((counts, spans, items), extra)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *extra.names])
+
+        kinds = {"n_words": F.lit(0).cast("long"), "runs": F.array().cast("array<long>"), "items": F.array().cast("array<string>")}
+        return rows.mapInArrow(run, rows.withColumns(kinds).schema), sent
+
+    tagged, hits = None, None
+    for block, n_blocks in blocks(benchmark, block_bytes):
+        if n_blocks == 1:
+            return against(docs, block)[0]
+        if tagged is None:
+            tagged = materialize(docs.withColumn("uid", F.monotonically_increasing_id()), "documents-to-scan")
+        made, sent = against(tagged.select("uid", text), block)
+        first = hits is None  # the first pass counts the words too
+        made = materialize(made.where(F.lit(first) | (F.size("runs") > 0)).select("uid", "n_words", "runs", "items"), "benchmark-hits")
+        sent.destroy()
+        sizes = made if first else sizes
+        some = made.where(F.size("runs") > 0).select("uid", "runs", "items")
+        hits = some if hits is None else hits.union(some)
+    merged = hits.groupBy("uid").agg(F.collect_list("runs").alias("all_runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # blocks at most
+
+    def together(batches):
+        for b in batches:
+            spans = []
+            for lists in b.column("all_runs").to_pylist():
+                hit = np.zeros(max(x[-1] for x in lists), bool)
+                for x in lists:
+                    for start, stop in zip(x[::2], x[1::2]):
+                        hit[start:stop] = True
+                spans.append(runs(hit))
+            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(spans, extra.field("runs").type), b.column("items")], names=["uid", "runs", "items"])
+
+    merged = materialize(merged.mapInArrow(together, "uid long, runs array<long>, items array<string>"), "merged-hits")
+    out = tagged.join(sizes.select("uid", "n_words"), "uid").join(merged, "uid", "left").drop("uid")
+    return out.withColumns({"runs": F.coalesce("runs", F.array().cast("array<long>")), "items": F.coalesce("items", F.array().cast("array<string>"))})
+
+
+def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items and hit_runs of every document."""
-    found = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, n)
-    n_hit = F.aggregate(F.transform("__runs", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return found.select("doc_id", F.col("__n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.col("__items").alias("items"), F.col("__runs").alias("hit_runs"))
+    found = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), benchmark, n, block_bytes)
+    n_hit = F.aggregate(F.transform("runs", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.col("runs").alias("hit_runs"))
 
 
 def cut_words(text: str, spans: list[int]) -> str:
@@ -132,35 +222,32 @@ def cut_words(text: str, spans: list[int]) -> str:
     return "".join(out) + text[last:]
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, percent: int = 5) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, percent: int = 5, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without its contaminated documents (at least ``percent`` of the words hit);
     from the others the hit words are cut out and ``n_chars``, if there, counted anew."""
-    kept = docs.columns
-    found = scan(docs, benchmark, n)
-    schema = docs.schema
+    own = Carried(docs)
+    at = own[text]
+    found = scan(own.frame, benchmark, n, block_bytes, at)
+    schema = found.select(*own.frame.columns).schema
 
     def run(batches):
         for part in batches:
-            rows, texts, choose = part.column("__runs").to_pylist(), [], []
-            for k, (spans, total) in enumerate(zip(rows, part.column("__n_words").to_pylist())):
+            texts, choose = [], []
+            for k, (content, spans, total) in enumerate(zip(*(part.column(c).to_pylist() for c in (at, "runs", "n_words")))):
                 hit = sum(spans[1::2]) - sum(spans[::2])
                 if spans and 100 * hit >= percent * total:
                     continue
                 choose.append(k)
-                texts.append(cut_words(part.column("text")[k].as_py(), spans) if spans else part.column("text")[k].as_py())
+                texts.append(cut_words(content, spans) if spans else content)
             part = part.take(pa.array(choose, pa.int64()))
-            cols = {c: part.column(c) for c in kept}
-            cols["text"] = pa.array(texts, part.schema.field("text").type)
-            yield pa.RecordBatch.from_arrays(list(cols.values()), schema=pa.schema([part.schema.field(c) for c in kept]))
+            cols = {c: part.column(c) for c in schema.names}
+            cols[at] = pa.array(texts, part.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(list(cols.values()), schema=pa.schema([part.schema.field(c) for c in schema.names]))
 
-    out = found.mapInArrow(run, schema=found.select(*kept).schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in kept else out
+    out = own.back(found.mapInArrow(run, schema))
+    return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in own else out
 
 
-def items_digest(items: str = "items"):
+def items_digest(items: str = "items") -> Column:
     """SHA-256 of the sorted item ids, comma-joined."""
     return F.sha2(F.concat_ws(",", F.array_sort(items)), 256)
-
-
-def digest_of(items: set[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
