@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 
@@ -55,3 +57,53 @@ def test_held_out_accuracy(spark):
     head = quality.fit([(r.text, r.quality) for r in rows[:1600]])
     said = [(head.logit(*e) > 0, r.quality) for r in rows[1600:] if (e := quality.evidence(r.text))]
     assert sum(a == bool(b) for a, b in said) >= 0.98 * len(said)
+
+
+def test_posteriors_match_brute_force(spark):
+    """Means, strengths, leave-one-out posteriors and scores, computed again from lists."""
+    rng = np.random.default_rng(5)
+    rows = [(i, f"h{i % 7}/p{i % 3}/x", float(rng.normal((i % 7) - 3, 1))) for i in range(400)] + [(900, "solo", 0.5), (901, None, -1.0), (902, "h1/only", 2.0)]
+    site = lambda s: ((s or "").split("/")[0], (s or "").split("/")[1] if "/" in (s or "") else "")
+    p = {i: 1 / (1 + np.exp(-q)) for i, _, q in rows}
+    every = np.array(list(p.values()))
+    mean, spread = every.mean(), (every**2).mean() - every.mean() ** 2
+    hosts, paths = {}, {}
+    for i, s, _ in rows:
+        hosts.setdefault(site(s)[0], []).append(p[i])
+        paths.setdefault(site(s), []).append(p[i])
+
+    def strength(groups):  # (values, prior)
+        between = (sum(len(v) * (np.mean(v) - prior) ** 2 for v, prior in groups) - len(groups) * spread) / sum(len(v) for v, _ in groups)
+        return min(max(spread / max(between, 1e-9), 1.0), 1e6)
+
+    of_host = strength([(v, mean) for v in hosts.values()])
+    rest = {k: (sum(hosts[k[0]]) - sum(v), len(hosts[k[0]]) - len(v)) for k, v in paths.items()}
+    prior = {k: (s + of_host * mean) / (n + of_host) for k, (s, n) in rest.items()}
+    of_path = strength([(v, prior[k]) for k, v in paths.items()])
+    logit = lambda x: np.log(x / (1 - x))
+    got = {r.id: r for r in quality.combined(spark.createDataFrame(rows, "id long, source string, __quality double")).collect()}
+    for i, s, q in rows:
+        own = paths[site(s)]
+        post = (sum(own) - p[i] + of_path * prior[site(s)]) / (len(own) - 1 + of_path)
+        assert np.isclose(got[i]["__site"], post)
+        assert np.isclose(got[i]["__score"], 1 / (1 + np.exp(-(q + logit(np.clip(post, 1e-4, 1 - 1e-4)) - logit(mean)))))
+
+
+def test_logits_match_the_words(tables):
+    docs, labels = tables
+    rows = [(r.text, r.quality) for r in quality.labelled_rows(docs, labels)]
+    head = quality.fit(rows)
+    text = GOOD.format(5) + "\n" + BAD.format(5)
+    words, rates = quality.evidence(text)
+    folded = re.sub(r"[^0-9a-z]+", " ", text.lower()).split()
+    want = {w.encode() for w in folded} | {w[: quality.STEM].encode() + b"*" for w in folded if len(w) > quality.STEM}
+    assert words == want
+    by_hand = head.bias + sum(w for k, w in head.words.items() if k in want) + sum(np.clip((r - c) / s, -6, 6) * w for r, c, s, w in zip(rates, head.center, head.scale, head.rates))
+    assert np.isclose(head.logit(words, rates), by_hand)
+
+
+def test_callers_columns_come_back(spark, tables):
+    docs, labels = tables
+    odd = docs.selectExpr("*", "1 AS __p", "2 AS __host", "3 AS __quality", "4 AS c0")
+    kept = quality.keep_good(odd, labels)
+    assert kept.columns == odd.columns and {tuple(r)[-4:] for r in kept.collect()} == {(1, 2, 3, 4)}

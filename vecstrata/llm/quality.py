@@ -14,7 +14,10 @@ adaptive execution broadcasts only after measuring it and otherwise splits where
 
 Null or empty text, or no word: score 0, rejected.  A null source is a site of its own (the
 empty host).  Without labels of both kinds every document with a word is kept.  Repeated
-rows and doc_ids are scored each for itself.  An empty table gives an empty result.
+rows and doc_ids are scored each for itself; ties in the choice of labelled rows fall by
+their labels.  Texts are scored whole, however long; only the fit leaves out labelled texts
+above ``FIT_CHARS``.  Further columns, whatever their names, are carried.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialize
-from .common import bounded, slices
+from .common import Carried, slices
+from .common import written as materialize
 
 #: Labelled documents the fit may take, and the longest text among them.
 FIT_ROWS, FIT_CHARS = 4000, 30_000
@@ -144,7 +147,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, text: str = "text", rows:
 
 def with_evidence(docs: DataFrame, quality: Head, toxic: Head, text: str = "text") -> DataFrame:
     """``docs`` with ``__quality`` and ``__toxic``, log odds by the document alone (null without a word)."""
-    sent = bounded(docs).sparkSession.sparkContext.broadcast((quality, toxic))  # WORDS words each
+    sent = docs.sparkSession.sparkContext.broadcast((quality, toxic))  # WORDS words each
 
     def run(batches):
         for part in slices(batches, text):
@@ -191,10 +194,11 @@ def combined(scored: DataFrame, site: str = "source") -> DataFrame:
 
     of_host = strength(hosts, "__hn", "__hs", F.lit(mean))
     both = paths.join(hosts, "__host")
-    of_path = strength(both, "__n", "__s", (F.col("__hs") + of_host * mean) / (F.col("__hn") + of_host))
+    # a path's prior: its host without the path's own rows, which count below
+    prior = (F.col("__hs") - F.col("__s") + of_host * mean) / (F.col("__hn") - F.col("__n") + of_host)
+    of_path = strength(both, "__n", "__s", prior)
     sites = materialize(both.select("__host", "__path", "__n", "__s", "__hn", "__hs"), "site-sums")
     met = rows.join(sites, ["__host", "__path"])
-    prior = (F.col("__hs") - F.col("__p") + of_host * mean) / (F.col("__hn") - 1 + of_host)
     posterior = (F.col("__s") - F.col("__p") + of_path * prior) / (F.col("__n") - 1 + of_path)
     score = 1 / (1 + F.exp(-(F.col("__quality") + _logit(F.col("__site")) - _logit(F.lit(float(mean))))))
     return met.withColumn("__site", posterior).withColumn("__score", F.coalesce(score, F.lit(0.0)))
@@ -220,5 +224,6 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", site: str = "s
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", site: str = "source", threshold: float = 0.5) -> DataFrame:
     """``docs`` without the documents that the classifier rejects."""
-    rows = materialize(with_evidence(docs, *heads(docs, labels, text), text), "document-evidence")
-    return combined(rows, site).where(_kept(threshold)).select(*docs.columns)
+    own = Carried(docs)
+    rows = materialize(with_evidence(own.frame, *heads(docs, labels, text), own[text]), "document-evidence")
+    return own.back(combined(rows, own[site] if site in own else "").where(_kept(threshold)))
