@@ -38,16 +38,42 @@ def test_crossover_keeps_every_item_once():
         people = [people[1], child]
 
 
-def test_evolution_beats_best_fit_where_it_errs():
-    rng = np.random.default_rng(0)
-    size = np.concatenate([(lambda a: [a, 100 - a - b, b])(int(rng.integers(26, 48)))for b in rng.integers(26, 27, 60)])
-    size = np.array(size)
-    first = packing.Packing(size, 100)
+def triplets(n, room=2048):
+    """Pieces that fill ``n`` sequences exactly, three each."""
+    rng, out = np.random.default_rng(n), []
+    for _ in range(n):
+        a = int(rng.integers(780, 1000))
+        b = int(rng.integers(520, (room - a) // 2 + 1))
+        out += [a, b, room - a - b]
+    return np.array(out)
+
+
+@pytest.mark.parametrize("n", [60, 300, 2000])
+def test_shipped_evolution_needs_fewer_sequences_than_best_fit(n):
+    size = triplets(n)
+    first = packing.Packing(size, 2048)
     first.best_fit(np.argsort(-size, kind="stable"))
-    best = packing.evolve(size, 100, 1, [], children=60)
+    best = packing.evolve(size, 2048, 1, [])
     valid(best)
-    assert best.rank() <= first.rank() and best.rank()[0] >= -(-size.sum() // 100)
-    assert packing.evolve(size, 100, 2, [best.bin], children=2).rank() <= best.rank()
+    assert n <= best.rank()[0] < 0.95 * first.rank()[0]
+    assert packing.evolve(size, 2048, 2, [best.bin], children=2).rank() <= best.rank()
+
+
+def test_every_island_makes_children(monkeypatch):
+    made = []
+    child = packing.Packing.child
+    monkeypatch.setattr(packing.Packing, "child", lambda self, other, rng: made.append(1) or child(self, other, rng))
+    assert packing.evolve(np.full(64, 512), 2048, 1, []).rank()[0] == 16 and len(made) == packing.LEAST_CHILDREN
+
+
+def test_blanks_of_any_length(spark):
+    library = Tokenizer.from_file(PATH)
+    texts = ["a" + " " * 1_000_000 + "b", "\n" * 2_000_000]
+    for text in texts:
+        assert packing.token_ids(text, PATH, P.PATTERN).tolist() == library.encode(text, add_special_tokens=False).ids
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = packing.pack(rows, PATH, P.PATTERN).collect()
+    assert sum(r.length for r in got) == sum(1 + len(library.encode(t, add_special_tokens=False).ids) for t in texts)
 
 
 @pytest.fixture(scope="module")

@@ -6,10 +6,13 @@ own.  The others are dealt by hash into blocks of about ``BLOCK_ITEMS`` pieces,
 block is packed by several islands, a task each:
 
 * an individual is a grouping of pieces into sequences, the first ones made by best fit
-  over decreasing (and slightly shuffled) lengths;
+  over decreasing, slightly shuffled and wholly random orders;
 * crossover injects whole well-filled sequences of one parent into another, removes the
-  sequences that hold a duplicate, and best-fits the displaced pieces, along with those of
-  some badly filled sequences;
+  sequences that hold a duplicate, and puts back the displaced pieces, along with those of
+  some badly filled sequences: first each takes the place of a shorter one wherever that
+  fills the sequence better (the shorter one is displaced instead), then best fit;
+* every island makes ``LEAST_CHILDREN`` children at least, and then stops early only at the
+  count that the total length allows, below which there is nothing to find;
 * between epochs each island's elite migrates to the next island of its block.
 
 Sequences of the winning islands that are not well filled are then pooled over blocks and
@@ -18,7 +21,9 @@ count never rises.  Only ids and lengths are shuffled, about 30 bytes a piece; b
 a bounded size, whatever the table's.
 
 Null text: empty, so one piece that is the separator.  Repeated rows and doc_ids are
-packed each for itself.  An empty table gives an empty result.
+packed each for itself; ties in fitness and lengths fall by the islands' seeded order.
+Texts are encoded whole, however long, runs of blanks of any length included.  Further
+columns are not read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,13 +38,14 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from ..scratch import materialize
+from .common import written as materialize
 from .bpe import byte_symbols
 from .common import doc_text, slices
 
 LENGTH, SEPARATOR = 2048, 0
-BLOCK_ITEMS, ISLANDS, EPOCHS, POPULATION, CHILDREN = 16384, 2, 2, 3, 8
+BLOCK_ITEMS, ISLANDS, EPOCHS, POPULATION, CHILDREN, LEAST_CHILDREN = 16384, 2, 2, 8, 16, 2
 #: A sequence filled less is packed again with those of other blocks.
 WELL_FILLED = 0.985
 
@@ -55,9 +61,19 @@ def encoder(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(2)
+def library(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
 def token_ids(text: str | None, path: str, pattern: str) -> np.ndarray:
+    if not text:
+        return np.zeros(0, np.uint32)
     enc = encoder(path, pattern)
-    return enc.encode_to_numpy(text, allowed_special=enc.special_tokens_set, disallowed_special=()) if text else np.zeros(0, np.uint32)
+    try:
+        return enc.encode_to_numpy(text, allowed_special=enc.special_tokens_set, disallowed_special=())
+    except ValueError:  # its pattern matcher gives up on blanks by the hundred thousand; the library does not
+        return np.array(library(path).encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def pieces(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, keep_ids: bool = False, text: str = "text") -> DataFrame:
@@ -125,44 +141,76 @@ class Packing:
         used = self.load[self.load > 0]
         return len(used), -float(((used / self.room) ** 2).sum())
 
+    def replace(self, items: np.ndarray) -> np.ndarray:
+        """Let each of ``items`` (in no bin, longest first) take the place of a shorter piece
+        where it leaves the least room; what is in no bin afterwards."""
+        size, load = self.size, self.load
+        slack = np.where(load > 0, self.room - load, 0)
+        there = np.flatnonzero((self.bin >= 0) & (slack[self.bin] > 0))  # only bins with room can be filled better
+        there = there[np.argsort(size[there] + slack[self.bin[there]], kind="stable")]
+        most = size[there] + slack[self.bin[there]]  # what may stand there
+        out, swaps = [], 0
+        for i in items.tolist():
+            s = size[i]
+            at = int(np.searchsorted(most, s))
+            near = at + np.flatnonzero(size[there[at : at + 256]] < s)[:1] if at < len(there) else ()
+            while len(near):
+                k = int(near[0])
+                j, b = there[k], self.bin[there[k]]
+                if self.bin[j] >= 0 and size[j] + self.room - load[b] == most[k]:
+                    break
+                near = k + 1 + np.flatnonzero(size[there[k + 1 : at + 256]] < s)[:1]  # that bin has changed since
+            if not len(near):
+                out.append(i)
+                continue
+            load[b] += s - size[j]
+            self.bin[i], self.bin[j] = b, -1
+            out.append(int(j))
+            swaps += 1
+        return np.array(out, np.int64) if out else np.zeros(0, np.int64)
+
     def child(self, other: Packing, rng: np.random.Generator) -> Packing:
         """Well-filled bins of ``other`` injected whole into this one."""
         used = np.flatnonzero(other.load > 0)
         good = used[np.argsort(-other.load[used], kind="stable")][: max(1, len(used) * 2 // 3)]
-        inject = rng.choice(good, max(1, len(good) // 3), replace=False)
+        inject = rng.choice(good, max(1, int(len(good) * rng.uniform(0.05, 0.35))), replace=False)
         taken = np.isin(other.bin, inject)
         out = Packing(self.size, self.room)
         out.bin, load = self.bin.copy(), self.load.copy()
         gone = np.zeros(len(load), bool)
         gone[self.bin[taken]] = True  # they hold duplicates
         mine = np.flatnonzero(load > 0)
-        worst = mine[np.argsort(load[mine], kind="stable")][: max(2, len(mine) // 20)]
+        worst = mine[np.argsort(load[mine], kind="stable")][: max(2, len(mine) // 10)]
         gone[rng.choice(worst, max(1, len(worst) // 2), replace=False)] = True
         loose = np.flatnonzero(gone[self.bin] & ~taken)
         load[gone] = 0
         new = np.full(len(other.load), -1, np.int64)
         new[inject] = len(load) + np.arange(len(inject))
+        out.bin[loose] = -1
         out.bin[taken] = new[other.bin[taken]]
         out.load = np.r_[load, other.load[inject]]
-        out.best_fit(loose[np.lexsort((rng.random(len(loose)), -self.size[loose]))])
+        by_size = lambda rows: rows[np.lexsort((rng.random(len(rows)), -self.size[rows]))]
+        for _ in range(3):
+            loose = out.replace(by_size(loose))
+        out.best_fit(by_size(loose))
         return out
 
 
 def evolve(size: np.ndarray, room: int, seed: int, elites: list[np.ndarray], population: int = POPULATION, children: int = CHILDREN) -> Packing:
-    """The best grouping found from the ``elites`` and best-fit beginnings; ends early at
-    the least count that the total length allows."""
+    """The best grouping found from the ``elites`` and best-fit beginnings; ends early only
+    at the least count that the total length allows, after LEAST_CHILDREN."""
     rng, least = np.random.default_rng(seed), -(-int(size.sum()) // room)
     people = [Packing(size, room, e) for e in elites]
-    for k in range(population - len(people) if people else population):
+    for k in range(max(2, population - len(people))):
         p = Packing(size, room)
-        p.best_fit(np.argsort(-size * (1 + 0.02 * k * rng.random(len(size))), kind="stable"))
+        p.best_fit(rng.permutation(len(size)) if k % 4 == 3 else np.argsort(-size * (1 + 0.02 * k * rng.random(len(size))), kind="stable"))
         people.append(p)
     people.sort(key=Packing.rank)
-    for _ in range(children):
-        if people[0].rank()[0] <= least:
+    for made in range(children):
+        if made >= LEAST_CHILDREN and people[0].rank()[0] <= least:
             break
-        a, b = rng.choice(len(people), 2, replace=False) if len(people) > 1 else (0, 0)
-        people.append(people[a].child(people[b], rng))
+        a, b = np.sort(rng.integers(0, len(people), (2, 2)).min(axis=1))  # the better of two, twice
+        people.append(people[a].child(people[b if a != b else (b + 1) % len(people)], rng))
         people.sort(key=Packing.rank)
         people = people[: max(population, 2)]
     return people[0]
