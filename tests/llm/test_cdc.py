@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from vecstrata.llm import cdc, spans
+from vecstrata.llm import cdc, suffix
 
 
 def slow_gear(data):
@@ -40,20 +40,23 @@ def test_cut_points(monkeypatch):
     assert cdc.cut_points(b"") == [] and cdc.cut_points(b"ab") == [2]
 
 
-def brute(rows, within=False):
+def brute(rows, within=True):
+    """Chunk by chunk in the order of doc_id; runs of repeated chunks go if long or whole."""
     seen, out = {}, {}
     for d, text in rows:
         data = (text or "").encode()
         cuts = cdc.cut_points(data)
-        gone = []
+        runs = []
         for a, b in zip([0, *cuts], cuts):
             key = data[a:b]
             if key in seen and (within or seen[key] != d):
-                gone.append((a, b))
+                if runs and runs[-1][1] == a:
+                    runs[-1][1] = b
+                else:
+                    runs.append([a, b])
             seen.setdefault(key, d)
-        a, b = spans.merged(np.array([x for x, _ in gone], np.int64), np.array([y for _, y in gone], np.int64))
-        long = b - a >= cdc.LEAST_RUN
-        edge = [0, *np.stack([a[long], b[long]], 1).ravel().tolist(), len(data)]
+        runs = [(a, b) for a, b in runs if b - a >= cdc.LEAST_RUN or b - a == len(data)]
+        edge = [0, *(x for r in runs for x in r), len(data)]
         out[d] = hashlib.sha256(b"".join(data[x:y] for x, y in zip(edge[::2], edge[1::2]))).hexdigest()
     return out
 
@@ -67,16 +70,46 @@ def rows():
 
 
 def test_matches_brute_force(spark, rows):
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("*", "1 AS uid", "'x' AS digest")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("*", "1 AS slice_id", "'x' AS data")
     got = {r.doc_id: r for r in cdc.dedup(docs).collect()}
-    assert {k: r.kept_sha256 for k, r in got.items()} == brute(sorted(rows)) and got[20].n_removed == 0
-    inside = {r.doc_id: r for r in cdc.dedup(docs, within=True).collect()}
-    assert {k: r.kept_sha256 for k, r in inside.items()} == brute(sorted(rows), True) and inside[20].n_removed > 200
-    assert got[0].n_removed == got[8].n_removed == 0 and got[9].n_removed == got[9].n_bytes
-    assert all(got[i].n_removed > 250 for i in range(1, 8)) and got[13].n_removed == 0
+    assert {k: r.kept_sha256 for k, r in got.items()} == brute(sorted(rows)) and got[20].n_removed > 200
+    small = {r.doc_id: r for r in cdc.dedup(docs, merge=40, slice_bytes=1500, shard_bytes=2000).collect()}
+    assert {k: r.kept_sha256 for k, r in small.items()} == {k: r.kept_sha256 for k, r in got.items()}
+    across = {r.doc_id: r for r in cdc.dedup(docs, within=False).collect()}
+    assert {k: r.kept_sha256 for k, r in across.items()} == brute(sorted(rows), False) and across[20].n_removed == 0
+    assert got[0].n_removed == got[8].n_removed == got[12].n_removed == 0 and got[9].n_removed == got[9].n_bytes
+    assert all(got[i].n_removed > 250 for i in range(1, 8)) and got[13].n_removed == 5
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got.values())
 
 
+def test_a_shard_holds_each_digest_once():
+    """A chunk that all slices have; the first places arrive last."""
+    held = cdc.ShardTable(30)
+    held.start(0)
+    blobs = []
+    for k in reversed(range(200)):
+        s = cdc.Slice([k, None], [5, 0], b"ab%03d" % (k % 3), 1)
+        blobs.append((k, next(s.deal())[1]))
+    lost, sizes = {}, []
+    for k, blob in blobs:
+        held.add(k, blob)
+        sizes.append(len(held.a) + held.n)
+    held.settle()
+    for k, _, dup, gone in held.rows:
+        lost[k] = lost.get(k, False) or (bool(np.unpackbits(np.frombuffer(dup, np.uint8))[0]) if dup is not None else len(gone) > 0)
+    assert max(sizes) <= 33 and {k for k, x in lost.items() if not x} == {0, 1, 2}
+
+
+def test_recall_of_long_passages(spark):
+    """At sf0.01: passages that exact windows remove are found by chunks, what repeats nowhere stays."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    exact = {r.doc_id: r.removed for r in suffix.dedup(docs, keep_text=False).collect()}
+    by_chunk = {r.doc_id: r.removed for r in cdc.dedup(docs, keep_text=False, within=False).collect()}
+    long = {k for k, v in exact.items() if any(b - a >= 280 for a, b in zip(v[::2], v[1::2]))}
+    clean = {k for k, v in exact.items() if not v}
+    assert sum(bool(by_chunk[k]) for k in long) >= 0.9 * len(long) and sum(bool(by_chunk[k]) for k in clean) <= 0.01 * len(clean)
+
+
 def test_edges(spark):
     text = words(3, 100)
     docs = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string").coalesce(1)

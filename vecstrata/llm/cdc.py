@@ -3,17 +3,21 @@
 A chunk ends where the top bits of the gear hash (h = 2h + G[byte], 32 bits, so the last 32
 bytes count) are zero, but not before ``LEAST`` and at ``MOST`` bytes at the latest, never
 inside a UTF-8 character.  As the ends depend on the bytes around them alone, an insertion
-shifts chunks without changing those further on.  Chunks are compared by a 128-bit digest:
-the first in (doc_id, start) order stays, those of later documents go where a run of them
-has ``LEAST_RUN`` bytes or more.  What repeats only inside one document stays by default.
+shifts chunks without changing those further on.  Chunks are compared by a 96-bit digest:
+the first in (doc_id, reading order, start) stays, all others go where a run of them has
+``LEAST_RUN`` bytes or more, or makes up its whole document.
 
-The hash is computed for all bytes at once, by doubling.  The first place of each digest is
-a grouped minimum with partial results on the map side, so a chunk that a third of all
-documents share is no hot key; only repeated digests meet the chunks again, in a join that
-adaptive execution can split.  A document's spans meet its text by a key of its own.
+Documents are written as slices of some MB.  A slice sends each digest it has once, with
+the smallest doc_id, as packed arrays of 16 bytes a digest.  A shard of digests reads them
+as a sorted stream and holds each digest with its first place alone, so a chunk that a third
+of all documents share is one entry a slice and never gathered: whatever is not first is
+answered at once, and the few places that were first for a while are named at the end.
+Slices take the answers and cut their documents.
 
-Null text: empty, no chunks.  Repeated rows and doc_ids are documents of their own (the
-one read first comes first).  An empty table gives an empty result.
+Null text: empty, no chunks.  A null doc_id comes last.  Repeated rows and doc_ids are
+documents of their own (the one read first comes first).  Texts are read whole; one longer
+than a slice is a slice of its own.  Further columns are not read.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -25,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialize
-from . import spans
-from .common import arrow_schema, bounded, slices
+from .common import arrow_schema, sliced
+from .common import written as materialize
 
-LEAST, BITS, MOST, LEAST_RUN = 32, 5, 1024, 64
+LEAST, BITS, MOST, LEAST_RUN = 16, 4, 1024, 48
+#: Text bytes of a slice and of a shard; entries that a shard merges at once; partitions at most.
+SLICE, SHARD_BYTES, MERGE, PARTITIONS = 4 << 20, 16 << 20, 500_000, 1 << 15
 GEAR = np.random.default_rng(9).integers(0, 1 << 32, 256, dtype=np.uint32)
 _BLOCK = 1 << 22
+_LAST = np.int64((1 << 63) - 1)
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -68,34 +74,183 @@ def cut_points(data: bytes, least: int = LEAST, bits: int = BITS, most: int = MO
     return out
 
 
-def chunks(tagged: DataFrame) -> DataFrame:
-    """(uid, doc_id, start, end, digest) of every chunk of rows (uid, doc_id, text)."""
-    schema = "uid long,doc_id long,start long,end long,digest binary"
+class Slice:
+    """The chunks of a slice's documents, and its entries: the distinct digests, by shard
+    and digest, each at its first place."""
+
+    def __init__(self, doc_ids: list, lens: list, data: bytes, shards: int):
+        self.doc_ids, self.lens, self.data = doc_ids, lens, data
+        self.order_of = np.array([_LAST if d is None else d for d in doc_ids], np.int64)  # ascending
+        stops, n_chunks, at = [], [], 0
+        for size in lens:
+            own = cut_points(data[at : at + size])
+            stops += [at + e for e in own]
+            n_chunks.append(len(own))
+            at += size
+        self.stop = np.array(stops, np.int64)
+        self.doc = np.repeat(np.arange(len(lens)), n_chunks)
+        self.start = np.r_[0, self.stop[:-1]][: len(stops)]  # chunks are gapless, also from document to document
+        digest = b"".join(hashlib.blake2b(data[a:b], digest_size=12).digest() for a, b in zip(self.start.tolist(), stops))
+        pairs = np.frombuffer(digest, [("a", "<u8"), ("b", "<u4")])
+        a, b = pairs["a"].astype(np.uint64), pairs["b"].astype(np.uint32)
+        shard = (a % np.uint64(shards)).astype(np.int64)
+        o = np.lexsort((b, a, shard))  # stable: equal digests stay in the order of their places
+        new = np.ones(len(o), bool)
+        new[1:] = (a[o][1:] != a[o][:-1]) | (b[o][1:] != b[o][:-1])
+        self.head = o[new]
+        self.entry = np.empty(len(o), np.int64)
+        self.entry[o] = np.cumsum(new) - 1
+        self.a, self.b, self.shard = a[self.head], b[self.head], shard[self.head]
+
+    def deal(self):
+        """(shard, packed entries)."""
+        cuts = np.flatnonzero(np.r_[True, self.shard[1:] != self.shard[:-1], True]) if len(self.shard) else []
+        for x, y in zip(cuts, cuts[1:]):
+            docs, local = np.unique(self.doc[self.head[x:y]], return_inverse=True)
+            parts = [np.array([y - x, len(docs)], "<i8"), self.order_of[docs].astype("<i8"), self.a[x:y].astype("<u8"), self.b[x:y].astype("<u4"), local.astype("<u4")]
+            yield int(self.shard[x]), b"".join(p.tobytes() for p in parts)
+
+    def gone(self, replies: list, within: bool) -> np.ndarray:
+        """Which chunks are not the first of their digest."""
+        dup = np.zeros(len(self.head), bool)
+        for r in replies or []:
+            x = int(np.searchsorted(self.shard, r["shard"]))
+            if r["dup"] is not None:
+                n = int(np.searchsorted(self.shard, r["shard"], "right")) - x
+                dup[x : x + n] |= np.unpackbits(np.frombuffer(r["dup"], np.uint8), count=n).astype(bool)
+            else:
+                dup[x + np.frombuffer(r["lost"], "<i4")] = True
+        first = self.head[self.entry] if len(self.head) else self.entry
+        again = first != np.arange(len(first)) if within else self.doc[first] != self.doc
+        return dup[self.entry] | again if len(self.head) else np.zeros(0, bool)
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest's two parts, doc_id order) of packed entries."""
+    n, m = np.frombuffer(blob, "<i8", 2)
+    at = 16 + 8 * m
+    ids = np.frombuffer(blob, "<i8", m, 16)
+    a, b = np.frombuffer(blob, "<u8", n, at), np.frombuffer(blob, "<u4", n, at + 8 * n)
+    return a, b, ids[np.frombuffer(blob, "<u4", n, at + 12 * n)]
+
+
+_REPLY = "slice_id long,shard int,dup binary,lost binary"
+
+
+class ShardTable:
+    """The first place of every digest of one shard, from a stream of its packed entries."""
+
+    def __init__(self, merge: int):
+        self.merge, self.rows = merge, []
+        self.start(None)
+
+    def start(self, shard: int | None) -> None:
+        self.shard, self.held, self.n = shard, [], 0
+        self.a, self.b = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.id, self.slice, self.at = (np.zeros(0, np.int64) for _ in range(3))
+
+    def add(self, slice_id: int, blob: bytes) -> None:
+        self.held.append((slice_id, *unpack(blob)))
+        self.n += len(self.held[-1][1])
+        if self.n >= self.merge:
+            self.settle()
+
+    def settle(self) -> None:
+        """Merge what is held into the table; answer it, and name the places that lost theirs."""
+        if not self.held:
+            return
+        size = [len(h[1]) for h in self.held]
+        old = len(self.a)
+        a, b, ids = (np.concatenate([mine, *(h[k] for h in self.held)]) for k, mine in ((1, self.a), (2, self.b), (3, self.id)))
+        where = np.r_[self.slice, np.repeat([h[0] for h in self.held], size)]
+        at = np.concatenate([self.at, *(np.arange(n) for n in size)])
+        o = np.lexsort((at, where, ids, b, a))
+        new = np.ones(len(o), bool)
+        new[1:] = (a[o][1:] != a[o][:-1]) | (b[o][1:] != b[o][:-1])
+        late = np.empty(len(o), bool)
+        late[o] = ~new
+        lost = np.flatnonzero(late[:old])
+        for s in np.unique(where[lost]).tolist():
+            self.rows.append((s, self.shard, None, at[lost[where[lost] == s]].astype("<i4").tobytes()))
+        k = old
+        for (s, *_), n in zip(self.held, size):
+            self.rows.append((s, self.shard, np.packbits(late[k : k + n]).tobytes(), None))
+            k += n
+        first = o[new]
+        self.a, self.b, self.id, self.slice, self.at = a[first], b[first], ids[first], where[first], at[first]
+        self.held, self.n = [], 0
+
+    def taken(self) -> pa.RecordBatch:
+        rows, self.rows = self.rows, []
+        schema = arrow_schema(_REPLY)
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def shard_replies(batches, merge: int):
+    """Replies to rows (shard, slice_id, blob) sorted by shard."""
+    table = ShardTable(merge)
+    for batch in batches:
+        for shard, slice_id, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "slice_id", "blob"))):
+            if shard != table.shard:
+                table.settle()
+                table.start(shard)
+            table.add(slice_id, blob)
+            if len(table.rows) >= 1000:
+                yield table.taken()
+    table.settle()
+    yield table.taken()
+
+
+def removed_runs(start: np.ndarray, stop: np.ndarray, gone: np.ndarray, size: int, least_run: int) -> list[int]:
+    """Flat starts and ends of the maximal runs of gone chunks of one document that are long
+    enough or the whole of it."""
+    edge = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
+    if not len(edge):
+        return []
+    a, b = start[edge[::2]], stop[edge[1::2] - 1]
+    long = (b - a >= least_run) | (b - a == size)
+    return np.stack([a[long], b[long]], axis=1).ravel().tolist()
+
+
+def dedup(docs: DataFrame, text: str = "text", least_run: int = LEAST_RUN, keep_text: bool = True, within: bool = True, merge: int = MERGE, slice_bytes: int = SLICE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (flat starts and ends) [,
+    kept: the bytes that are left] of every document: without the chunks that an earlier
+    document has, or (``within``) that it has itself, further up."""
+    source = materialize(sliced(docs, text, slice_bytes), "slices")
+    total = source.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    shards = total // shard_bytes + 1
+
+    def opened(b, i: int) -> Slice:
+        return Slice(b.column("doc_ids")[i].as_py(), b.column("lens")[i].as_py(), b.column("data")[i].as_py(), shards)
+
+    def deal(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                for shard, blob in opened(b, i).deal():
+                    yield pa.RecordBatch.from_pydict({"shard": [shard], "slice_id": [b.column("slice_id")[i].as_py()], "blob": [blob]}, schema=arrow_schema("shard int,slice_id long,blob binary"))
+
+    dealt = source.mapInArrow(deal, "shard int, slice_id long, blob binary").repartitionById(min(shards, PARTITIONS), "shard").sortWithinPartitions("shard")
+    replies = dealt.mapInArrow(lambda batches: shard_replies(batches, merge), _REPLY)
+    asked = materialize(replies.groupBy("slice_id").agg(F.collect_list(F.struct("shard", "dup", "lost")).alias("replies")), "slice-replies").hint("shuffle_hash")
+    schema = "doc_id long,n_bytes long,n_removed long,n_spans long,kept_sha256 string,removed array<long>" + ",kept binary" * keep_text
     arrow = arrow_schema(schema)
 
-    def run(batches):
-        for part in slices(batches):
-            uid, ids, start, end, digest = [], [], [], [], []
-            for u, doc, text in zip(part.column("uid").to_pylist(), part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                data = (text or "").encode()
-                cuts = cut_points(data)
-                begin = [0, *cuts[:-1]] if cuts else []
-                uid += [u] * len(cuts)
-                ids += [doc] * len(cuts)
-                start += begin
-                end += cuts
-                digest += [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(begin, cuts)]
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((uid, ids, start, end, digest), arrow)], schema=arrow)
-
-    return tagged.mapInArrow(run, schema)
-
-
-def dedup(docs: DataFrame, text: str = "text", least_run: int = LEAST_RUN, keep_text: bool = True, within: bool = False) -> DataFrame:
-    """Every document without the chunks that an earlier document has (``within``: or that
-    it has itself, further up); the columns of ``spans.cut``."""
-    tagged = materialize(bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("uid")), "tagged")
-    made = materialize(chunks(tagged.select("uid", "doc_id", "text")), "chunks")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "start")
-    first = made.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("first.uid").alias("u"), F.col("first.start").alias("s"))
-    again = made.select("uid", "start", "end", "digest").join(materialize(first, "repeated-digests"), "digest").where("uid <> u OR start <> s" if within else "uid <> u")
-    return spans.cut(tagged, again.select("uid", "start", "end"), least_run, keep_text)
+    def cut(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                s = opened(b, i)
+                gone = s.gone(b.column("replies")[i].as_py(), within)
+                bound = np.searchsorted(s.doc, np.arange(len(s.lens) + 1))
+                out, at = [], 0
+                for k, (doc, size) in enumerate(zip(s.doc_ids, s.lens)):
+                    x, y = bound[k], bound[k + 1]
+                    removed = removed_runs(s.start[x:y] - at, s.stop[x:y] - at, gone[x:y], size, least_run)
+                    data = s.data[at : at + size]
+                    edge = [0, *removed, size]
+                    kept = b"".join(data[p:q] for p, q in zip(edge[::2], edge[1::2])) if removed else data
+                    row = (doc, size, size - len(kept), len(removed) // 2, hashlib.sha256(kept).hexdigest(), removed)
+                    out.append((*row, kept) if keep_text else row)
+                    at += size
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), arrow)], schema=arrow)
+
+    return source.join(asked, "slice_id", "left").select("doc_ids", "lens", "data", "replies").mapInArrow(cut, schema)
