@@ -34,6 +34,12 @@ def test_symbols_are_the_librarys_ids(library):
     assert n.sum() == len(sym)
 
 
+def test_long_runs_and_long_texts(library):
+    texts = [" " * 1_000_000, "\n" * 500_000 + "x", "word and " * 100_000, "é" * 200_000]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert bpe.merger(PATH, P.PATTERN).count(texts) == want
+
+
 def test_frame(spark):
     docs = spark.createDataFrame([(1, "a b", 5), (1, "a b", 5), (None, None, 1)], "doc_id long, text string, n_tokens int")
     rows = bpe.count_tokens(docs, PATH, P.PATTERN).collect()

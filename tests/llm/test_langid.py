@@ -1,3 +1,5 @@
+import numpy as np
+
 from vecstrata.llm import langid
 
 ROWS = [(f"the cat and the dog are here with {i} friends of the house", "en") for i in range(40)] + [
@@ -22,6 +24,26 @@ def test_a_long_text_in_pieces_is_a_whole_text(monkeypatch):
     assert abs(model.logits(text) - whole).max() < 0.2
 
 
+def test_logits_match_brute_force():
+    """Means of embeddings gathered n-gram by n-gram, for both layouts of the model."""
+    few = langid.train(ROWS)
+    many = langid.train([(f"{t} {c}x{c}", f"{lang}{c}") for c in "abcdefghij" for t, lang in ROWS[::5]])
+    assert few.head is None and many.head is not None
+    text = "El Gato, 7 amigos -- the house é"
+    data = b" " + bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in text.encode()) + b" "
+    rows = []
+    for n in (2, 3, 4):
+        for i in range(len(data) - n + 1):
+            h = int.from_bytes(data[i : i + n], "little") * (2654435761 + 2 * 7919 * n) % (1 << 32) >> 17
+            rows.append(h)
+    for model in (few, many):
+        mean = np.mean([model.table[h] for h in rows], axis=0, dtype=np.float64)
+        want = (mean if model.head is None else mean @ model.head) + model.bias
+        assert np.allclose(model.logits(text), want, atol=1e-5)
+        p = np.exp(want / model.temperature) / np.exp(want / model.temperature).sum()
+        assert np.isclose(model.predict(text)[1], p.max(), atol=1e-5) and model.predict(text)[0] == model.langs[int(p.argmax())]
+
+
 def test_no_labels():
     assert langid.train([]).predict("abc") == ("und", 0.0, True)
 

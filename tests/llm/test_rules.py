@@ -35,6 +35,28 @@ def test_anomalies_have_short_paths():
     assert score[1] > score[0] + 0.1 and score[2] > score[0] + 0.05
 
 
+def test_scores_match_brute_force():
+    """Every row walked down every tree by hand; a leaf of n rows adds the mean path among n."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 3))
+    forest = rules.grow(x, x.min(axis=0), x.max(axis=0), trees=20, rows=64, depth=6)
+    expected = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    for row, score in zip(x[:40], forest.score(x[:40])):
+        lengths = []
+        for feature, value, length in zip(forest.feature, forest.value, forest.length):
+            node, level = 0, 0
+            while feature[node] >= 0:
+                node, level = 2 * node + 1 + int(row[feature[node]] >= value[node]), level + 1
+            assert any(np.isclose(length[node], level + expected(n)) for n in range(65))
+            lengths.append(length[node])
+        assert np.isclose(score, 2 ** (-np.mean(lengths) / expected(64)))
+
+
+def test_very_long_text():
+    words = [f"w{i % 5000}" for i in range(300_000)]
+    assert rules.statistics(" ".join(words))[:5] == (300_000, sum(map(len, words)), 0, 0, 300_000)
+
+
 def test_threshold():
     good, bad = np.array([90, 9, 1, 0]), np.array([0, 1, 5, 5])
     assert rules.threshold(good, bad, 0.02) == 0.5

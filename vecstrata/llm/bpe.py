@@ -10,7 +10,8 @@ a worker keeps the counts of those it has merged in a table of bounded size.
 
 Null text: empty, so 0 bytes and 0 tokens.  Special strings inside a text count as
 the one token that the library makes of them.  Repeated rows and ties: one result
-row for each input row.  An empty table gives an empty result.
+row for each input row.  Texts are counted whole, however long, runs of blanks of any length
+included.  Further columns are not read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,10 @@ Prediction is one Arrow pass over whole texts, without a shuffle.  As both layer
 linear, the product of the two tables is gathered when there are few languages.
 
 Null text, or no letter in the text: ``und`` with score 0, rejected.  No labelled row at
-all: ``und`` for every text.  Repeated rows give repeated results.
+all: ``und`` for every text.  Repeated rows give repeated results; of equally likely
+languages the first in alphabetical order counts, and of equal training keys the smaller
+text.  Texts are predicted whole, however long, in overlapping pieces; of a long training
+text a segment is used.  Further columns are not read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,19 +11,25 @@ from .common import read
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's own and site evidence, combined score, toxicity and verdict, by models
+    fitted on a bounded sample of ``labels``."""
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document's ids, its sequence of at most 2048 ids and its place there."""
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate in every document with the forest's score; secrets appear as digests only."""
     found = secret_scan.scan(read(spark, sf_dir, "documents"))
     return found.withColumn("value_sha256", F.sha2("value", 256)).drop("value")
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings that also start in a
+    document with a smaller doc_id."""
     return suffix.dedup(read(spark, sf_dir, "documents"), keep_text=False).drop("removed")
 
 
@@ -52,6 +58,7 @@ FROM d LEFT JOIN sums ON d.doc_id = sums.doc_id
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by a model that has not seen the held-out fifth."""
     docs = read(spark, sf_dir, "documents")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
     model = langid.train(langid.training_rows(docs.where(~held)))
@@ -59,19 +66,23 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the chunks that came before, there or in itself."""
     return cdc.dedup(read(spark, sf_dir, "documents"), keep_text=False)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes and tokens, and whether it has more than 1024 of these."""
     counts = bpe.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's 64-bit fingerprint and the smallest doc_id linked to it within two bits."""
     return simhash.report(read(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside occurrences of 13-word benchmark windows."""
     found = decontam.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items", decontam.items_digest().alias("items_sha256"),
@@ -106,6 +117,7 @@ FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN s ON d.doc_id = s.doc_id
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's rule statistics, the fixed rules' verdict and the forest's."""
     judged = rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return judged.select("doc_id", *rules.BASE, "base_failed", "kept", "anomaly")
 
