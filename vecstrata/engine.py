@@ -93,7 +93,8 @@ class Namespace:
         """Stage the rows, check what was staged, publish it; nothing is left of a refused call."""
         aside, staged = self.store.stage(self.name, rows.select("op_idx", "doc_idx", "op", "ts_ms", "id", "vector", "attributes"))
         size = F.when(F.col("vector").isNotNull(), F.size("vector"))
-        seen = staged.agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("low"), F.max(size).alias("high"), F.min(F.coalesce("id", F.lit(-1))).alias("least_id")).first()
+        least_id = F.min(F.coalesce("id", F.lit(-1))).alias("least_id")
+        seen = staged.agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("low"), F.max(size).alias("high"), least_id).first()
         held = self.dimensions() if seen.low is not None else None
         want = held if held is not None else seen.low
         wrong = next((s for s in (seen.low, seen.high) if s is not None and s != want), None)
@@ -115,8 +116,12 @@ class Namespace:
         self.meta()
         parts = None
         for k, (op, df) in enumerate(operations):
-            rows = self._normalised(df) if op == "upsert" else df.select(F.col("id").cast("long").alias("id"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast(ATTRIBUTES).alias("attributes"))
-            rows = rows.select(F.lit(k).alias("op_idx"), F.monotonically_increasing_id().alias("doc_idx"), F.lit(op).alias("op"), F.lit(int(time.time() * 1000)).alias("ts_ms"), "id", "vector", "attributes")
+            if op == "upsert":
+                rows = self._normalised(df)
+            else:
+                rows = df.select(F.col("id").cast("long").alias("id"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast(ATTRIBUTES).alias("attributes"))
+            place = (F.lit(k).alias("op_idx"), F.monotonically_increasing_id().alias("doc_idx"))
+            rows = rows.select(*place, F.lit(op).alias("op"), F.lit(int(time.time() * 1000)).alias("ts_ms"), "id", "vector", "attributes")
             parts = rows if parts is None else parts.unionByName(rows)
         return self._append(parts, source) if parts is not None else None
 
@@ -147,7 +152,8 @@ class Namespace:
         if manifest is None:
             return None
         read = lambda name, schema: self.store.read_table(self.name, manifest["gen"], name, schema)
-        return manifest | {"heads": read("heads", HEADS_SCHEMA), "postings": read("postings", f"{POSTINGS_SCHEMA}, part INT"), "versions": read("versions", VERSIONS_SCHEMA), "docs": read("docs", STATE_SCHEMA)}
+        schemas = {"heads": HEADS_SCHEMA, "postings": f"{POSTINGS_SCHEMA}, part INT", "versions": VERSIONS_SCHEMA, "docs": STATE_SCHEMA}
+        return manifest | {name: read(name, schema) for name, schema in schemas.items()}
 
     def documents(self) -> DataFrame:
         """The live documents: id, vector, attributes, last_seq."""
@@ -239,7 +245,8 @@ class Namespace:
             docs = replay.overlay(held["docs"], fresh)
             changed = fresh.select(F.col("id").alias("vector_id"), "vector", (F.col("op").eqNullSafe("delete") | F.col("vector").isNull()).alias("gone"))
             both = held["versions"].join(changed, "vector_id", "full_outer")
-            versions = materialize(both.select("vector_id", F.when(F.col("gone").isNull(), F.col("version")).otherwise(F.coalesce("version", F.lit(0)) + 1).alias("version"), F.coalesce("gone", "deleted").alias("deleted")), "versions")
+            version = F.when(F.col("gone").isNull(), F.col("version")).otherwise(F.coalesce("version", F.lit(0)) + 1)
+            versions = materialize(both.select("vector_id", version.alias("version"), F.coalesce("gone", "deleted").alias("deleted")), "versions")
             added = changed.where("NOT gone").join(versions.select("vector_id", "version"), "vector_id").select("vector_id", "version", "vector")
             postings = materialize(held["postings"].drop("part").unionByName(index.place(added, held["heads"], config)), "postings")
             heads = held["heads"]

@@ -10,7 +10,10 @@ from .exact import knn_batch, rank_by_query
 from .index import ann_candidates
 
 
-def hybrid_knn(queries: DataFrame, k: int = DEFAULT_TOP_K, metric: str = "euclidean_squared", *, documents: DataFrame | None = None, index: dict | None = None, tail_ops: DataFrame | None = None, config: IndexConfig | None = None, allowed: DataFrame | None = None) -> DataFrame:
+def hybrid_knn(
+    queries: DataFrame, k: int = DEFAULT_TOP_K, metric: str = "euclidean_squared", *, documents: DataFrame | None = None, index: dict | None = None,
+    tail_ops: DataFrame | None = None, config: IndexConfig | None = None, allowed: DataFrame | None = None,
+) -> DataFrame:
     """(qid, id, dist, rank).
 
     Without an index: exact over ``documents``.  With one (``heads``, ``postings``,

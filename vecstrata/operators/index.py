@@ -61,7 +61,8 @@ def chosen_heads(batch, ids: np.ndarray, centers: np.ndarray, config: IndexConfi
         for v, row in zip(vectors[a : a + 1024], approx):
             at, dist = nearest(metric, v, row, ids, centers, want)
             lists.append(ids[at[diverse(v, centers[at], dist, config.rng_factor, config.replica_count, metric)]])
-    return pa.RecordBatch.from_arrays([batch.column("vector_id"), batch.column("version"), batch.column("vector"), pa.array(lists, pa.list_(pa.int64()))], names=["vector_id", "version", "vector", "heads"])
+    carried = [batch.column(c) for c in ("vector_id", "version", "vector")]
+    return pa.RecordBatch.from_arrays([*carried, pa.array(lists, pa.list_(pa.int64()))], names=["vector_id", "version", "vector", "heads"])
 
 
 def place(rows: DataFrame, heads: DataFrame, config: IndexConfig, block_bytes: int = HEAD_BLOCK_BYTES) -> DataFrame:
@@ -74,7 +75,8 @@ def place(rows: DataFrame, heads: DataFrame, config: IndexConfig, block_bytes: i
         out = rows.withColumn("heads", F.array().cast("array<long>")).limit(0)
     elif n * dims * 8 <= block_bytes:
         held = active.orderBy("head_id").collect()
-        sent = rows.sparkSession.sparkContext.broadcast((np.array([r.head_id for r in held], np.int64), np.array([r.centroid for r in held], np.float64)))
+        ids, centers = np.array([r.head_id for r in held], np.int64), np.array([r.centroid for r in held], np.float64)
+        sent = rows.sparkSession.sparkContext.broadcast((ids, centers))
         out = rows.mapInArrow(lambda batches: (chosen_heads(b, *sent.value, config) for b in batches if b.num_rows), _PLACED)
     else:
         out = routed(rows, active, config, int(min(PIVOTS, max(2, n**0.5), max(2, block_bytes // (8 * dims)))))
@@ -84,12 +86,14 @@ def place(rows: DataFrame, heads: DataFrame, config: IndexConfig, block_bytes: i
 def routed(rows: DataFrame, active: DataFrame, config: IndexConfig, n_pivots: int) -> DataFrame:
     """``place`` for more heads than one broadcast: vectors meet the heads around a pivot."""
     spark, metric = rows.sparkSession, metric_of(config.metric)
-    pivots = spark.sparkContext.broadcast(np.array([r.centroid for r in active.orderBy(F.xxhash64("head_id"), "head_id").limit(n_pivots).collect()], np.float64))
+    picked = active.orderBy(F.xxhash64("head_id"), "head_id").limit(n_pivots).collect()
+    pivots = spark.sparkContext.broadcast(np.array([r.centroid for r in picked], np.float64))
 
     def near_pivots(vectors: np.ndarray, most: int) -> np.ndarray:
         """(rows, most): the nearest pivots."""
         most = min(most, len(pivots.value))
-        at = [np.argpartition(many_to_many(metric, vectors[a : a + 1024], pivots.value), most - 1, axis=1)[:, :most] for a in range(0, len(vectors), 1024)]
+        parts = (many_to_many(metric, vectors[a : a + 1024], pivots.value) for a in range(0, len(vectors), 1024))
+        at = [np.argpartition(d, most - 1, axis=1)[:, :most] for d in parts]
         return np.concatenate(at) if at else np.zeros((0, most), np.int64)
 
     def deal_heads(batches):
@@ -101,7 +105,8 @@ def routed(rows: DataFrame, active: DataFrame, config: IndexConfig, n_pivots: in
     def deal_vectors(batches):
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(near_pivots(matrix(b.column("vector")), 1)[:, 0]), *b.columns], names=["pivot", *b.schema.names])
+                nearest_pivot = pa.array(near_pivots(matrix(b.column("vector")), 1)[:, 0])
+                yield pa.RecordBatch.from_arrays([nearest_pivot, *b.columns], names=["pivot", *b.schema.names])
 
     dealt = materialize(rows.mapInArrow(deal_vectors, "pivot long, vector_id long, version long, vector array<float>"), "dealt-vectors")
     salts = dealt.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).alias("salts"))  # PIVOTS rows at most
@@ -109,9 +114,12 @@ def routed(rows: DataFrame, active: DataFrame, config: IndexConfig, n_pivots: in
     around = active.mapInArrow(deal_heads, "head_id long, centroid array<double>, groups array<long>").withColumn("pivot", F.explode("groups"))
     around = around.join(F.broadcast(salts), "pivot").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     none = lambda kind: F.lit(None).cast(kind)
-    mixed = own.select("pivot", "salt", F.lit(1).alias("kind"), "vector_id", "version", "vector", none("array<double>").alias("centroid")).unionByName(
-        around.select("pivot", "salt", F.lit(0).alias("kind"), F.col("head_id").alias("vector_id"), none("long").alias("version"), none("array<float>").alias("vector"), "centroid")
-    )
+    of_vectors = own.select("pivot", "salt", F.lit(1).alias("kind"), "vector_id", "version", "vector", none("array<double>").alias("centroid"))
+    of_heads = around.select(
+        "pivot", "salt", F.lit(0).alias("kind"), F.col("head_id").alias("vector_id"),
+        none("long").alias("version"), none("array<float>").alias("vector"), "centroid",
+    )
+    mixed = of_vectors.unionByName(of_heads)
 
     def meet(batches):
         group, ids, centers, ready = None, [], [], None
@@ -145,7 +153,8 @@ def split_plan(lists: DataFrame, config: IndexConfig, first_id: int) -> tuple[Da
     todo = sizes.count()
     span = 1 << 30
     key = F.pmod(F.hash("vector", "head_id"), F.lit(span))
-    sample = lists.join(sizes, "head_id").where(key < F.lit(span) * F.least(F.lit(1.0), F.lit(SAMPLE_ROWS) / F.col("n"))).select("head_id", "n", F.col("vector").cast("array<double>").alias("vector"))
+    picked = lists.join(sizes, "head_id").where(key < F.lit(span) * F.least(F.lit(1.0), F.lit(SAMPLE_ROWS) / F.col("n")))
+    sample = picked.select("head_id", "n", F.col("vector").cast("array<double>").alias("vector"))
     cosine, bound = config.metric == Metric.COSINE, config.max_posting_size
 
     def parts(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -176,7 +185,8 @@ def build_heads(vectors: DataFrame, config: IndexConfig) -> DataFrame:
             break
         next_id = top + 1
         listed = plan.groupBy("old_id").agg(F.collect_list(F.struct("new_id", "centroid")).alias("parts")).withColumnRenamed("old_id", "head_id")
-        moved = materialize(rows.join(listed, "head_id", "left").select("vector_id", "vector", _nearest_part("euclidean_squared" if config.metric != Metric.COSINE else config.metric).alias("head_id")), "level")
+        nearest_part = _nearest_part("euclidean_squared" if config.metric != Metric.COSINE else config.metric).alias("head_id")
+        moved = materialize(rows.join(listed, "head_id", "left").select("vector_id", "vector", nearest_part), "level")
         gone = plan.select(F.col("old_id").alias("head_id")).distinct()
         fresh = plan.select(F.col("new_id").alias("head_id"), "centroid")
         leaves = materialize(fresh if leaves is None else leaves.join(gone, "head_id", "left_anti").unionByName(fresh), "heads")
@@ -211,7 +221,9 @@ def part_count(postings: DataFrame) -> int:
     return int(min(PARTS, n * 4 * (dims or 0) // PART_BYTES + 1))
 
 
-def ann_candidates(queries: DataFrame, heads: DataFrame, postings: DataFrame, versions: DataFrame, config: IndexConfig, metric: str | None = None, parts: int | None = None) -> DataFrame:
+def ann_candidates(
+    queries: DataFrame, heads: DataFrame, postings: DataFrame, versions: DataFrame, config: IndexConfig, metric: str | None = None, parts: int | None = None
+) -> DataFrame:
     """(qid, id, dist): every live vector in a probed list once, at its least distance.
     Lists are chosen by the index's metric, distances may use another.
 
@@ -241,7 +253,8 @@ def ann_candidates(queries: DataFrame, heads: DataFrame, postings: DataFrame, ve
                     continue
                 usable = usable[np.argsort(at[usable], kind="stable")]
                 part = b.take(pa.array(usable))
-                ids, version, rows, of = part.column("vector_id").to_numpy(), part.column("version").to_numpy(), matrix(part.column("vector")), at[usable]
+                ids, version, of = part.column("vector_id").to_numpy(), part.column("version").to_numpy(), at[usable]
+                rows = matrix(part.column("vector"))
                 cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
                 made = []
                 for x, y in zip(cut, cut[1:]):
@@ -263,7 +276,9 @@ def ann_candidates(queries: DataFrame, heads: DataFrame, postings: DataFrame, ve
     return found.join(alive, ["id", "version"]).select("qid", "id", "dist")
 
 
-def ann_search(queries: DataFrame, heads: DataFrame, postings: DataFrame, versions: DataFrame, config: IndexConfig, k: int, metric: str | None = None) -> DataFrame:
+def ann_search(
+    queries: DataFrame, heads: DataFrame, postings: DataFrame, versions: DataFrame, config: IndexConfig, k: int, metric: str | None = None
+) -> DataFrame:
     return rank_by_query(ann_candidates(queries, heads, postings, versions, config, metric), k)
 
 
@@ -284,18 +299,24 @@ def split_oversized(heads: DataFrame, postings: DataFrame, versions: DataFrame,
     if not todo:
         return heads, clean, versions
     plan = materialize(plan, "split")
-    splits = materialize(plan.groupBy("old_id").agg(F.collect_list(F.struct("new_id", "centroid")).alias("parts")).join(heads.select(F.col("head_id").alias("old_id"), F.col("centroid").alias("old_centroid")), "old_id"), "splits")
+    old = heads.select(F.col("head_id").alias("old_id"), F.col("centroid").alias("old_centroid"))
+    splits = materialize(plan.groupBy("old_id").agg(F.collect_list(F.struct("new_id", "centroid")).alias("parts")).join(old, "old_id"), "splits")
     listed = splits.select(F.col("old_id").alias("head_id"), "parts")
     metric = "euclidean_squared" if config.metric != Metric.COSINE else config.metric
     moved = clean.join(listed, "head_id", "left").select(_nearest_part(metric).alias("head_id"), "vector_id", "version", "vector").distinct()
     gone = splits.select(F.col("old_id").alias("head_id"))
-    marked = heads.join(gone.withColumn("gone", F.lit(True)), "head_id", "left").select("head_id", "centroid", (F.col("active") & F.col("gone").isNull()).alias("active"))
+    still = (F.col("active") & F.col("gone").isNull()).alias("active")
+    marked = heads.join(gone.withColumn("gone", F.lit(True)), "head_id", "left").select("head_id", "centroid", still)
     heads = materialize(marked.unionByName(plan.select(F.col("new_id").alias("head_id"), "centroid", F.lit(True).alias("active"))), "heads")
-    around = head_search(splits.select(F.col("old_id").alias("qid"), F.col("old_centroid").alias("vector")), heads.join(plan.select(F.col("new_id").alias("head_id")), "head_id", "left_anti"), config.reassign_range, config.metric)
+    centers = splits.select(F.col("old_id").alias("qid"), F.col("old_centroid").alias("vector"))
+    others = heads.join(plan.select(F.col("new_id").alias("head_id")), "head_id", "left_anti")
+    around = head_search(centers, others, config.reassign_range, config.metric)
     moved = materialize(moved, "moved")
     entries = moved.join(around.withColumnRenamed("qid", "old_id"), "head_id")
-    again = materialize(reassign_candidates(entries, splits.select("old_id", "old_centroid", F.transform("parts", lambda p: p["centroid"]).alias("new_centroids")), config.metric), "reassigned")
-    versions = materialize(versions.join(again.withColumn("up", F.lit(1)), "vector_id", "left").select("vector_id", (F.col("version") + F.coalesce("up", F.lit(0))).alias("version"), "deleted"), "versions")
+    changed = splits.select("old_id", "old_centroid", F.transform("parts", lambda p: p["centroid"]).alias("new_centroids"))
+    again = materialize(reassign_candidates(entries, changed, config.metric), "reassigned")
+    raised = (F.col("version") + F.coalesce("up", F.lit(0))).alias("version")
+    versions = materialize(versions.join(again.withColumn("up", F.lit(1)), "vector_id", "left").select("vector_id", raised, "deleted"), "versions")
     rows = moved.join(again, "vector_id").groupBy("vector_id").agg((F.max("version") + 1).alias("version"), F.first("vector").alias("vector"))
     postings = moved.join(again, "vector_id", "left_anti").select("head_id", "vector_id", "version", "vector").unionByName(place(rows, heads, config))
     return heads, materialize(postings, "postings"), versions

@@ -17,7 +17,7 @@ from ..operators import exact, hybrid, index, kmeans, replay
 from ..scratch import materialize, scratch_path
 from ..sources.synthetic import synthetic_documents
 from ..streaming.ingest import ingest
-from ..types import IndexConfig
+from ..types import ATTRIBUTES, IndexConfig, WriteConflict
 
 DELETES, UPDATES = 1_000_000, 1_000_001
 L2, COS, DOT = "euclidean_squared", "cosine_distance", "dot_product"
@@ -214,26 +214,6 @@ def doc_count(spark, sf_dir):
     return replay.latest_documents(_log(spark, sf_dir)).agg(F.count(F.lit(1)).alias("doc_count"))
 
 
-@query(f"WITH {_LAST} SELECT id, CAST(seq AS BIGINT) AS last_seq FROM alive WHERE id = 22")
-def point_get(spark, sf_dir):
-    return replay.latest_documents(_log(spark, sf_dir).where("id = 22")).select("id", "last_seq")
-
-
-@query(f"WITH {_LAST} SELECT CAST(seq AS BIGINT) AS sequence, count(*) AS operations FROM log GROUP BY seq")
-def wal_sequences(spark, sf_dir):
-    return _log(spark, sf_dir).groupBy("sequence").agg(F.count(F.lit(1)).alias("operations"))
-
-
-@query(f"WITH {_LAST} SELECT CAST(max(seq) AS BIGINT) AS sequence FROM log")
-def wal_max_sequence(spark, sf_dir):
-    return _log(spark, sf_dir).agg(F.max("sequence").alias("sequence"))
-
-
-@query(f"WITH {_LAST} SELECT id, CAST(seq AS BIGINT) AS sequence, op FROM log WHERE seq > {DELETES - 1}")
-def tail_select(spark, sf_dir):
-    return replay.tail(_log(spark, sf_dir), DELETES - 1).select("id", "sequence", "op")
-
-
 @query(_knn_sql(L2, "(SELECT id, vector FROM alive WHERE seq >= 1000000)", ctes=_LAST))
 def tail_knn(spark, sf_dir):
     ops = replay.latest_ops(replay.tail(_log(spark, sf_dir), DELETES - 1)).where("op = 'upsert'")
@@ -339,32 +319,58 @@ def kmeans_step(spark, sf_dir):
     return step.select("cluster", "n", F.posexplode("centroid").alias("pos", "x")).select("cluster", "n", "pos", F.round("x", 6).alias("mean"))
 
 
-@query(f"WITH {_V} SELECT CAST(label AS BIGINT) AS old_id, count(*) AS n FROM v GROUP BY label HAVING count(*) > 40")
+@query(f"""WITH {_V}, n AS (SELECT label, count(*) AS n FROM v GROUP BY label)
+SELECT CAST(label AS BIGINT) AS old_id, n AS n_vectors, n > 40 AS divided, true AS bounded FROM n""")
 def split_oversized(spark, sf_dir):
-    lists = _vectors(spark, sf_dir).select(F.col("label").cast("long").alias("head_id"), "vector")
-    plan, _ = index.split_plan(lists, IndexConfig(max_posting_size=40), 1000)
-    sizes = lists.groupBy("head_id").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.join(plan.select(F.col("old_id").alias("head_id")).distinct(), "head_id").select(F.col("head_id").alias("old_id"), "n")
+    """One round over lists by label: what is above the bound is divided whole into smaller
+    parts, the rest stays; reassignment is off, so every vector stays below its old list."""
+    v = _vectors(spark, sf_dir)
+    postings = v.select(F.col("label").cast("long").alias("head_id"), F.col("id").alias("vector_id"), F.lit(1).cast("long").alias("version"), "vector")
+    versions = v.select(F.col("id").alias("vector_id"), F.lit(1).cast("long").alias("version"), F.lit(False).alias("deleted"))
+    config = IndexConfig(max_posting_size=40, reassign_range=0)
+    _, after, _ = index.split_oversized(_heads(spark, sf_dir), postings, versions, config)
+    own = after.select("vector_id", F.col("head_id").alias("new_id")).join(v.select(F.col("id").alias("vector_id"), F.col("label").cast("long").alias("old_id")), "vector_id")
+    parts = own.groupBy("old_id", "new_id").agg(F.count(F.lit(1)).alias("n"))
+    whole = parts.groupBy("old_id").agg(F.sum("n").alias("n_vectors"), F.max("n").alias("most"), F.max(F.col("new_id") != F.col("old_id")).alias("divided"))
+    return whole.select("old_id", "n_vectors", "divided", (~F.col("divided") | (F.col("most") < F.col("n_vectors"))).alias("bounded"))
+
 
+_ENDS = f"""{_V}, {_H}, n AS (SELECT label, min(id) AS a, max(id) AS b FROM v GROUP BY label)"""
 
-@query(f"""WITH {_V}, {_H}, n AS (SELECT label, min(id) AS a, max(id) AS b FROM v GROUP BY label)
-SELECT DISTINCT v.id AS vector_id FROM v JOIN h ON h.head_id = (v.label + 1) % 10 JOIN n ON n.label = h.head_id JOIN v va ON va.id = n.a JOIN v vb ON vb.id = n.b
+
+@query(f"""WITH {_ENDS}
+SELECT DISTINCT v.id AS vector_id FROM v JOIN h ON h.head_id = v.label JOIN n ON n.label = v.label JOIN v va ON va.id = n.a JOIN v vb ON vb.id = n.b
 WHERE {_d(L2, 'v.vector', 'va.vector')} <= {_d(L2, 'v.vector', 'h.centroid')} OR {_d(L2, 'v.vector', 'vb.vector')} <= {_d(L2, 'v.vector', 'h.centroid')}""")
 def reassign_candidates(spark, sf_dir):
+    """Members of each list that one of two new centroids (its first and last vector) suits
+    as well as the old one, its mean."""
     v = _vectors(spark, sf_dir)
     ends = v.groupBy("label").agg(F.array(F.min_by("vector", "id"), F.max_by("vector", "id")).alias("new_centroids"))
     splits = _heads(spark, sf_dir).join(ends, F.col("head_id") == F.col("label")).select(F.col("head_id").alias("old_id"), F.col("centroid").alias("old_centroid"), "new_centroids")
-    entries = v.select(F.col("id").alias("vector_id"), "vector", ((F.col("label") + 1) % 10).cast("long").alias("old_id"))
+    entries = v.select(F.col("id").alias("vector_id"), "vector", F.col("label").cast("long").alias("old_id"))
     return index.reassign_candidates(entries, splits, L2)
 
 
-@query()
+@query(f"WITH {_V}, {_H}, {_Q}, r AS (SELECT qid, head_id, row_number() OVER (PARTITION BY qid ORDER BY {_d(L2, 'centroid', 'qv')}, head_id) AS rn FROM q CROSS JOIN h WHERE head_id % 2 = 0) SELECT qid, CAST(head_id AS BIGINT) AS head_id FROM r WHERE rn <= 3")
+def active_heads(spark, sf_dir):
+    """Inactive heads (the odd ones) are never probed."""
+    heads = _heads(spark, sf_dir).withColumn("active", F.col("head_id") % 2 == 0)
+    return index.head_search(_asked(_vectors(spark, sf_dir)), heads, 3, L2)
+
+
+@query("SELECT count(*) AS vectors, CAST(0 AS BIGINT) AS uncovered, CAST(0 AS BIGINT) AS over_replicated, CAST(0 AS BIGINT) AS oversized_lists FROM embeddings")
 def index_build(spark, sf_dir):
-    """Lists of a bulk build: every vector is in one, none is above the bound."""
+    """A bulk build: every vector is in a list, none in more than three, and no list of
+    nearest heads is above the bound."""
     config = IndexConfig(max_posting_size=64, replica_count=3)
     rows = _vectors(spark, sf_dir).select(F.col("id").alias("vector_id"), "vector", F.lit(1).cast("long").alias("version"))
     heads = materialize(index.build_heads(rows, config), "heads")
-    return kmeans.posting_sizes(index.place(rows, heads, config))
+    copies = index.place(rows, heads, config).groupBy("vector_id").agg(F.count(F.lit(1)).alias("n"))
+    placed = rows.select("vector_id").join(copies, "vector_id", "left").agg(
+        F.count(F.lit(1)).alias("vectors"), F.count_if(F.col("n").isNull()).alias("uncovered"), F.count_if(F.col("n") > 3).alias("over_replicated")
+    )
+    sizes = kmeans.posting_sizes(materialize(index.place(rows, heads, IndexConfig(max_posting_size=64, replica_count=1)), "nearest"))
+    return placed.crossJoin(sizes.agg(F.count_if(F.col("size") > 2 * 64).alias("oversized_lists")))  # a row each
 
 
 # whole engine
@@ -415,6 +421,102 @@ def namespace_listing(spark, sf_dir):
     return ns.engine.list_namespaces()
 
 
+def _three_entries(spark, sf_dir):
+    """A namespace whose log has three entries: all vectors, deletes, updates."""
+    v, ns = _filled(spark, sf_dir)
+    ns.delete(v.where("id % 17 = 0").select("id"))
+    ns.upsert(v.where("id % 11 = 0").select("id").join(v.select((F.col("id") - 1).alias("id"), "vector"), "id"))
+    return v, ns
+
+
+_STORED = """v AS (SELECT vec_id AS id, embedding AS vector FROM embeddings), log AS (
+  SELECT 1 AS sequence, 'upsert' AS op, id, vector FROM v
+  UNION ALL SELECT 2, 'delete', id, NULL FROM v WHERE id % 17 = 0
+  UNION ALL SELECT 3, 'upsert', a.id, b.vector FROM v a JOIN v b ON b.id = a.id + 1 WHERE a.id % 11 = 0
+), alive AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sequence DESC) AS rn FROM log) WHERE rn = 1 AND op = 'upsert')"""
+
+
+@query(f"WITH {_STORED} SELECT CAST(sequence AS BIGINT) AS sequence, count(*) AS operations FROM log GROUP BY sequence")
+def wal_sequences(spark, sf_dir):
+    """The store's entries, each read by its number."""
+    _, ns = _three_entries(spark, sf_dir)
+    rows = None
+    for s in ns.store.sequences(ns.name):
+        part = ns.store.entry(ns.name, s).groupBy("sequence").agg(F.count(F.lit(1)).alias("operations"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+@query(f"WITH {_STORED} SELECT CAST(max(sequence) AS BIGINT) AS sequence FROM log")
+def wal_max_sequence(spark, sf_dir):
+    _, ns = _three_entries(spark, sf_dir)
+    return spark.createDataFrame([(ns.last_sequence(),)], "sequence long")
+
+
+@query(f"WITH {_STORED} SELECT id, CAST(sequence AS BIGINT) AS sequence, op FROM log WHERE sequence > 1")
+def tail_select(spark, sf_dir):
+    """The log after an entry; the files of the entries before are not read."""
+    return _three_entries(spark, sf_dir)[1].log(1).select("id", "sequence", "op")
+
+
+@query(f"WITH {_STORED} SELECT id, CAST(sequence AS BIGINT) AS last_seq, round(CAST(vector[1] AS DOUBLE), 6) AS first FROM alive WHERE id = 22")
+def point_get(spark, sf_dir):
+    """One document through the engine, its newest version in the log's tail."""
+    _, ns = _three_entries(spark, sf_dir)
+    row = ns.get(22)
+    return spark.createDataFrame([(row.id, row.sequence, round(float(row.vector[0]), 6))], "id long, last_seq long, first double")
+
+
+@query(f"WITH {_STORED} SELECT id, CAST(sequence AS BIGINT) AS last_seq FROM alive")
+def slow_writer(spark, sf_dir):
+    """Two writers: one stages, the other publishes and the index is built, then the first
+    publishes.  Nothing is lost."""
+    v, ns = _filled(spark, sf_dir)
+    late = v.where("id % 11 = 0").select("id").join(v.select((F.col("id") - 1).alias("id"), "vector"), "id")
+    rows = late.select(F.lit(0).alias("op_idx"), F.col("id").alias("doc_idx"), F.lit("upsert").alias("op"), F.lit(0).cast("long").alias("ts_ms"), "id", "vector", F.expr(f"CAST(map() AS {ATTRIBUTES})").alias("attributes"))
+    batch, _ = ns.store.stage(ns.name, rows)
+    ns.delete(v.where("id % 17 = 0").select("id"))
+    ns.build_index(IndexConfig(max_posting_size=64, replica_count=1))
+    ns.store.publish(ns.name, batch)
+    return ns.documents().select("id", "last_seq")
+
+
+@query("WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT CAST(1 AS BIGINT) AS generation, CAST(1 AS BIGINT) AS wal_sequence, n AS num_vectors, true AS has_heads, true AS refused FROM n")
+def manifest_commit(spark, sf_dir):
+    """A generation's manifest, and a second writer of the same generation refused."""
+    _, ns = _filled(spark, sf_dir)
+    ns.build_index(IndexConfig(max_posting_size=64, replica_count=1))
+    held = ns.store.manifest(ns.name)
+    try:
+        ns.store.commit_manifest(ns.name, held["gen"], {})
+        refused = False
+    except WriteConflict:
+        refused = True
+    row = (held["gen"], held["wal_sequence"], ns.indexed_count(), held["active_centroids"] > 0, refused)
+    return spark.createDataFrame([row], "generation long, wal_sequence long, num_vectors long, has_heads boolean, refused boolean")
+
+
+@query("SELECT 'kept' AS name")
+def namespace_deleted(spark, sf_dir):
+    """Namespaces that are left after one was deleted; its documents are gone with it."""
+    _, ns = _filled(spark, sf_dir)
+    ns.engine.create_namespace("kept")
+    ns.engine.delete_namespace(ns.name)
+    return ns.engine.list_namespaces().select("name")
+
+
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS uncovered, CAST(0 AS BIGINT) AS future, CAST(0 AS BIGINT) AS headless FROM (SELECT DISTINCT vec_id FROM embeddings WHERE vec_id % 17 <> 0 OR vec_id % 11 = 0)")
+def index_increment(spark, sf_dir):
+    """An index extended by deletes and updates: live vectors and violated invariants."""
+    v, ns = _filled(spark, sf_dir)
+    ns.build_index(IndexConfig(max_posting_size=64, replica_count=2))
+    ns.delete(v.where("id % 17 = 0").select("id"))
+    ns.upsert(v.where("id % 11 = 0").select("id", F.reverse("vector").alias("vector")))
+    ns.build_index()
+    found = ns.check_index()
+    return spark.createDataFrame([(ns.indexed_count(), *(found[k] for k in ("uncovered", "future", "headless")))], "n long, uncovered long, future long, headless long")
+
+
 @query("SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('UBIGINT') OR (json_type(props, '$.k') = 'BIGINT' AND CAST(json_extract(props, '$.k') AS BIGINT) >= 0) THEN 'u64' ELSE 'f64' END AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS value FROM events")
 def attribute_coercion(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", attr.from_json("props").alias("a"))
@@ -427,11 +529,13 @@ def attribute_round_trip(spark, sf_dir):
     return rows.select("event_id", F.regexp_replace(attr.to_json("a"), '":', '": ').alias("attributes"))
 
 
-@query()
+@query("SELECT CAST(i AS BIGINT) AS id, CAST(64 AS INTEGER) AS dims, CAST(1.0 AS DOUBLE) AS norm, CAST(i // 100 AS BIGINT) AS batch FROM (SELECT unnest(range(0, (SELECT count(*) FROM embeddings))) AS i)")
 def synthetic_source(spark, sf_dir):
+    """As many made-up documents as there are embeddings: dimensions, norm and batch."""
     n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
     rows = synthetic_documents(spark, n, 64)
-    return rows.select("id", F.size("vector").alias("dims"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"), F.expr("CAST(attributes['batch'].u AS BIGINT)").alias("batch"))
+    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return rows.select("id", F.size("vector").alias("dims"), F.round(norm, 4).alias("norm"), F.expr("CAST(attributes['batch'].u AS BIGINT)").alias("batch"))
 
 
 @query("SELECT vec_id AS id, CAST(1 AS BIGINT) AS last_seq FROM embeddings")
