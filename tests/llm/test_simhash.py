@@ -30,49 +30,60 @@ def test_fingerprints():
         assert int.from_bytes(simhash.fingerprint(text, 3)) == brute_fingerprint(text)
 
 
+def as_nodes(spark, fps, words=1):
+    rows = spark.createDataFrame([(i, f.to_bytes(8 * words)) for i, f in enumerate(fps)], "node long, fp binary")
+    return simhash.with_table(rows, words)
+
+
+def parts_of(links, n):
+    got = {r.node: r.component for r in graph.components(links).collect()}
+    return [got.get(i, i) for i in range(n)]
+
+
 def test_forest_keeps_components():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 64, 12, dtype=np.uint64)
     fps = np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 12).astype(np.uint64)) for _ in range(8)])
     fps = np.unique(fps)[:, None]
-    table = np.stack([np.bitwise_count(fps ^ p).sum(axis=1, dtype=np.int32) for p in simhash.references(1)], axis=1)
     low = list(range(len(fps)))
-    for i, j in simhash.forest(fps, 2, table):
+    for i, j in simhash.forest(fps, 2, simhash.distance_table(fps)):
         a, b = sorted((low[i], low[j]))
         low = [a if x == b else x for x in low]
     assert low == brute_components([int(x) for x in fps[:, 0]], 2)
 
 
+def test_the_table_discards_pairs_and_no_link():
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 64, (400, 1), dtype=np.uint64)
+    fps = np.concatenate([fps, fps ^ np.uint64(5)])
+    table = simhash.distance_table(fps)
+    bits = np.bitwise_count(fps ^ fps.T)
+    passed = (np.abs(table[:, None] - table[None]).max(axis=2) <= 2)
+    assert passed[bits <= 2].all() and passed[bits > 2].mean() < 0.001
+
+
 def test_links_and_components(spark):
     rng = np.random.default_rng(2)
     fps = sorted({int(b) ^ (1 << int(k)) ^ (1 << int(m)) for b in rng.integers(0, 1 << 63, 20) for k, m in rng.integers(0, 64, (6, 2))})
-    rows = spark.createDataFrame([(i, f.to_bytes(8)) for i, f in enumerate(fps)], "node long, fp binary")
-    got = {r.node: r.component for r in graph.components(simhash.links(rows, 1, 2, 3)).collect()}
-    assert [got.get(i, i) for i in range(len(fps))] == brute_components(fps, 2)
+    assert parts_of(simhash.links(as_nodes(spark, fps), 2), len(fps)) == brute_components(fps, 2)
 
 
 def test_hot_buckets_are_taken_apart(spark):
     rng = np.random.default_rng(6)
     base = int(rng.integers(0, 1 << 63))
     fps = sorted({base ^ (1 << int(k)) ^ (1 << int(m)) for k, m in rng.integers(0, 64, (150, 2))} | {int(x) for x in rng.integers(0, 1 << 63, 50)} | {0, 1 << 63, 3})
-    rows = spark.createDataFrame([(i, f.to_bytes(8)) for i, f in enumerate(fps)], "node long, fp binary")
-    got = {r.node: r.component for r in graph.components(simhash.links(rows, 1, 2, 3, limit=20)).collect()}
-    assert [got.get(i, i) for i in range(len(fps))] == brute_components(fps, 2)
-    wide = spark.createDataFrame([(i, bytes(60) + (f % (1 << 30)).to_bytes(4)) for i, f in enumerate(fps)], "node long, fp binary")
-    whole, parted = (graph.components(simhash.links(wide, 8, 40, 32, limit=n)).groupBy("component").count().collect() for n in (10**6, 20))
-    assert sorted(map(tuple, whole)) == sorted(map(tuple, parted))
+    assert parts_of(simhash.links(as_nodes(spark, fps), 2, limit=20), len(fps)) == brute_components(fps, 2)
 
 
 def test_hot_wide_buckets_lose_no_link(spark):
     rng = np.random.default_rng(8)
-    base = int.from_bytes(rng.bytes(62)) << 16  # all in one bucket: the last band is zero, the others differ
     fps = []
-    for _ in range(60):  # pairs 31 bits apart, one in every band but the last, far from the other pairs
-        one = int.from_bytes(rng.bytes(62)) << 16
-        fps += [one, one ^ sum(1 << (16 * int(k) + 3) for k in rng.permutation(np.arange(1, 32))[:31])]
-    rows = spark.createDataFrame([(i, f.to_bytes(64)) for i, f in enumerate([*fps, base])], "node long, fp binary")
-    got = {tuple(sorted((r.a, r.b))) for r in simhash.links(rows, 8, 40, 32, limit=10).collect()}
-    assert got == {(2 * i, 2 * i + 1) for i in range(60)}
+    for _ in range(60):  # pairs 31 bits apart, far from the other pairs, all in one bucket
+        one = int.from_bytes(rng.bytes(32))
+        fps += [one, one ^ sum(1 << (8 * int(k) + 3) for k in range(31))]
+    nodes = as_nodes(spark, fps, 4)
+    links = simhash.met(nodes, nodes.selectExpr("7L AS bucket", "node"), 4, 40, 10)
+    assert {tuple(sorted((r.a, r.b))) for r in links.collect()} == {(2 * i, 2 * i + 1) for i in range(60)}
 
 
 def test_components_of_a_path_and_a_hub(spark):
@@ -150,8 +161,32 @@ def test_set_forest_and_cells(spark, monkeypatch):
         got = [a if x == b else x for x in got]
     assert got == low
     texts = [" ".join(f"w{(k + i * (i % 17 == k)) % 400}" for i in range(200)) for k in range(12)] * 2 + alike("z", 290)
+    texts += [" ".join(f"c{i if i != 5 * k else -k}" for i in range(250)) for k in range(40)]  # near copies: alike to the leader, or to each other only
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     whole = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
-    for name in ("candidates", "verified"):
-        monkeypatch.setattr(getattr(simhash, name), "__defaults__", (5,))
-    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == whole
+    assert sorted(r.doc_id for r in simhash.keep_one(docs, bucket=5, compare=600).collect()) == whole
+
+
+def test_groups_by_cells_lose_no_pair(spark):
+    """A chain: the leader links its neighbours alone, the others hang on each other."""
+    texts = [" ".join(f"w{i}" for i in range(k * 8, k * 8 + 200)) for k in range(30)]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    want = [k for k in range(30) if not any(5 * len(sets[k] & sets[j]) >= 4 * len(sets[k] | sets[j]) for j in range(k))]
+    rows = spark.createDataFrame([(1, k, len(sets[k]), t) for k, t in enumerate(texts)], "bucket long, node long, size long, text string")
+    links = simhash.met_by_cells(rows, 500, 5, 0.8)
+    assert want == [0] and parts_of(links, 30) == [0] * 30
+
+
+def test_keys_meet_at_the_similarity():
+    rng, missed = np.random.default_rng(12), 0
+    for _ in range(400):
+        both = rng.integers(0, 1 << 64, 600, dtype=np.uint64)
+        missed += not (simhash.band_keys(both[:540]) == simhash.band_keys(np.r_[both[60:540], both[540:]])).any()  # 480 of 600
+    assert missed == 0 and not len(simhash.band_keys(np.zeros(0, np.uint64)))
+
+
+def test_callers_columns_come_back(spark):
+    names = ["uid", "set", "size", "keys", "fp", "c0", "c1", "component"]
+    docs = spark.createDataFrame([(1, "a b c d e f", *range(8)), (2, "a b c d e f", *range(8)), (3, None, *range(8))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns and sorted(tuple(r)[2:] for r in got.collect()) == [tuple(range(8))] * 2

@@ -8,10 +8,11 @@ and the loop ends when a step changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..scratch import discard, materialize
+from ..scratch import discard
+from .common import written as materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,23 +32,27 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").select("a", "b").distinct()
 
 
-def _print(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges written, and their count and a sum of their hashes, taken as they are written."""
+    seen = Observation()
+    hashes = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    now = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), hashes.alias("hashes")), "edges")
+    return now, (seen.get["n"], seen.get["hashes"])
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable from each node of ``edges`` (a, b).
     Nodes without an edge to another node are not listed."""
-    now = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    state = _print(now)
+    now, state = _settled(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     for _ in range(most):
         if not state[0]:
             break
-        after = materialize(_star(_star(now, True), False), "edges")
+        after, then = _settled(_star(_star(now, True), False))
         discard(now)
-        before, now, state = state, after, _print(after)
+        before, now, state = state, after, then
         if state == before:
             break
     else:
         raise RuntimeError(f"components still change after {most} rounds")
-    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()
+    of_others = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    return of_others.union(now.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()

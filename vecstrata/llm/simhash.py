@@ -1,23 +1,32 @@
 """SimHash near-duplicates with pivot distance tables.
 
-A fingerprint has 64 bits (or a multiple) set by majority over the hashes of all word
-shingles.  Equal fingerprints are first brought together by a grouped minimum, so a group
-of exact copies is one node whatever its size.
-
-Candidates come from bands: slices of the fingerprint, so many that two fingerprints
-within ``max_bits`` agree on one whole slice (with ``max_bits + 1`` bands always).  Inside
-a band's bucket the Hamming distances of every fingerprint to ``PIVOTS`` fixed reference
-fingerprints are a table; by the triangle inequality two fingerprints can only be within
-``max_bits`` if no coordinate of the table differs by more, and only pairs that pass are
-verified bit by bit.  A bucket is walked breadth first over its rows not yet reached, so a
-group of thousands of near copies costs about one sweep, not all pairs, and gives a
-spanning forest: no more edges than rows, and no link between groups is lost.  A bucket of
-more than ``BUCKET`` distinct fingerprints is never met in one task: at two bits of 64 its
-rows are linked through common neighbours, exactly; wider fingerprints are dealt to cells,
-and each two cells meet in a task of their own.
-
-Null or empty text: the fingerprint zero, linked like any other.  Repeated rows and
-repeated doc_ids are rows of their own.  An empty table gives an empty result.
+A fingerprint has 64 bits (or a multiple) set by majority over the hashes of word
+shingles.  Equal fingerprints (or equal sets of shingles) are first brought together by a
+grouped minimum, so a group of exact copies is one node whatever its size.
+
+The Hamming distances of every node's fingerprint to ``PIVOTS`` fixed reference
+fingerprints are computed once and written beside it: the pivot distance table.  By the
+triangle inequality two fingerprints can only be within ``max_bits`` if no coordinate of the
+table differs by more.  Nodes that share a bucket meet; every pair's coordinates are
+compared first, and only pairs that pass are verified bit by bit, at every bucket size
+alike.  A bucket is walked breadth first over its rows not yet reached, so a group of
+thousands of near copies costs about one sweep, not all pairs, and gives a spanning forest:
+no more edges than rows, and no link between groups is lost.  A bucket of more than
+``BUCKET`` nodes is dealt to cells, and each two cells meet in a task of their own, in the
+same way.
+
+* ``report`` links 64-bit fingerprints.  Buckets are bands: slices of the fingerprint,
+  ``max_bits + 1`` of them, so two within ``max_bits`` agree on one whole slice.
+* ``keep_one`` decides by the Jaccard similarity of shingle sets.  Buckets are keys of
+  ``ROWS`` smallest hashes under ``BANDS`` x ``ROWS`` hash functions (a pair alike by 0.8
+  shares none with a chance of (1 - 0.8^3)^24 = 3e-8); pairs that pass table and fingerprint
+  form groups, and within a group the sets themselves decide, pair by pair.
+
+Null or empty text: the fingerprint zero and the empty set, linked like any other.  Ties
+(equal doc_ids of the smallest) fall to the row read first; a null doc_id comes last.
+Repeated rows and repeated doc_ids are rows of their own.  Texts are read whole, however
+long.  Further columns, whatever their names, are carried.  An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -27,21 +36,22 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialize
-from .common import bounded, slices
+from ..scratch import temporary
+from .common import Carried, arrow_schema, slices
+from .common import written as materialize
 from .graph import components
 
 PIVOTS, SEED = 16, 42
-#: Distinct fingerprints that one task may meet in a bucket.
+#: Nodes that one task may meet in a bucket.
 BUCKET = 50_000
-#: Near-duplicates by similarity: 64-bit words of the fingerprint; shingles that one task may compare.
-WIDE_WORDS, COMPARE = 8, 1 << 17
-#: Documents sampled for common shingles, and how many of these are told apart.
-SAMPLE, COMMON = 5000, 100_000
+#: Near-duplicates by similarity: 64-bit words of the fingerprint, keys of so many smallest
+#: hashes, shingles that one task may compare.
+WIDE_WORDS, BANDS, ROWS, COMPARE = 4, 24, 3, 1 << 18
 _STEP = 0x9E3779B97F4A7C15
+_FACTORS = np.random.default_rng(31).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str | None, n: int) -> np.ndarray:
@@ -57,15 +67,23 @@ def shingle_hashes(text: str | None, n: int) -> np.ndarray:
     return np.array([digest(line[a : b - 1], SEED) for a, b in zip(starts, ends[n - 1 :])], np.uint64)
 
 
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """The distinct shingles' hashes in ascending order."""
+    return np.unique(shingle_hashes(text, n))
+
+
+def mixed(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
 def widen(h: np.ndarray, words: int) -> np.ndarray:
     """(len(h), words): each hash itself, then further hashes mixed from it."""
     out = np.empty((len(h), words), np.uint64)
     out[:, 0] = h
     for k in range(1, words):
-        z = h + np.uint64(_STEP * k % (1 << 64))
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out[:, k] = z ^ (z >> np.uint64(31))
+        out[:, k] = mixed(h + np.uint64(_STEP * k % (1 << 64)))
     return out
 
 
@@ -85,16 +103,18 @@ def fingerprint(text: str | None, shingle: int, words: int = 1) -> bytes:
     return majority(shingle_hashes(text, shingle), words)
 
 
-def with_fingerprint(docs: DataFrame, shingle: int, words: int = 1, text: str = "text") -> DataFrame:
-    """``docs`` with the binary column ``__fp``; whole texts, one Arrow pass."""
-    schema = bounded(docs).withColumn("__fp", F.lit(None).cast("binary")).schema
+def with_fingerprint(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, fp) of rows (doc_id, text); whole texts, one Arrow pass."""
 
     def run(batches):
-        for part in slices(batches, text):
-            made = pa.array([fingerprint(t, shingle, words) for t in part.column(text).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, "__fp"])
+        for part in slices(batches):
+            made = pa.array([fingerprint(t, shingle) for t in part.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), made], names=["doc_id", "fp"])
+
+    return docs.mapInArrow(run, "doc_id long, fp binary")
 
-    return docs.mapInArrow(run, schema)
+
+# the pivot distance table
 
 
 def references(words: int, pivots: int = PIVOTS) -> np.ndarray:
@@ -102,6 +122,28 @@ def references(words: int, pivots: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(20).integers(0, 1 << 64, (pivots, words), dtype=np.uint64)
 
 
+def distance_table(fps: np.ndarray) -> np.ndarray:
+    """(rows, PIVOTS): the Hamming distances of fingerprints to the reference fingerprints."""
+    return np.stack([np.bitwise_count(fps ^ p).sum(axis=1, dtype=np.int16) for p in references(fps.shape[1])], axis=1)
+
+
+def numbers(column: pa.Array, kind: str, width: int) -> np.ndarray:
+    """The rows of a binary column, each ``width`` numbers of the kind."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
+
+
+def with_table(nodes: DataFrame, words: int) -> DataFrame:
+    """``nodes`` (with fp) and the row of the pivot distance table of each, as ``pivot``."""
+
+    def run(batches):
+        for b in batches:
+            fps = numbers(b.column("fp"), ">u8", words).astype(np.uint64)
+            made = [row.tobytes() for row in distance_table(fps).astype("<i2")] if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], names=[*b.schema.names, "pivot"])
+
+    return nodes.mapInArrow(run, nodes.withColumn("pivot", nodes["fp"]).schema)
+
+
 def forest(fps: np.ndarray, max_bits: int, table: np.ndarray) -> list[tuple[int, int]]:
     """Edges (i, j) of a spanning forest of the graph that links rows of ``fps`` within
     ``max_bits``; ``table`` has each row's distances to the reference fingerprints."""
@@ -113,8 +155,10 @@ def forest(fps: np.ndarray, max_bits: int, table: np.ndarray) -> list[tuple[int,
             near = rest
             for k in range(table.shape[1]):  # discard by one coordinate after another
                 near = near[np.abs(table[near, k] - table[u, k]) <= max_bits]
-                if len(near) < 16:
+                if not len(near):
                     break
+            if not len(near):
+                continue
             near = near[np.bitwise_count(fps[near] ^ fps[u]).sum(axis=1, dtype=np.int64) <= max_bits]  # verify
             if len(near):
                 edges += [(u, int(v)) for v in near]
@@ -123,128 +167,109 @@ def forest(fps: np.ndarray, max_bits: int, table: np.ndarray) -> list[tuple[int,
     return edges
 
 
-def bands_of(fps: np.ndarray, bands: int) -> np.ndarray:
-    """(rows, bands): the bits of each slice of the fingerprint as a number."""
-    bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(len(fps), -1), axis=1)
-    cuts = np.linspace(0, bits.shape[1], bands + 1).astype(int)
-    return np.stack([bits[:, a:b].astype(np.int64) @ (1 << np.arange(b - a, dtype=np.int64)) for a, b in zip(cuts, cuts[1:])], axis=1)
+# buckets
 
 
-def star_links(rows: DataFrame) -> DataFrame:
-    """(a, b) for (node, fp) rows of 64 bits that link within two bits, without meeting in a
-    bucket: two are within two bits if and only if some fingerprint is at most one bit from
-    either, so each row names itself and its 64 neighbours, and joins the smallest node
-    that names the same.  65 rows each, whatever the group; a grouped minimum is no hot key."""
-    number = F.conv(F.hex("fp"), 16, -10).cast("long")
-    around = F.array(F.col("__f"), *(F.col("__f").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")) for k in range(64)))
-    named = rows.select("node", number.alias("__f")).select("node", F.explode(around).alias("center"))
-    low = named.groupBy("center").agg(F.min("node").alias("a"))
-    return named.join(low, "center").where("a <> node").select("a", F.col("node").alias("b"))
+def cell_of(cells: str | Column) -> Column:
+    return F.pmod(F.xxhash64("node", "bucket"), cells)
 
 
 def cell_pairs(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """Rows (bucket, node, ...) of the buckets in ``hot`` (bucket, cells: two or more), dealt
     to cells by a hash of the node; each two cells of a bucket become a bucket of their own,
     so any two rows still meet, and no task holds more than two cells."""
-    own = rows.join(hot, "bucket").withColumn("__c", F.pmod(F.xxhash64("node", "bucket"), "cells"))
+    own = rows.join(hot, "bucket").withColumn("__c", cell_of("cells"))
     each = own.withColumn("__o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))).where("__o <> __c")
     return each.withColumn("bucket", F.xxhash64("bucket", F.least("__c", "__o"), F.greatest("__c", "__o"))).drop("cells", "__c", "__o")
 
 
 def met_in_buckets(dealt: DataFrame, words: int, max_bits: int) -> DataFrame:
-    """(a, b): a spanning forest, for each bucket of (bucket, node, fp) rows, of the links within ``max_bits``."""
-    pivots = references(words)
+    """(a, b): a spanning forest, for each bucket of (bucket, node, fp, pivot) rows, of the
+    links within ``max_bits``.  Buckets come in sorted streams; one is held at a time."""
 
     def meet(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def solve(key, node, raw):
+        def solve(key, node, fps, table):
             cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-            big = np.flatnonzero(np.diff(cut) > 1)
-            if not len(big):
-                return None
             a, b = [], []
-            for g in big:
+            for g in np.flatnonzero(np.diff(cut) > 1):
                 s = slice(cut[g], cut[g + 1])
-                fps = raw[s]
-                table = np.stack([np.bitwise_count(fps ^ p).sum(axis=1, dtype=np.int32) for p in pivots], axis=1) if len(fps) > 16 else np.zeros((len(fps), 0), np.int32)
-                for i, j in forest(fps, max_bits, table):
+                for i, j in forest(fps[s], max_bits, table[s]):
                     a.append(node[s][i])
                     b.append(node[s][j])
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         def join():
-            return tuple(np.concatenate([h[k] for h in held]) for k in range(3))
+            return tuple(np.concatenate([h[k] for h in held]) for k in range(4))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(batch.num_rows, words)
             key = batch.column("bucket").to_numpy()
+            now = (key, batch.column("node").to_numpy(), numbers(batch.column("fp"), ">u8", words).astype(np.uint64), numbers(batch.column("pivot"), "<i2", PIVOTS).astype(np.int16))
             last = int(np.searchsorted(key, key[-1]))  # where the batch's last, perhaps unfinished, bucket begins
-            now = (key, batch.column("node").to_numpy(), raw)
             if last == 0 and held and held[-1][0][-1] == key[0]:
                 held.append(now)
                 continue
             held.append(tuple(x[:last] for x in now))
-            if (made := solve(*join())) is not None:
-                yield made
+            yield solve(*join())
             held = [tuple(x[last:] for x in now)]
-        if held and (made := solve(*join())) is not None:
-            yield made
+        if held:
+            yield solve(*join())
 
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
 
 
-def links(nodes: DataFrame, words: int, max_bits: int, bands: int, limit: int = BUCKET) -> DataFrame:
-    """(a, b): edges within ``max_bits`` between the (node, fp) rows; fingerprints differ.
+def met(nodes: DataFrame, placed: DataFrame, words: int, max_bits: int, limit: int) -> DataFrame:
+    """(a, b): links within ``max_bits`` between the (node, fp, pivot) rows that share a
+    bucket of ``placed`` (bucket, node).  Buckets are counted first, by partial sums, and
+    only what shares one is sent on; those above ``limit`` meet by pairs of cells."""
+    counts = materialize(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
+    shared = placed.join(counts.hint("merge"), "bucket").select("bucket", "node", "n").join(nodes.select("node", "fp", "pivot"), "node")
+    hot = counts.where(F.col("n") > limit).select("bucket", F.ceil(2 * F.col("n") / limit).alias("cells"))
+    dealt = shared.drop("n")
+    if not hot.isEmpty():
+        dealt = shared.where(F.col("n") <= limit).drop("n").unionByName(cell_pairs(shared.drop("n"), hot))
+    return met_in_buckets(dealt, words, max_bits).distinct()
+
 
-    The rows are dealt by band and slice value and met in sorted streams, so a task holds
-    one bucket of distinct fingerprints at a time.  Buckets above ``limit`` are taken apart
-    by ``star_links`` or ``cell_pairs`` first."""
+def bands_of(fps: np.ndarray, bands: int) -> np.ndarray:
+    """(rows, bands): the bits of each slice of the fingerprint as a number."""
+    bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(len(fps), -1), axis=1)
+    cuts = np.linspace(0, bits.shape[1], bands + 1).astype(int)
+    return np.stack([bits[:, a:b].astype(np.int64) @ (1 << np.arange(b - a, dtype=np.int64)) for a, b in zip(cuts, cuts[1:])], axis=1)
 
-    def count(batches):
-        for b in batches:
-            if b.num_rows:
-                fps = np.frombuffer(b"".join(b.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(b.num_rows, words)
-                yield pa.RecordBatch.from_arrays([pa.array((bands_of(fps, bands) * bands + np.arange(bands)).ravel())], names=["bucket"])
+
+def links(nodes: DataFrame, max_bits: int, limit: int = BUCKET) -> DataFrame:
+    """(a, b): edges within ``max_bits`` between (node, fp, pivot) rows of 64 bits whose
+    fingerprints differ; ``max_bits + 1`` bands lose none."""
+    bands = max_bits + 1
 
     def deal(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            fps = np.frombuffer(b"".join(b.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(b.num_rows, words)
-            values, n = bands_of(fps, bands), b.num_rows
-            node = np.tile(b.column("node").to_numpy(), bands)
-            for k in range(bands):
-                part = slice(k * n, (k + 1) * n)
-                yield pa.RecordBatch.from_arrays([pa.array(values[:, k] * bands + k), pa.array(node[part]), b.column("fp")], names=["bucket", "node", "fp"])
-
-    dealt = nodes.select("node", "fp").mapInArrow(deal, "bucket long, node long, fp binary")
-    hot = materialize(nodes.select("fp").mapInArrow(count, "bucket long").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit), "hot-buckets")
-    extra = None
-    if not hot.isEmpty():
-        inside = dealt.join(hot, "bucket", "left_semi")
-        if words == 1 and max_bits == 2:
-            extra = star_links(inside.select("node", "fp").distinct())
-        dealt = dealt.join(hot, "bucket", "left_anti")
-        if extra is None:
-            dealt = dealt.unionByName(cell_pairs(inside, hot.select("bucket", F.ceil(2 * F.col("n") / limit).alias("cells"))))
-    met = met_in_buckets(dealt, words, max_bits)
-    return (met if extra is None else met.unionByName(extra)).distinct()
+            if b.num_rows:
+                values = bands_of(numbers(b.column("fp"), ">u8", 1).astype(np.uint64), bands)
+                bucket = (values * bands + np.arange(bands)).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.repeat(b.column("node").to_numpy(), bands))], names=["bucket", "node"])
 
+    return met(nodes, nodes.select("node", "fp").mapInArrow(deal, "bucket long, node long"), 1, max_bits, limit)
 
-def report(docs: DataFrame, shingle: int = 3, max_bits: int = 2, text: str = "text") -> DataFrame:
+
+def report(docs: DataFrame, shingle: int = 3, max_bits: int = 2, text: str = "text", limit: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id, the smallest doc_id reachable over links
     of at most ``max_bits`` differing bits of 64."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = materialize(with_fingerprint(slim, shingle).select("doc_id", "__fp", F.monotonically_increasing_id().alias("__uid")), "document-fingerprints")
-    nodes = materialize(rows.groupBy(F.col("__fp").alias("fp")).agg(F.min("__uid").alias("node"), F.min("doc_id").alias("low")), "fingerprints")
-    parts = components(links(nodes, 1, max_bits, max_bits + 1))
+    rows = materialize(with_fingerprint(slim, shingle).withColumn("uid", F.monotonically_increasing_id()), "document-fingerprints")
+    nodes = materialize(with_table(rows.groupBy("fp").agg(F.min("uid").alias("node"), F.min("doc_id").alias("low")), 1), "fingerprints")
+    parts = components(links(nodes, max_bits, limit))
     placed = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     low = placed.groupBy("component").agg(F.min("low").alias("component_id"))
-    by_fp = placed.join(low, "component").select(F.col("fp").alias("__fp"), "component_id")
-    return rows.join(by_fp, "__fp").select("doc_id", F.lower(F.hex("__fp")).alias("fingerprint"), "component_id")
+    by_fp = placed.join(low, "component").select("fp", "component_id")
+    return rows.join(by_fp, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+# near-duplicates by the similarity of sets
 
 
 def bits_for(similarity: float, words: int, slack: float = 1.25, spread: float = 5.0) -> int:
@@ -256,68 +281,44 @@ def bits_for(similarity: float, words: int, slack: float = 1.25, spread: float =
     return int(bits * share + spread * np.sqrt(bits * share * (1 - share)))
 
 
-def with_set(docs: DataFrame, shingle: int, words: int, text: str) -> DataFrame:
-    """``docs`` with ``__set`` (a hash of the set of shingles), its size and its fingerprint."""
-    schema = bounded(docs).withColumns({"__set": F.lit(0).cast("long"), "__size": F.lit(0).cast("long"), "__fp": F.lit(None).cast("binary")}).schema
-
-    def run(batches):
-        for part in slices(batches, text):
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in part.column(text).to_pylist()]
-            name = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64))
-            made = [name, pa.array([len(s) for s in sets], pa.int64()), pa.array([majority(s, words) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "__set", "__size", "__fp"])
-
-    return docs.mapInArrow(run, schema)
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set, each of its ROWS smallest hashes under hash functions of its own;
+    none of an empty set."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(h), 4096):
+        low = np.minimum(low, (h[at : at + 4096, None] * _FACTORS).min(axis=0))
+    key, low = np.arange(BANDS, dtype=np.uint64), low.reshape(BANDS, ROWS)
+    for r in range(ROWS):
+        key = mixed(key * np.uint64(_STEP) + low[:, r])
+    return key.view(np.int64)
 
 
-def common_shingles(tagged: DataFrame, shingle: int, text: str) -> np.ndarray:
-    """Shingles that many documents of a bounded sample have, the rarer first.  They only
-    order the prefixes, so what the sample misses costs time, never a pair."""
-    n = tagged.count()
+def with_set(rows: DataFrame, shingle: int, text: str) -> DataFrame:
+    """``rows`` with ``set`` (a hash of the set of shingles), its size, keys and fingerprint."""
+    extra = arrow_schema("set long,size long,keys array<long>,fp binary")
+    schema = rows.withColumns({"set": F.lit(0).cast("long"), "size": F.lit(0).cast("long"), "keys": F.array().cast("array<long>"), "fp": F.lit(None).cast("binary")}).schema
 
     def run(batches):
         for part in slices(batches, text):
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in part.column(text).to_pylist()]
-            few = np.concatenate([s[:2000] for s in sets])  # the same end of the hashes everywhere
-            yield pa.RecordBatch.from_arrays([pa.array(few.view(np.int64))], names=["h"])
+            sets = [shingle_set(t, shingle) for t in part.column(text).to_pylist()]
+            name = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            made = (name, [len(s) for s in sets], [band_keys(s) for s in sets], [majority(s, WIDE_WORDS) for s in sets])
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(v, f.type) for v, f in zip(made, extra))], names=[*part.schema.names, *extra.names])
 
-    found = tagged.select(text).sample(min(1.0, SAMPLE / max(n, 1)), SEED).mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    rows = found.orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    return np.array([r.h for r in rows][::-1], np.int64).view(np.uint64)
+    return rows.mapInArrow(run, schema)
 
 
-def prefix(h: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a set, in an order that all sets share (common ones last), so
-    many that two sets alike by ``similarity`` or more have one of them in common."""
-    if not len(h):
-        return h
-    n = int((1 - similarity) * len(h) + 1e-9) + 1
-    rank = np.zeros(len(h), np.int64)
-    if len(common):
-        by = np.argsort(common)
-        at = np.minimum(np.searchsorted(common[by], h), len(common) - 1)
-        rank = np.where(common[by][at] == h, by[at] + 1, 0)
-    return h[np.lexsort((h, rank))[:n]]
+def candidates(nodes: DataFrame, similarity: float, limit: int = BUCKET) -> DataFrame:
+    """(a, b): a forest over the sets that share a key and whose fingerprints are within
+    ``bits_for``; every pair alike by ``similarity`` is connected in it."""
+    return met(nodes, nodes.select(F.explode("keys").alias("bucket"), "node"), WIDE_WORDS, bits_for(similarity, WIDE_WORDS), limit)
 
 
-def candidates(tagged: DataFrame, nodes: DataFrame, shingle: int, similarity: float, text: str, limit: int = BUCKET) -> DataFrame:
-    """(a, b): a forest over the sets that share a prefix shingle and whose fingerprints are
-    within ``bits_for``; every pair alike by ``similarity`` is connected in it."""
-    common = common_shingles(tagged, shingle, text)
-
-    def run(batches):
-        for part in slices(batches, text):
-            heads = [prefix(np.unique(shingle_hashes(t, shingle)), common, similarity) for t in part.column(text).to_pylist()]
-            node = np.repeat(part.column("__set").to_numpy(), [len(x) for x in heads])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads).astype(np.uint64).view(np.int64)), pa.array(node)], names=["bucket", "node"])
-
-    dealt = tagged.select(text, "__set").mapInArrow(run, "bucket long, node long").repartition("bucket").distinct()
-    shared = materialize(dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1"), "shared-shingles")
-    dealt = shared.drop("n").join(nodes.select("node", "fp"), "node").select("bucket", "node", "fp")
-    hot = materialize(shared.where(F.col("n") > limit).select("bucket", F.ceil(2 * F.col("n") / limit).alias("cells")).distinct(), "hot-shingles")
-    if not hot.isEmpty():
-        dealt = dealt.join(hot, "bucket", "left_anti").unionByName(cell_pairs(dealt, hot))
-    return met_in_buckets(dealt, WIDE_WORDS, bits_for(similarity, WIDE_WORDS)).distinct()
+def are_alike(both: np.ndarray, a, b, similarity: float) -> np.ndarray:
+    """Whether sets of a and b elements that share ``both`` are alike by ``similarity``."""
+    return both + 1e-9 >= similarity * (a + b - both)
 
 
 def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -327,20 +328,17 @@ def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int
     held, flat = np.unique(np.concatenate(sets), return_inverse=True)
     start = np.cumsum(size) - size
     edges, rest = [], np.arange(len(sets))
-    live, begin = flat, start  # the shingles of the sets not yet reached
+    live, begin, rows = flat, start, rest  # the shingles of the sets not yet reached
     while len(rest) > 1:
         queue, todo = [int(rest[0])], rest[1:]
         while queue and len(todo):
-            if 2 * len(todo) < len(begin):
+            if 2 * len(todo) < len(rows):
                 live = np.concatenate([flat[start[k] : start[k] + size[k]] for k in todo])
                 begin, rows = np.cumsum(size[todo]) - size[todo], todo
-            elif len(begin) == len(sets):
-                rows = np.arange(len(sets))
             u = queue.pop()
             mark = np.zeros(len(held), np.int64)
             mark[flat[start[u] : start[u] + size[u]]] = 1
-            both = np.add.reduceat(mark[live], begin)
-            near = rows[(both + 1e-9 >= similarity * (size[u] + size[rows] - both))]
+            near = rows[are_alike(np.add.reduceat(mark[live], begin), size[u], size[rows], similarity)]
             near = near[np.isin(near, todo, assume_unique=True)]
             edges += [(u, int(v)) for v in near]
             queue += near.tolist()
@@ -349,15 +347,8 @@ def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int
     return edges
 
 
-def verified(tagged: DataFrame, nodes: DataFrame, parts: DataFrame, shingle: int, similarity: float, text: str, limit: int = COMPARE) -> DataFrame:
-    """(a, b): links between the sets of each of ``parts`` (node, component), decided on the
-    shingles themselves.  Parts of more than ``limit`` shingles are met by pairs of cells."""
-    inside = materialize(nodes.join(parts, "node").select("node", "size", "component", F.col("first.__uid").alias("__uid")), "near-sets")
-
-    def run(batches):
-        for part in slices(batches, text):
-            sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in part.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("component"), part.column("node"), pa.array(sets, pa.binary())], names=["bucket", "node", "hashes"])
+def met_sets(dealt: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): links between the texts of each bucket of (bucket, node, text) rows."""
 
     def meet(batches):
         key, node, sets = None, [], []
@@ -368,32 +359,90 @@ def verified(tagged: DataFrame, nodes: DataFrame, parts: DataFrame, shingle: int
                 yield pa.RecordBatch.from_arrays([pa.array([node[e[k]] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for k, u, raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", "hashes"))):
+            for k, u, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", "text"))):
                 if k != key:
                     yield from solve()
                     key, node, sets = k, [], []
                 node.append(u)
-                sets.append(np.frombuffer(raw, np.uint64))
+                sets.append(shingle_set(text, shingle))
         yield from solve()
 
-    dealt = materialize(tagged.select("__uid", text).join(inside, "__uid").mapInArrow(run, "bucket long, node long, hashes binary"), "near-shingles")
-    hot = materialize(inside.groupBy(F.col("component").alias("bucket")).agg(F.sum("size").alias("n")).where(F.col("n") > limit).select("bucket", F.ceil(2 * F.col("n") / limit).alias("cells")), "hot-parts")
-    if not hot.isEmpty():
-        dealt = dealt.join(hot, "bucket", "left_anti").unionByName(cell_pairs(dealt, hot))
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long").distinct()
+    return dealt.select("bucket", "node", "text").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
+
 
+def led(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(bucket, node, leader, linked) of (bucket, node, text) rows: whether a row is alike to
+    the leader of its bucket, the row with the smallest node, or that row itself."""
+    low = rows.groupBy("bucket").agg(F.min("node").alias("node"))
+    first = rows.join(low, ["bucket", "node"]).select("bucket", F.col("node").alias("leader"), F.col("text").alias("of_leader"))
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text") -> DataFrame:
+    def run(batches):
+        leader, own = None, None
+        for batch in batches:
+            linked = []
+            for node, text, u, lead in zip(*(batch.column(c).to_pylist() for c in ("node", "text", "leader", "of_leader"))):
+                if u != leader:
+                    leader, own = u, shingle_set(lead, shingle)
+                s = shingle_set(text, shingle)
+                linked.append(node == u or bool(are_alike(len(np.intersect1d(s, own, assume_unique=True)), len(s), len(own), similarity)))
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("node"), batch.column("leader"), pa.array(linked, pa.bool_())], names=["bucket", "node", "leader", "linked"])
+
+    return rows.join(first, "bucket").mapInArrow(run, "bucket long, node long, leader long, linked boolean")
+
+
+def met_by_cells(rows: DataFrame, limit: int, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): links between the (bucket, node, size, text) rows of buckets of more than
+    ``limit`` shingles.
+
+    All rows of a bucket are compared with its leader first.  Those that it links need not
+    meet each other any more; the rest meets itself and them by pairs of cells, so a group
+    of n copies of one text costs about n rows, and any other group loses no pair."""
+    said = materialize(led(rows, shingle, similarity), "led")
+    cells = lambda side: F.ceil(2 * F.coalesce(F.sum(F.when(side, F.col("size"))), F.lit(0)) / limit)
+    sides = rows.join(said, ["bucket", "node"])
+    dealt = sides.groupBy("bucket").agg(cells(~F.col("linked")).alias("loose"), cells(F.col("linked")).alias("tied")).where("loose > 0")
+    own = sides.join(materialize(dealt, "cells"), "bucket").withColumn("c", F.pmod(F.xxhash64("node", "bucket"), F.when(F.col("linked"), F.col("tied")).otherwise(F.col("loose"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    with_tied = lambda loose, tied: F.xxhash64("bucket", F.lit("tied"), loose, tied)
+    c = F.col("c")
+    of_loose = F.concat(
+        F.transform(upto("loose"), lambda o: F.xxhash64("bucket", F.lit("loose"), F.least(c, o), F.greatest(c, o))),
+        F.transform(upto("tied"), lambda o: with_tied(c, o)),
+    )
+    of_tied = F.transform(upto("loose"), lambda o: with_tied(o, c))
+    each = own.withColumn("bucket", F.explode(F.when(F.col("linked"), of_tied).otherwise(of_loose)))
+    straight = said.where("linked AND node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    return straight.union(met_sets(each, shingle, similarity))
+
+
+def verified(tagged: DataFrame, nodes: DataFrame, parts: DataFrame, shingle: int, similarity: float, text: str, limit: int = COMPARE) -> DataFrame:
+    """(a, b): links between the sets of each of ``parts`` (node, component), decided on the
+    shingles themselves."""
+    inside = materialize(nodes.join(parts, "node").select("node", "size", F.col("component").alias("bucket"), F.col("first.uid").alias("uid")), "near-sets")
+    # hashed at every size: sorting would hold texts, and at scale neither side can be broadcast
+    near = tagged.select("uid", F.col(text).alias("text")).join(inside.hint("shuffle_hash"), "uid")
+    rows = materialize(near.select("bucket", "node", "size", "text"), "near-texts")
+    hot = materialize(rows.groupBy("bucket").agg(F.sum("size").alias("n")).where(F.col("n") > limit).select("bucket"), "hot-parts")
+    if hot.isEmpty():
+        return met_sets(rows, shingle, similarity).distinct()
+    straight = met_sets(rows.join(hot, "bucket", "left_anti"), shingle, similarity)
+    return straight.union(met_by_cells(materialize(rows.join(hot, "bucket", "left_semi"), "hot-texts"), limit, shingle, similarity)).distinct()
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text: str = "text", bucket: int = BUCKET, compare: int = COMPARE) -> DataFrame:
     """``docs`` with one document (the smallest doc_id) left of each group of near-duplicates
-    whose sets of ``shingle``-word shingles are alike by ``similarity`` or more.
-
-    Prefixes of the sets and fingerprints of 64 x ``WIDE_WORDS`` bits give groups that no
-    near-duplicate leaves; within a group the sets themselves decide."""
-    tagged = materialize(with_set(docs, shingle, WIDE_WORDS, text).withColumn("__uid", F.monotonically_increasing_id()), "fingerprinted")
-    rows = tagged.select("__uid", "__set", "__size", "__fp", F.col("doc_id").cast("long").alias("__id"))
-    nodes = materialize(rows.groupBy(F.col("__set").alias("node")).agg(F.first("__fp").alias("fp"), F.first("__size").alias("size"), F.min(F.struct(F.col("__id").isNull(), "__id", "__uid")).alias("first")), "shingle-sets")
-    coarse = components(candidates(tagged, nodes, shingle, similarity, text))
-    parts = components(verified(tagged, nodes, coarse, shingle, similarity, text))
-    placed = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    kept = placed.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.__uid").alias("__uid"))
-    return tagged.join(kept, "__uid", "left_semi").select(*docs.columns)
+    whose sets of ``shingle``-word shingles are alike by ``similarity`` or more.  ``bucket``
+    and ``compare`` bound what a task holds; they change no result."""
+    own = Carried(docs)
+    with temporary() as keep:
+        tagged = keep(materialize(with_set(own.frame, shingle, own[text]).withColumn("uid", F.monotonically_increasing_id()), "shingled"))
+        id = F.col(own["doc_id"]).cast("long")
+        first = F.min(F.struct(id.isNull().alias("none"), id.alias("id"), "uid")).alias("first")
+        sets = tagged.groupBy(F.col("set").alias("node")).agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"), first)
+        nodes = materialize(with_table(sets, WIDE_WORDS), "shingle-sets")
+        coarse = components(candidates(nodes, similarity, bucket))
+        parts = components(verified(tagged, nodes, coarse, shingle, similarity, own[text], compare))
+        placed = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        kept = placed.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.uid").alias("uid"))
+        kept = keep(materialize(kept, "kept"))
+    return own.back(tagged.join(kept.hint("shuffle_hash"), "uid", "left_semi"))
