@@ -68,7 +68,7 @@ def mixed_rows(seed, n=60):
     return [*rows, (3, None), (None, passages[0]), (4, ""), (None, rows[0][1])]
 
 
-def in_process(rows, shards, per_slice):
+def in_process(rows, shards, per_slice, limit=10**6):
     """The operator's steps without Spark: (doc_id, removed bytes) of every document."""
     groups = [sorted(rows[a : a + per_slice], key=lambda r: (r[0] is None, r[0] or 0)) for a in range(0, len(rows), per_slice)]
     parts = [suffix.Slice([d for d, _ in g], [len((t or "").encode()) for _, t in g], b"".join((t or "").encode() for _, t in g), shards) for g in groups]
@@ -77,11 +77,17 @@ def in_process(rows, shards, per_slice):
     for shard in range(shards):
         own = [(k, b) for s, k, b in dealt if s == shard]
         if own:
-            made = suffix._shard_reply(pa.table({"shard": pa.array([shard] * len(own), pa.int32()), "slice_id": [k for k, _ in own], "blob": [b for _, b in own]}))
-            for r in made.to_pylist():
-                replies.setdefault(r["slice_id"], []).append(r)
+            rows_of = pa.table({"shard": pa.array([shard] * len(own), pa.int32()), "slice_id": [k for k, _ in own], "blob": [b for _, b in own]})
+            for made in suffix.shard_replies(rows_of.to_batches(), limit):
+                for r in made.to_pylist():
+                    replies.setdefault(r["slice_id"], []).append(r)
     fetched = pa.Table.from_batches([suffix.fetched_of(p, k, replies.get(k, []), 3) for k, p in enumerate(parts)])
-    marks = [m for s in range(3) for m in suffix._shard_marks(fetched.filter(pc.equal(fetched["shard"], s))).to_pylist()]
+    cold, hot = (fetched.filter(pc.equal(fetched["hot"], x)) for x in (False, True))
+    marks = [m for s in range(3) for m in suffix._shard_marks(cold.filter(pc.equal(cold["shard"], s))).to_pylist()]
+    least = {}
+    for r in hot.to_pylist():
+        least[r["body"]] = min(least.get(r["body"], r["id"]), r["id"])
+    marks += [{"slice_id": r["slice_id"], "entry": r["entry"], "first": [r["base"]]} for r in hot.to_pylist() if r["id"] > least[r["body"]]]
     out = []
     for k, p in enumerate(parts):
         gone = np.zeros(len(p.data), bool)
@@ -106,10 +112,49 @@ def test_hot_grams_are_dealt_by_window(monkeypatch):
     rows = mixed_rows(21, 90)
     want = [r[:3] for r in brute(rows)]
     got_, plain = in_process(rows, 4, 9)
-    assert got_ == want and not any(plain["base"].to_pylist())
+    assert got_ == want and not any(plain["hot"].to_pylist())
     monkeypatch.setattr(suffix, "HOT", 2)
     got_, parted = in_process(rows, 4, 9)
-    assert got_ == want and any(parted["base"].to_pylist())
+    assert got_ == want and any(parted["hot"].to_pylist())
+
+
+@pytest.mark.parametrize("limit", [1, 20, 200])
+def test_a_shard_holds_few_entries(limit):
+    rows = mixed_rows(22, 90)
+    got_, parted = in_process(rows, 4, 9, limit)
+    assert got_ == [r[:3] for r in brute(rows)] and any(parted["hot"].to_pylist())
+
+
+def test_shared_grams_and_windows_stay_bounded(monkeypatch):
+    """A gram that every document has in a run of its own, and a window that every document
+    has: the shard never holds more than its limit, and all replies are given."""
+    rng, held = np.random.default_rng(2), []
+    shed = suffix.ShardReplies.add
+    monkeypatch.setattr(suffix.ShardReplies, "add", lambda self, *a: (shed(self, *a), held.append(sum(len(h[2]) for h in self.held))))
+    blobs = []
+    for k in range(400):
+        tag = np.r_[np.full(50, 7), rng.integers(100, 1 << 32, 50), [9]].astype("<u4")  # one gram in runs of its own, others, one whole run
+        run = np.r_[rng.integers(0, 1 << 47, 100), [5]].astype(np.uint64)
+        parts = [np.array([101, 1], "<i8"), np.array([k], "<i8"), tag, (run & np.uint64(0xFFFFFFFF)).astype("<u4"), (run >> np.uint64(32)).astype("<u2"), np.zeros(101, "<u2")]
+        blobs.append(b"".join(p.tobytes() for p in parts))
+    table = pa.table({"shard": pa.array([3] * 400, pa.int32()), "slice_id": list(range(400)), "blob": blobs})
+    rows = [r for b in suffix.shard_replies(table.to_batches(max_chunksize=20), 1000) for r in b.to_pylist()]
+    assert sorted(r["slice_id"] for r in rows) == list(range(400)) and max(held) <= 1000
+    hot = [np.unpackbits(np.frombuffer(r["hot"], np.uint8), count=101) for r in rows]
+    assert all(h[:50].all() for h in hot)
+
+
+def test_hot_in_spark(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "SHARD_ENTRIES", 50)
+    rows = mixed_rows(5, 80)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(suffix.dedup(docs)) == brute(rows)
+
+
+def test_repeated_ids_over_slices(spark):
+    rows = mixed_rows(6, 40)
+    rows = [(d if d is None else d // 6, t) for d, t in rows]
+    assert in_process(rows, 4, 3)[0] == [r[:3] for r in brute(rows)]
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])

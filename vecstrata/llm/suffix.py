@@ -22,13 +22,18 @@ have equal grams at equal places, so whatever is equal meets where the gram is d
    stands in a run with a smaller doc_id is marked;
 4. slices take both answers and cut their documents.
 
-A passage that a third of all documents share is one entry a slice and then one a shard, so
-no task sees all its copies.  Its edges differ from copy to copy; where more than ``HOT``
-different runs have one gram, they are dealt window by window instead, by a hash of the
-window, and meet in as many suffix arrays.
+A passage that a third of all documents share is one entry a slice.  A shard reads its
+entries as a sorted stream and holds ``SHARD_ENTRIES`` at most: what is above goes by the
+most frequent grams, which are called hot unseen, all their entries with them.  The edges
+of such a passage differ from copy to copy; runs of hot grams, and of grams that stand in
+more than ``HOT`` different runs, are dealt window by window: the smallest doc_id of each
+window is a grouped minimum, combined on the map side, and a join that adaptive execution
+can split marks the others.  So no task holds all runs of a gram or all copies of a window.
 
 Null text: empty.  A null doc_id comes after all others.  Rows with the same doc_id do not
-remove each other's bytes.  An empty table gives an empty result.
+remove each other's bytes; ties fall by nothing else, so equal rows lose equal bytes.  Texts
+are read whole; one longer than a slice is a slice of its own.  Further columns are not
+read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,19 +42,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialize
-from .common import arrow_schema, doc_text, slices
+from .common import written as materialize
+from ..scratch import temporary
+from .common import arrow_schema, sliced
 
 LENGTH, GRAM = 50, 26
 #: Text bytes of a slice, window starts handled at once, symbols of one suffix array, text
 #: bytes of a shard.
-SLICE, BLOCK, BATCH_SYMBOLS, SHARD_BYTES = 2 << 20, 1 << 19, 1 << 16, 16 << 20
-#: Different runs of one gram that one suffix array may take.
-HOT = 2048
+SLICE, BLOCK, BATCH_SYMBOLS, SHARD_BYTES = 2 << 20, 1 << 16, 1 << 16, 16 << 20
+#: Different runs of one gram that one suffix array may take; entries that a shard may hold;
+#: partitions at most.
+HOT, SHARD_ENTRIES, PARTITIONS = 2048, 3_000_000, 1 << 15
 _LAST = np.int64((1 << 63) - 1)
 _TABLE = np.random.default_rng(50).integers(0, 1 << 64, 256, dtype=np.uint64)
 _STEP = 0x9E3779B97F4A7C15
@@ -163,22 +169,26 @@ def runs(data: np.ndarray, lens: np.ndarray) -> dict[str, np.ndarray]:
 
 
 class Slice:
-    """A slice's runs in the order dealt: by shard, gram, run and doc_id; ``head`` has the
-    first of each group of equal runs (an entry), ``entry`` the entry of each run."""
+    """A slice's runs in the order dealt: by shard, equal runs together and by doc_id; ``head``
+    has the first of each group of equal runs (an entry), ``entry`` the entry of each run."""
 
     def __init__(self, doc_ids: list, lens: list, data: bytes, shards: int):
         self.doc_ids, self.lens, self.data = doc_ids, np.array(lens, np.int64), np.frombuffer(data, np.uint8)
-        self.order_of = np.array([_LAST if d is None else d for d in doc_ids], np.int64)  # ascending, see _sliced
+        self.order_of = np.array([_LAST if d is None else d for d in doc_ids], np.int64)  # ascending, see sliced
         r = runs(self.data, self.lens)
         mixed = _mix(r["gram_hash"] + np.uint64(77))
         shard = (mixed >> np.uint64(32)) % np.uint64(shards)
-        dealt, run = shard << np.uint64(32) | (mixed & np.uint64(0xFFFFFFFF)), r["run_hash"] >> np.uint64(16)
-        o = np.lexsort((run, dealt))  # stable: equal runs stay in the order of their documents
+        tag, run = mixed & np.uint64(0xFFFFFFFF), r["run_hash"] >> np.uint64(16)
+        # one sort of (shard, part of a hash of gram and run, place): equal runs stay in the order
+        # of their documents; should others fall between them, they are two entries
+        low, high = np.uint64(len(run).bit_length()), np.uint64(int(shards).bit_length())
+        key = _mix(tag * np.uint64(_STEP) ^ run) >> (low + high) << low | np.arange(len(run), dtype=np.uint64)
+        o = (np.sort(shard << (np.uint64(64) - high) | key) & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
         self.runs = {k: v[o] for k, v in r.items()}
-        dealt, self.run, self.key = dealt[o], run[o], self.order_of[self.runs["doc"]]
-        self.shard, self.tag = (dealt >> np.uint64(32)).astype(np.int64), (dealt & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        self.run, self.key = run[o], self.order_of[self.runs["doc"]]
+        self.shard, self.tag = shard[o].astype(np.int64), tag[o].astype(np.uint32)
         new = np.ones(len(o), bool)
-        new[1:] = (dealt[1:] != dealt[:-1]) | (self.run[1:] != self.run[:-1])
+        new[1:] = (self.shard[1:] != self.shard[:-1]) | (self.tag[1:] != self.tag[:-1]) | (self.run[1:] != self.run[:-1])
         self.head = np.flatnonzero(new)
         self.entry = np.cumsum(new) - 1
 
@@ -220,9 +230,9 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def compare_entries(tag: np.ndarray, run: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(dup, send, hot): entries whose run stands under a smaller id too; one entry, of the
-    smallest id, of each different run of a gram whose runs have different ids; and whether
-    its gram has more than HOT runs."""
+    """(dup, send, hot): entries whose run stands under a smaller id too; those of the
+    smallest id of each different run of a gram whose runs have different ids (one, unless
+    that id is repeated); and whether its gram has more than HOT of these."""
     n = len(tag)
     o = np.lexsort((ids, run, tag))
     t, r, d = tag[o], run[o], ids[o]
@@ -232,12 +242,13 @@ def compare_entries(tag: np.ndarray, run: np.ndarray, ids: np.ndarray) -> tuple[
     cls[1:] |= r[1:] != r[:-1]
     first = np.flatnonzero(cls)
     dup, send, hot = (np.zeros(n, bool) for _ in range(3))
-    dup[o] = d > d[first][np.cumsum(cls) - 1]
-    begin = np.flatnonzero(gram[first])
-    least, most = np.minimum.reduceat(d[first], begin), np.maximum.reduceat(d[first], begin)
-    own = np.cumsum(gram[first]) - 1
-    send[o[first]] = (least < most)[own]
-    hot[o[first]] = (np.bincount(own) > HOT)[own]
+    least_of_run = d[first][np.cumsum(cls) - 1]
+    dup[o] = d > least_of_run
+    begin, own = np.flatnonzero(gram), np.cumsum(gram) - 1
+    least, most = np.minimum.reduceat(least_of_run, begin), np.maximum.reduceat(least_of_run, begin)
+    sent = (d == least_of_run) & (least < most)[own]
+    send[o] = sent
+    hot[o] = (np.bincount(own[sent], minlength=len(begin)) > HOT)[own]
     return dup, send, hot
 
 
@@ -291,15 +302,97 @@ def repeated_windows(bodies: list[bytes], ids: np.ndarray, length: int = LENGTH)
     return list(zip(body[late].tolist(), offset[late].tolist()))
 
 
-_REPLY = "slice_id long,shard int,dup binary,send binary,hot binary"
-_FETCH = "shard int,gram long,id long,slice_id long,entry int,base int,gram_at int,body binary"
+_REPLY = "slice_id long,shard int,dup binary,send binary,hot binary,n_hot long"
+_FETCH = "shard int,gram long,id long,slice_id long,entry int,base int,gram_at int,hot boolean,body binary"
 _MARKS = "slice_id long,entry int,first array<long>"
 
 
+class ShardReplies:
+    """The replies of one shard at a time to a stream of its packed entries; holds
+    ``limit`` entries at most."""
+
+    def __init__(self, limit: int):
+        self.limit, self.rows, self.shard = limit, [], None
+        self.start(None)
+
+    def start(self, shard: int | None) -> None:
+        self.shard, self.held, self.n = shard, [], 0
+        self.hot_tags, self.all_hot = np.zeros(0, np.uint32), False
+
+    def is_hot(self, tag: np.ndarray) -> np.ndarray:
+        return np.ones(len(tag), bool) if self.all_hot else np.isin(tag, self.hot_tags)
+
+    def say(self, slice_id: int, dup: np.ndarray, send: np.ndarray, hot: np.ndarray) -> None:
+        bits = (np.packbits(x).tobytes() for x in (dup, send, hot))
+        self.rows.append((slice_id, self.shard, *bits, int((send & hot).sum())))
+
+    def add(self, slice_id: int, blob: bytes) -> None:
+        tag, run, ids = unpack(blob)
+        hot = self.is_hot(tag)
+        if hot.all():
+            self.say(slice_id, np.zeros(len(tag), bool), hot, hot)
+            return
+        self.held.append((slice_id, hot, tag[~hot], run[~hot], ids[~hot]))
+        self.n += int((~hot).sum())
+        if self.n > self.limit:
+            self.shed()
+
+    def shed(self) -> None:
+        """Call the most frequent grams hot, so that half the limit is held at most."""
+        tags, n = np.unique(np.concatenate([h[2] for h in self.held]), return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        over = np.cumsum(n[order])
+        most = int(np.searchsorted(over, self.n - self.limit // 2)) + 1
+        self.hot_tags = np.sort(np.r_[self.hot_tags, tags[order[:most]]])
+        self.all_hot = len(self.hot_tags) > self.limit  # so many that the list itself would grow
+        held, self.held, self.n = self.held, [], 0
+        for slice_id, hot, tag, run, ids in held:
+            now, cold = hot.copy(), np.flatnonzero(~hot)
+            more = self.is_hot(tag)
+            now[cold[more]] = True
+            if now.all():
+                self.say(slice_id, np.zeros(len(now), bool), now, now)
+            else:
+                self.held.append((slice_id, now, tag[~more], run[~more], ids[~more]))
+                self.n += int((~more).sum())
+
+    def finish(self) -> None:
+        if self.held:
+            said = compare_entries(*(np.concatenate([h[k] for h in self.held]) for k in (2, 3, 4)))
+            at = 0
+            for slice_id, hot, tag, _, _ in self.held:
+                dup, send, many = np.zeros(len(hot), bool), hot.copy(), hot.copy()
+                for full, part in zip((dup, send, many), said):
+                    full[~hot] = part[at : at + len(tag)]
+                self.say(slice_id, dup, send, many)
+                at += len(tag)
+
+    def taken(self) -> pa.RecordBatch:
+        rows, self.rows = self.rows, []
+        schema = arrow_schema(_REPLY)
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def shard_replies(batches, limit: int = 0):
+    """Replies to rows (shard, slice_id, blob) sorted by shard."""
+    out = ShardReplies(limit or SHARD_ENTRIES)
+    for batch in batches:
+        for shard, slice_id, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "slice_id", "blob"))):
+            if shard != out.shard:
+                out.finish()
+                out.start(shard)
+            out.add(slice_id, blob)
+            if len(out.rows) >= 1000:
+                yield out.taken()
+    out.finish()
+    yield out.taken()
+
+
 def fetched_of(s: Slice, slice_id: int, replies: list, shards: int) -> pa.RecordBatch:
     """The runs of a slice that were asked for; those of hot grams as single windows."""
     _, send, hot = s.answers(replies)
     entry = np.flatnonzero(send & ~hot)
+    n_cold = len(entry)
     start, stop, base = s.runs["start"][s.head[entry]], s.runs["stop"][s.head[entry]] + LENGTH, np.zeros(len(entry), np.int64)
     group = s.runs["gram_hash"][s.head[entry]]
     if (send & hot).any():
@@ -308,41 +401,17 @@ def fetched_of(s: Slice, slice_id: int, replies: list, shards: int) -> pa.Record
         n = s.runs["stop"][s.head[parted]] - first + 1
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         begin = np.repeat(first, n) + at
-        windows = np.lib.stride_tricks.sliding_window_view(s.data, LENGTH)[begin]
         entry, start, stop, base = np.r_[entry, np.repeat(parted, n)], np.r_[start, begin], np.r_[stop, begin + LENGTH], np.r_[base, at]
-        group = np.r_[group, _mix((_TABLE[windows] * _UP[:LENGTH]).sum(axis=1, dtype=np.uint64))]
+        group = np.r_[group, np.zeros(len(begin), np.uint64)]  # they meet by their bytes
     e = s.head[entry]
     cols = [
         (group % np.uint64(shards)).astype(np.int32), group.view(np.int64), s.key[e], np.full(len(e), slice_id, np.int64), entry.astype(np.int32), base.astype(np.int32),
-        (s.runs["gram"][e] - start).astype(np.int32), [s.data[x:y].tobytes() for x, y in zip(start.tolist(), stop.tolist())],
+        (s.runs["gram"][e] - start).astype(np.int32), np.arange(len(e)) >= n_cold, [s.data[x:y].tobytes() for x, y in zip(start.tolist(), stop.tolist())],
     ]
     schema = arrow_schema(_FETCH)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-def _sliced(docs: DataFrame, text: str) -> DataFrame:
-    schema = "slice_id long,doc_ids array<long>,lens array<long>,data binary"
-
-    def run(batches):
-        task, n = TaskContext.get().partitionId() << 32, 0
-        for part in slices(batches, limit=SLICE):
-            part = part.sort_by([("doc_id", "ascending")])  # nulls last
-            data = [(t or "").encode() for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"slice_id": [task + n], "doc_ids": [part.column("doc_id").to_pylist()], "lens": [[len(d) for d in data]], "data": [b"".join(data)]}, schema=arrow_schema(schema))
-            n += 1
-
-    return doc_text(docs, text).mapInArrow(run, schema)
-
-
-def _shard_reply(table: pa.Table) -> pa.Table:
-    blobs = [unpack(b) for b in table.column("blob").to_pylist()]
-    tag, run, ids = (np.concatenate([b[k] for b in blobs]) for k in range(3))
-    dup, send, hot = compare_entries(tag, run, ids)
-    cuts = np.cumsum([0, *(len(b[0]) for b in blobs)])
-    packed = lambda bits: [np.packbits(bits[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
-    return pa.Table.from_pydict({"slice_id": table.column("slice_id"), "shard": table.column("shard"), "dup": packed(dup), "send": packed(send), "hot": packed(hot)}, schema=arrow_schema(_REPLY))
-
-
 def _shard_marks(table: pa.Table) -> pa.Table:
     schema = arrow_schema(_MARKS)
     table = table.sort_by([("gram", "ascending"), ("id", "ascending"), ("slice_id", "ascending"), ("entry", "ascending"), ("base", "ascending")])
@@ -367,13 +436,24 @@ def _shard_marks(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([take.column("slice_id"), take.column("entry"), pa.array([sorted(marks[i]) for i in rows], schema.field("first").type)], schema=schema)
 
 
+def window_marks(hot: DataFrame) -> DataFrame:
+    """Marks of single windows: rows (id, slice_id, entry, base, body) whose body also has a
+    smaller id."""
+    low = hot.groupBy("body").agg(F.min("id").alias("low"))
+    late = hot.join(low, "body").where("id > low")
+    return late.groupBy("slice_id", "entry").agg(F.sort_array(F.collect_list(F.col("base").cast("long"))).alias("first"))  # windows of one run
+
+
 def dedup(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (flat starts and ends) [,
     kept: the bytes that are left] of every document."""
-    source = materialize(_sliced(docs, text), "slices")
+    source = materialize(sliced(docs, text, SLICE), "slices")
     total = source.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     shards = total // SHARD_BYTES + 1
-    opened = lambda b, i: Slice(b.column("doc_ids")[i].as_py(), b.column("lens")[i].as_py(), b.column("data")[i].as_py(), shards)
+    parts = min(shards, PARTITIONS)
+
+    def opened(b, i: int) -> Slice:
+        return Slice(b.column("doc_ids")[i].as_py(), b.column("lens")[i].as_py(), b.column("data")[i].as_py(), shards)
 
     def deal(batches):
         for b in batches:
@@ -381,19 +461,27 @@ def dedup(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFr
                 for shard, blob in opened(b, i).deal():
                     yield pa.RecordBatch.from_pydict({"shard": [shard], "slice_id": [b.column("slice_id")[i].as_py()], "blob": [blob]}, schema=arrow_schema("shard int,slice_id long,blob binary"))
 
-    dealt = source.mapInArrow(deal, "shard int, slice_id long, blob binary")
-    replies = materialize(dealt.groupBy("shard").applyInArrow(_shard_reply, _REPLY), "shard-replies")
-    by_slice = replies.groupBy("slice_id").agg(F.collect_list(F.struct("shard", "dup", "send", "hot")).alias("replies"))
-    # hashed, as sorting would hold whole partitions of slices
-    asked = materialize(by_slice, "slice-replies").hint("shuffle_hash")
+    dealt = source.mapInArrow(deal, "shard int, slice_id long, blob binary").repartitionById(parts, "shard").sortWithinPartitions("shard")
+    limit = SHARD_ENTRIES
 
     def fetch(batches):
         for b in batches:
             for i in range(b.num_rows):
                 yield fetched_of(opened(b, i), b.column("slice_id")[i].as_py(), b.column("replies")[i].as_py(), 4 * shards)
 
-    fetched = source.join(asked, "slice_id").mapInArrow(fetch, _FETCH)
-    marks = materialize(fetched.groupBy("shard").applyInArrow(_shard_marks, _MARKS), "window-marks")
+    with temporary() as keep:
+        replies = materialize(dealt.mapInArrow(lambda batches: shard_replies(batches, limit), _REPLY), "shard-replies")
+        any_hot = replies.agg(F.sum("n_hot")).first()[0]
+        by_slice = replies.groupBy("slice_id").agg(F.collect_list(F.struct("shard", "dup", "send", "hot")).alias("replies"))
+        # hashed, as sorting would hold whole partitions of slices
+        asked = keep(materialize(by_slice, "slice-replies")).hint("shuffle_hash")
+        fetched = source.join(asked, "slice_id").mapInArrow(fetch, _FETCH)
+        if any_hot:  # read twice
+            fetched = materialize(fetched, "fetched-runs")
+        marks = fetched.where("NOT hot").groupBy("shard").applyInArrow(_shard_marks, _MARKS)
+        if any_hot:
+            marks = marks.union(window_marks(fetched.where("hot").select("id", "slice_id", "entry", "base", "body")))
+        marks = keep(materialize(marks, "window-marks"))
     noted = marks.groupBy("slice_id").agg(F.collect_list(F.struct("entry", "first")).alias("marks")).hint("shuffle_hash")
     schema = "doc_id long,n_bytes long,n_removed long,n_spans long,kept_sha256 string,removed array<long>" + ",kept binary" * keep_text
     arrow = arrow_schema(schema)
