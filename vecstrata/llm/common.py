@@ -73,15 +73,6 @@ class Carried:
         return df.select(*(F.col(f"c{i}").alias(name) for i, name in enumerate(self.names)))
 
 
-def bounded(docs: DataFrame) -> DataFrame:
-    """``docs``, in a session whose Arrow batches to Python hold ``BATCH_BYTES`` at most."""
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = conf.get(name).rstrip("b")
-    if not held.isdigit() or int(held) > BATCH_BYTES:
-        conf.set(name, str(BATCH_BYTES))
-    return docs
-
-
 def doc_text(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
