@@ -17,7 +17,7 @@ from ..operators import exact, hybrid, index, kmeans, replay
 from ..scratch import materialize, scratch_path
 from ..sources.synthetic import synthetic_documents
 from ..streaming.ingest import ingest
-from ..types import ATTRIBUTES, IndexConfig, WriteConflict
+from ..types import ATTRIBUTES, DimensionMismatch, IndexConfig, WriteConflict
 
 DELETES, UPDATES = 1_000_000, 1_000_001
 L2, COS, DOT = "euclidean_squared", "cosine_distance", "dot_product"
@@ -546,3 +546,39 @@ def stream_ingest(spark, sf_dir):
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/embeddings.parquet*").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     ingest(stream, ns, scratch_path(spark, "checkpoint"), once=True).awaitTermination()
     return ns.documents().select("id", "last_seq")
+
+
+@query("SELECT vec_id AS id, CAST(1 AS BIGINT) AS last_seq FROM embeddings")
+def stream_replay(spark, sf_dir):
+    """The same stream twice, the second time without its checkpoint: written once."""
+    ns = Engine(spark, scratch_path(spark, "engine")).create_namespace("docs", L2)
+    schema = spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema
+    for _ in range(2):
+        stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/embeddings.parquet*").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+        ingest(stream, ns, scratch_path(spark, "checkpoint"), once=True).awaitTermination()
+    return ns.documents().select("id", "last_seq")
+
+
+@query(f"""WITH {_V}, s AS (SELECT id, label, {_d(L2, 'vector', '(SELECT vector FROM v WHERE id = 0)')} AS d FROM v WHERE label % 2 = 0)
+SELECT id, round(d, 6) + 0.0 AS dist, CAST(label AS BIGINT) AS label FROM s ORDER BY d, id LIMIT 10""")
+def filtered_knn(spark, sf_dir):
+    """Through an index, all lists probed: the nearest among those whose attribute is even,
+    with that attribute."""
+    v, ns = _filled(spark, sf_dir)
+    ns.build_index(IndexConfig(max_posting_size=64, replica_count=1, num_search_heads=1 << 20))
+    hits = ns.query(_one(spark, sf_dir), where="attributes['label'].u % 2 = 0")
+    return _rounded(hits.withColumn("label", F.expr("CAST(attributes['label'].u AS BIGINT)")), "id", "label")
+
+
+@query("SELECT true AS write_refused, true AS query_refused, count(*) AS documents FROM embeddings")
+def dimension_check(spark, sf_dir):
+    """Vectors of another length are refused, written or asked for, and change nothing."""
+    _, ns = _filled(spark, sf_dir)
+    refused = []
+    for call in (lambda: ns.upsert(spark.createDataFrame([(1, [1.0])], "id long, vector array<float>")), lambda: ns.query([1.0])):
+        try:
+            call()
+            refused.append(False)
+        except DimensionMismatch:
+            refused.append(True)
+    return spark.createDataFrame([(*refused, ns.doc_count())], "write_refused boolean, query_refused boolean, documents long")
