@@ -134,7 +134,7 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, b, ids[np.frombuffer(blob, "<u4", n, at + 12 * n)]
 
 
-_REPLY = "slice_id long,shard int,dup binary,lost binary"
+_DEALT, _REPLY = "shard int,slice_id long,blob binary", "slice_id long,shard int,dup binary,lost binary"
 
 
 class ShardTable:
@@ -212,7 +212,10 @@ def removed_runs(start: np.ndarray, stop: np.ndarray, gone: np.ndarray, size: in
     return np.stack([a[long], b[long]], axis=1).ravel().tolist()
 
 
-def dedup(docs: DataFrame, text: str = "text", least_run: int = LEAST_RUN, keep_text: bool = True, within: bool = True, merge: int = MERGE, slice_bytes: int = SLICE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def dedup(
+    docs: DataFrame, text: str = "text", least_run: int = LEAST_RUN, keep_text: bool = True, within: bool = True,
+    merge: int = MERGE, slice_bytes: int = SLICE, shard_bytes: int = SHARD_BYTES,
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (flat starts and ends) [,
     kept: the bytes that are left] of every document: without the chunks that an earlier
     document has, or (``within``) that it has itself, further up."""
@@ -226,12 +229,15 @@ def dedup(docs: DataFrame, text: str = "text", least_run: int = LEAST_RUN, keep_
     def deal(batches):
         for b in batches:
             for i in range(b.num_rows):
+                slice_id = b.column("slice_id")[i].as_py()
                 for shard, blob in opened(b, i).deal():
-                    yield pa.RecordBatch.from_pydict({"shard": [shard], "slice_id": [b.column("slice_id")[i].as_py()], "blob": [blob]}, schema=arrow_schema("shard int,slice_id long,blob binary"))
+                    yield pa.RecordBatch.from_pydict({"shard": [shard], "slice_id": [slice_id], "blob": [blob]}, schema=arrow_schema(_DEALT))
 
-    dealt = source.mapInArrow(deal, "shard int, slice_id long, blob binary").repartitionById(min(shards, PARTITIONS), "shard").sortWithinPartitions("shard")
+    dealt = source.mapInArrow(deal, _DEALT).repartitionById(min(shards, PARTITIONS), "shard").sortWithinPartitions("shard")
     replies = dealt.mapInArrow(lambda batches: shard_replies(batches, merge), _REPLY)
-    asked = materialize(replies.groupBy("slice_id").agg(F.collect_list(F.struct("shard", "dup", "lost")).alias("replies")), "slice-replies").hint("shuffle_hash")
+    by_slice = replies.groupBy("slice_id").agg(F.collect_list(F.struct("shard", "dup", "lost")).alias("replies"))
+    # hashed, as sorting would hold whole partitions of slices
+    asked = materialize(by_slice, "slice-replies").hint("shuffle_hash")
     schema = "doc_id long,n_bytes long,n_removed long,n_spans long,kept_sha256 string,removed array<long>" + ",kept binary" * keep_text
     arrow = arrow_schema(schema)
 

@@ -124,7 +124,8 @@ def sliced(docs: DataFrame, text: str, limit: int) -> DataFrame:
         for part in slices(batches, limit=limit):
             part = part.take(pc.sort_indices(part, [("doc_id", "ascending")]))  # stable, nulls last
             data = [(t or "").encode() for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"slice_id": [task + n], "doc_ids": [part.column("doc_id").to_pylist()], "lens": [[len(d) for d in data]], "data": [b"".join(data)]}, schema=arrow_schema(schema))
+            row = {"slice_id": [task + n], "doc_ids": [part.column("doc_id").to_pylist()], "lens": [[len(d) for d in data]], "data": [b"".join(data)]}
+            yield pa.RecordBatch.from_pydict(row, schema=arrow_schema(schema))
             n += 1
 
     return doc_text(docs, text).mapInArrow(run, schema)

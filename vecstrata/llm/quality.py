@@ -176,8 +176,10 @@ def combined(scored: DataFrame, site: str = "source") -> DataFrame:
     """Materialized rows with ``__quality``: adds ``__site`` (the posterior of the row's path,
     without the row) and ``__score`` (the combined probability)."""
     p = F.coalesce(1 / (1 + F.exp(-F.col("__quality"))), F.lit(0.0))
-    rows = scored.withColumns({"__p": p, "__host": host_of(F.col(site)) if site in scored.columns else F.lit(""), "__path": path_of(F.col(site)) if site in scored.columns else F.lit("")})
-    paths = materialize(rows.groupBy("__host", "__path").agg(F.count(F.lit(1)).alias("__n"), F.sum("__p").alias("__s"), F.sum(F.col("__p") ** 2).alias("__q")), "path-sums")
+    at = F.col(site) if site in scored.columns else F.lit("")
+    rows = scored.withColumns({"__p": p, "__host": host_of(at), "__path": path_of(at)})
+    sums = (F.count(F.lit(1)).alias("__n"), F.sum("__p").alias("__s"), F.sum(F.col("__p") ** 2).alias("__q"))
+    paths = materialize(rows.groupBy("__host", "__path").agg(*sums), "path-sums")
     hosts = paths.groupBy("__host").agg(F.sum("__n").alias("__hn"), F.sum("__s").alias("__hs"))
     total = paths.agg(F.sum("__n").alias("n"), F.sum("__s").alias("s"), F.sum("__q").alias("q")).first()
     n = total.n or 0

@@ -302,7 +302,7 @@ def repeated_windows(bodies: list[bytes], ids: np.ndarray, length: int = LENGTH)
     return list(zip(body[late].tolist(), offset[late].tolist()))
 
 
-_REPLY = "slice_id long,shard int,dup binary,send binary,hot binary,n_hot long"
+_DEALT, _REPLY = "shard int,slice_id long,blob binary", "slice_id long,shard int,dup binary,send binary,hot binary,n_hot long"
 _FETCH = "shard int,gram long,id long,slice_id long,entry int,base int,gram_at int,hot boolean,body binary"
 _MARKS = "slice_id long,entry int,first array<long>"
 
@@ -458,10 +458,11 @@ def dedup(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFr
     def deal(batches):
         for b in batches:
             for i in range(b.num_rows):
+                slice_id = b.column("slice_id")[i].as_py()
                 for shard, blob in opened(b, i).deal():
-                    yield pa.RecordBatch.from_pydict({"shard": [shard], "slice_id": [b.column("slice_id")[i].as_py()], "blob": [blob]}, schema=arrow_schema("shard int,slice_id long,blob binary"))
+                    yield pa.RecordBatch.from_pydict({"shard": [shard], "slice_id": [slice_id], "blob": [blob]}, schema=arrow_schema(_DEALT))
 
-    dealt = source.mapInArrow(deal, "shard int, slice_id long, blob binary").repartitionById(parts, "shard").sortWithinPartitions("shard")
+    dealt = source.mapInArrow(deal, _DEALT).repartitionById(parts, "shard").sortWithinPartitions("shard")
     limit = SHARD_ENTRIES
 
     def fetch(batches):
