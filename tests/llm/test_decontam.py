@@ -93,3 +93,10 @@ def test_items_without_id(spark):
     assert [(rows[i].n_hit, rows[i].n_items) for i in (1, 2, 3, 4)] == [(40, 2), (20, 1), (20, 1), (0, 0)]
     assert [rows[i].d for i in (1, 2)] == [hashlib.sha256(b).hexdigest() for b in (b"7", b"")]
     assert [r.doc_id for r in decontam.clean(docs, bench).collect()] == [4]
+
+
+def test_equal_hashes_of_different_windows_are_told_apart(monkeypatch):
+    whole = decontam.word_hashes
+    monkeypatch.setattr(decontam, "word_hashes", lambda words, seed=0: whole(words, seed) if seed else np.zeros(len(words), np.uint64))
+    held = decontam.Matcher([("1", "a b c"), ("2", "d e f")], 3)
+    assert held.seed == 1 and held.find([b"d", b"e", b"f"])[1] == {"2"}

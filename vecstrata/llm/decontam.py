@@ -7,7 +7,7 @@ window is hit.
 
 The windows are 64-bit hashes in one sorted array for each window length, with the words
 themselves beside them: a document's windows are hashed at once, looked up, and every hit is
-verified word by word.  About 4 bytes are held for a byte of benchmark text.  The benchmark
+verified word by word.  About 5 bytes are held for a byte of benchmark text.  The benchmark
 is collected and broadcast in blocks of at most ``BLOCK_BYTES`` of text.  If there is one
 block, the documents are read once and never shuffled; if there are more, each block scans
 the written documents in a pass of its own, its broadcast is destroyed, and only the hits
@@ -24,13 +24,14 @@ however long.  Further columns, whatever their names, are carried.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Carried, arrow_schema, slices
 from .common import written as materialize
@@ -46,8 +47,8 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(_KEEP).split() if text else []
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words) if seed else map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def window_hashes(hashes: np.ndarray, m: int) -> np.ndarray:
@@ -91,25 +92,29 @@ class Matcher:
     def __init__(self, items: list[tuple[str | None, str | None]], n: int = WINDOW):
         self.ids: list[str | None] = sorted({item for item, _ in items}, key=lambda x: (x is None, x))
         number = {item: k for k, item in enumerate(self.ids)}
-        found: dict[int, list] = {}
-        lines, at = [], 0
-        for item, text in items:
-            words = words_of(text)
-            m = min(n, len(words))
-            if m:
-                h = window_hashes(word_hashes(words), m)
-                found.setdefault(m, []).append((h, at + np.arange(len(h)), np.full(len(h), number[item])))
-                lines.append(b" ".join(words))
-                at += len(words)
-        self.text = b" ".join(lines)  # all words, one space between any two
+        rows = [(number[item], words) for item, text in items if (words := words_of(text))]
+        self.text = b" ".join(b" ".join(words) for _, words in rows)  # one space between any two words
         gaps = np.flatnonzero(np.frombuffer(self.text, np.uint8) == 32)
         self.begin = np.r_[0, gaps + 1].astype(np.int32)
         self.end = np.r_[gaps, len(self.text)].astype(np.int32)
-        self.windows = {m: Windows(*(np.concatenate(part) for part in zip(*rows))) for m, rows in sorted(found.items())}
-        for m, held in self.windows.items():
-            if any(self.words(a, m) != self.words(b, m) for a, b in zip(*(x.tolist() for x in held.again))):
-                raise RuntimeError("two windows of the benchmark have one hash")
+        self.seed = 0
+        while not self._hashed(rows, n):  # two different windows have one hash: once in millions of blocks
+            self.seed += 1
+
+    def _hashed(self, rows: list[tuple[int, list[bytes]]], n: int) -> bool:
+        """Make the windows; whether different windows have different hashes."""
+        found: dict[int, list] = {}
+        at = 0
+        for item, words in rows:
+            m = min(n, len(words))
+            h = window_hashes(word_hashes(words, self.seed), m)
+            found.setdefault(m, []).append((h, at + np.arange(len(h)), np.full(len(h), item)))
+            at += len(words)
+        self.windows = {m: Windows(*(np.concatenate(part) for part in zip(*made))) for m, made in sorted(found.items())}
+        fine = all(self.words(a, m) == self.words(b, m) for m, held in self.windows.items() for a, b in zip(*(x.tolist() for x in held.again)))
+        for held in self.windows.values():
             del held.again
+        return fine
 
     def words(self, at: int, m: int) -> bytes:
         return self.text[self.begin[at] : self.end[at + m - 1]]
@@ -120,7 +125,7 @@ class Matcher:
 
     def find(self, words: list[bytes]) -> tuple[np.ndarray | None, set[str | None]]:
         """(which words are hit, items that occur); None if no word is hit."""
-        hashes, hit, found = word_hashes(words), None, set()
+        hashes, hit, found = word_hashes(words, self.seed), None, set()
         for m, held in self.windows.items():
             if len(words) < m:
                 continue
@@ -151,12 +156,21 @@ def runs(hit: np.ndarray) -> list[int]:
 _FOUND = "n_words long,runs array<long>,items array<string>"
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
+def scan(
+    docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES, text: str = "text",
+    finish: Callable | None = None, schema: StructType | None = None,
+) -> DataFrame:
     """All columns of ``docs`` (none is named like these) and n_words, runs (flat starts and
-    ends of hit runs of words) and items (those that occur)."""
+    ends of hit runs of words) and items (those that occur).
+
+    With ``finish``, instead, what it makes of each record batch and the three lists, of
+    ``schema``: in the same pass if there is one block."""
     extra = arrow_schema(_FOUND)
 
-    def against(rows: DataFrame, block: list) -> tuple:
+    def with_lists(part: pa.RecordBatch, *lists: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*part.columns, *(pa.array(v, f.type) for v, f in zip(lists, extra))], names=[*part.schema.names, *extra.names])
+
+    def against(rows: DataFrame, block: list, make: Callable, kind: StructType) -> tuple:
         sent = rows.sparkSession.sparkContext.broadcast(Matcher(block, n))
 
         def run(batches):
@@ -168,26 +182,29 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: in
                     counts.append(len(words))
                     spans.append([] if hit is None else runs(hit))
                     items.append(sorted(found, key=lambda x: (x is None, x)))
-                made = [pa.array(v, f.type) for v, f in zip((counts, spans, items), extra)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *extra.names])
+                yield make(part, counts, spans, items)
 
-        kinds = {"n_words": F.lit(0).cast("long"), "runs": F.array().cast("array<long>"), "items": F.array().cast("array<string>")}
-        return rows.mapInArrow(run, rows.withColumns(kinds).schema), sent
+        return rows.mapInArrow(run, kind), sent
+
+    def listed(rows: DataFrame) -> StructType:
+        return rows.withColumns({"n_words": F.lit(0).cast("long"), "runs": F.array().cast("array<long>"), "items": F.array().cast("array<string>")}).schema
 
     tagged, hits = None, None
     for block, n_blocks in blocks(benchmark, block_bytes):
         if n_blocks == 1:
-            return against(docs, block)[0]
+            return against(docs, block, finish or with_lists, schema or listed(docs))[0]
         if tagged is None:
             tagged = materialize(docs.withColumn("uid", F.monotonically_increasing_id()), "documents-to-scan")
-        made, sent = against(tagged.select("uid", text), block)
+        slim = tagged.select("uid", text)
+        made, sent = against(slim, block, with_lists, listed(slim))
         first = hits is None  # the first pass counts the words too
         made = materialize(made.where(F.lit(first) | (F.size("runs") > 0)).select("uid", "n_words", "runs", "items"), "benchmark-hits")
         sent.destroy()
         sizes = made if first else sizes
         some = made.where(F.size("runs") > 0).select("uid", "runs", "items")
         hits = some if hits is None else hits.union(some)
-    merged = hits.groupBy("uid").agg(F.collect_list("runs").alias("all_runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # blocks at most
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")  # of as many rows as there are blocks
+    merged = hits.groupBy("uid").agg(F.collect_list("runs").alias("all_runs"), items)
 
     def together(batches):
         for b in batches:
@@ -202,7 +219,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: in
 
     merged = materialize(merged.mapInArrow(together, "uid long, runs array<long>, items array<string>"), "merged-hits")
     out = tagged.join(sizes.select("uid", "n_words"), "uid").join(merged, "uid", "left").drop("uid")
-    return out.withColumns({"runs": F.coalesce("runs", F.array().cast("array<long>")), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    out = out.withColumns({"runs": F.coalesce("runs", F.array().cast("array<long>")), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    if finish is None:
+        return out
+    own = docs.columns
+
+    def finished(batches):
+        for b in batches:
+            yield finish(b.select(own), *(b.column(c).to_pylist() for c in extra.names))
+
+    return out.mapInArrow(finished, schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
@@ -227,24 +253,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, percent: int =
     from the others the hit words are cut out and ``n_chars``, if there, counted anew."""
     own = Carried(docs)
     at = own[text]
-    found = scan(own.frame, benchmark, n, block_bytes, at)
-    schema = found.select(*own.frame.columns).schema
-
-    def run(batches):
-        for part in batches:
-            texts, choose = [], []
-            for k, (content, spans, total) in enumerate(zip(*(part.column(c).to_pylist() for c in (at, "runs", "n_words")))):
-                hit = sum(spans[1::2]) - sum(spans[::2])
-                if spans and 100 * hit >= percent * total:
-                    continue
-                choose.append(k)
-                texts.append(cut_words(content, spans) if spans else content)
-            part = part.take(pa.array(choose, pa.int64()))
-            cols = {c: part.column(c) for c in schema.names}
-            cols[at] = pa.array(texts, part.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(list(cols.values()), schema=pa.schema([part.schema.field(c) for c in schema.names]))
-
-    out = own.back(found.mapInArrow(run, schema))
+
+    def cut(part: pa.RecordBatch, counts: list, spans: list, _: list) -> pa.RecordBatch:
+        texts, choose = [], []
+        for k, (content, found, total) in enumerate(zip(part.column(at).to_pylist(), spans, counts)):
+            hit = sum(found[1::2]) - sum(found[::2])
+            if found and 100 * hit >= percent * total:
+                continue
+            choose.append(k)
+            texts.append(cut_words(content, found) if found else content)
+        part = part.take(pa.array(choose, pa.int64()))
+        cols = dict(zip(part.schema.names, part.columns)) | {at: pa.array(texts, part.schema.field(at).type)}
+        return pa.RecordBatch.from_arrays(list(cols.values()), schema=part.schema)
+
+    out = own.back(scan(own.frame, benchmark, n, block_bytes, at, cut, own.frame.schema))
     return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in own else out
 
 
