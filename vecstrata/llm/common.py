@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
@@ -103,6 +103,14 @@ def map_texts(docs: DataFrame, work: Callable[[list, list], dict], schema: str,
     return doc_text(docs, text).mapInArrow(run, schema)
 
 
+def about(rows: DataFrame, key: Column, most: int) -> DataFrame:
+    """The rows with the smallest hash ``key``, a little more than twice ``most`` of them if
+    there are as many: what a choice of ``most`` by this key is made from, or each partition
+    would send as many to the driver."""
+    n = rows.count()
+    return rows if n <= 2 * most + 1000 else rows.where(key < int((1 << 64) * (2 * most + 1000) / n) - (1 << 63))
+
+
 _KINDS = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(),
     "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Carried, slices
+from .common import Carried, about, slices
 from .common import written as materialize
 
 #: Labelled documents the fit may take, and the longest text among them.
@@ -139,9 +139,10 @@ def fit(rows: list[tuple[str, int]], seed: int = 3) -> Head:
 def labelled_rows(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> list:
     """(text, quality, toxic) of a bounded sample of labelled documents, chosen by a hash."""
     marks = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
-    picked = marks.where("__id IS NOT NULL AND quality IN (0, 1)").orderBy(F.xxhash64("__id", F.lit(1)), "quality", "toxic").limit(rows)
+    key = F.xxhash64("__id", F.lit(1))
+    picked = about(marks.where("__id IS NOT NULL AND quality IN (0, 1)"), key, rows).orderBy(key, "quality", "toxic").limit(rows)
     near = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col(text).cast("string").alias("text")).where(F.length("text").between(1, chars))
-    found = near.join(F.broadcast(picked), "__id").orderBy(F.xxhash64("__id", F.lit(1)), "quality", "toxic").limit(rows)  # ``rows`` rows of three numbers
+    found = near.join(F.broadcast(picked), "__id").orderBy(key, "quality", "toxic").limit(rows)  # ``rows`` rows of three numbers
     return found.select("text", "quality", "toxic").collect()
 
 

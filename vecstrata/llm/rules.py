@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written as materialize
-from .common import map_texts
+from .common import about, map_texts
 
 #: Labelled rows the forest may see; trees, rows a tree, and bins of the score.
 FIT_ROWS, TREES, TREE_ROWS, DEPTH, BINS = 4096, 100, 256, 10, 2000
@@ -181,7 +181,9 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int
     stats = materialize(statistics_table(docs, text), "rule-statistics")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isNotNull())
     half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))
-    rows = stats.join(marks.where(half == 0), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "quality", *BASE).limit(fit_rows).collect()
+    key = F.xxhash64("doc_id", F.lit(3))
+    near = stats.join(about(marks.where(half == 0), key, fit_rows), "doc_id")
+    rows = near.orderBy(key, "quality", *BASE).limit(fit_rows).collect()
     x = features({c: np.array([r[c] for r in rows]) for c in (*BASE, *MORE)}) if rows else np.zeros((1, 8))
     good = np.array([r.quality == 1 for r in rows], bool)
     scored = with_score(stats, grow(x[good] if good.any() else x, x.min(axis=0), x.max(axis=0)))
