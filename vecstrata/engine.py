@@ -181,12 +181,18 @@ class Namespace:
 
     # queries
 
-    def query(self, vector, top_k: int = DEFAULT_TOP_K, distance_metric: str | None = None, include_vectors: bool = False, num_search_heads: int | None = None, where=None) -> DataFrame:
+    def query(
+        self, vector, top_k: int = DEFAULT_TOP_K, distance_metric: str | None = None, include_vectors: bool = False,
+        num_search_heads: int | None = None, where=None,
+    ) -> DataFrame:
         """The top_k nearest documents of one vector: id, dist, rank, attributes [, vector]."""
         found = self.query_batch(hybrid.queries_of(self.spark, [vector]), top_k, distance_metric, include_vectors, num_search_heads, where)
         return found.drop("qid").orderBy("rank")
 
-    def query_batch(self, queries: DataFrame, top_k: int = DEFAULT_TOP_K, distance_metric: str | None = None, include_vectors: bool = False, num_search_heads: int | None = None, where=None) -> DataFrame:
+    def query_batch(
+        self, queries: DataFrame, top_k: int = DEFAULT_TOP_K, distance_metric: str | None = None, include_vectors: bool = False,
+        num_search_heads: int | None = None, where=None,
+    ) -> DataFrame:
         """The top_k nearest documents of every (qid, vector) row, among those that fulfil
         ``where`` (a Column or SQL over id and attributes), if given."""
         dims, metric = self.dimensions(), str(metric_of(distance_metric or self.meta()["distance_metric"]))

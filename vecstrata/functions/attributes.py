@@ -13,13 +13,19 @@ from ..types import ATTRIBUTE, ATTRIBUTES
 
 _U64_MOST = "18446744073709551615"
 
+_SLOTS = {"b": "BOOLEAN", "u": "DECIMAL(20,0)", "f": "DOUBLE", "s": "STRING"}
+
 
 def _coerce(v: str) -> str:
     """SQL of the tagged struct from SQL of a variant."""
     kind = f"schema_of_variant({v})"
     whole = f"({kind} = 'BIGINT' OR {kind} RLIKE '^DECIMAL[(][0-9]+,0[)]$')"
     number = f"try_variant_get({v}, '$', 'DECIMAL(38,0)')"
-    made = lambda k, **f: "named_struct('kind', '" + k + "', " + ", ".join(f"'{n}', CAST({f.get(n, 'NULL')} AS {t})" for n, t in (("b", "BOOLEAN"), ("u", "DECIMAL(20,0)"), ("f", "DOUBLE"), ("s", "STRING"))) + ")"
+
+    def made(kind: str, **slots: str) -> str:
+        parts = (f"'{n}', CAST({slots.get(n, 'NULL')} AS {t})" for n, t in _SLOTS.items())
+        return f"named_struct('kind', '{kind}', {', '.join(parts)})"
+
     return f"""CASE WHEN {v} IS NULL OR {kind} = 'VOID' THEN {made("null")}
         WHEN {kind} = 'BOOLEAN' THEN {made("bool", b=f"try_variant_get({v}, '$', 'BOOLEAN')")}
         WHEN {kind} = 'STRING' THEN {made("string", s=f"try_variant_get({v}, '$', 'STRING')")}
@@ -49,8 +55,8 @@ def to_json(column: str) -> Column:
 def tagged(kind: str, value: Column) -> Column:
     """One attribute of a given kind from a column."""
     slot = {"bool": "b", "u64": "u", "f64": "f", "string": "s"}.get(kind)
-    parts = [F.lit(kind).alias("kind")] + [(value if n == slot else F.lit(None)).cast(t).alias(n) for n, t in (("b", "boolean"), ("u", "decimal(20,0)"), ("f", "double"), ("s", "string"))]
-    return F.struct(*parts).cast(ATTRIBUTE)
+    slots = ((value if n == slot else F.lit(None)).cast(t).alias(n) for n, t in _SLOTS.items())
+    return F.struct(F.lit(kind).alias("kind"), *slots).cast(ATTRIBUTE)
 
 
 def entries(column: str) -> Column:

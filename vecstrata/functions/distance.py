@@ -80,10 +80,11 @@ def register_sql(spark: SparkSession) -> None:
     """Make the distances callable from SQL text in this session."""
     pairs = "zip_with(a, b, (x, y) -> {})"
     dot = "aggregate(zip_with({0}, {1}, (x, y) -> x * y), 0D, (s, v) -> s + v)"
+    norms = f"sqrt({dot.format('a', 'a')}) * sqrt({dot.format('b', 'b')})"
     bodies = {
         Metric.L2: "aggregate(" + pairs.format("(x - y) * (x - y)") + ", 0D, (s, v) -> s + v)",
         Metric.DOT: "-" + dot.format("a", "b"),
-        Metric.COSINE: f"CASE WHEN sqrt({dot.format('a', 'a')}) * sqrt({dot.format('b', 'b')}) = 0 THEN 1D ELSE 1 - {dot.format('a', 'b')} / (sqrt({dot.format('a', 'a')}) * sqrt({dot.format('b', 'b')})) END",
+        Metric.COSINE: f"CASE WHEN {norms} = 0 THEN 1D ELSE 1 - {dot.format('a', 'b')} / ({norms}) END",
     }
     for name, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN {body}")

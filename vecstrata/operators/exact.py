@@ -91,8 +91,9 @@ def knn_batch(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, metri
                     both, far = np.r_[best[i][0], ids[at]], np.r_[best[i][1], dist]
                     order = np.lexsort((both, far))[:k]
                     best[i] = both[order], far[order]
-            n = [len(b[0]) for b in best]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], names=["qid", "id", "dist"])
+            found, far = (np.concatenate([b[k] for b in best]) for k in (0, 1))
+            owner = np.repeat(qids, [len(b[0]) for b in best])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(found), pa.array(far)], names=["qid", "id", "dist"])
 
         part = docs.where(F.size("vector") == vectors.shape[1]).select("id", "vector").mapInArrow(score, "qid long, id long, dist double")
         out = part if out is None else out.union(part)

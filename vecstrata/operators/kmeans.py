@@ -56,7 +56,8 @@ def divide(rows: np.ndarray, parts: int) -> list[np.ndarray]:
 
 def centroid_mean(rows: DataFrame, key: str, vector: str = "vector") -> DataFrame:
     """(key, centroid): the mean of each component, by grouped averages alone."""
-    parts = rows.where(F.col(vector).isNotNull()).select(key, F.posexplode(vector).alias("pos", "v")).groupBy(key, "pos").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    numbers = rows.where(F.col(vector).isNotNull()).select(key, F.posexplode(vector).alias("pos", "v"))
+    parts = numbers.groupBy(key, "pos").agg(F.avg(F.col("v").cast("double")).alias("m"))
     return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("centroid"))
 
 
