@@ -24,7 +24,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(low, "u")
+    joined = both.join(low.hint("merge"), "u")  # at no size by broadcast: a dozen rounds would leave theirs on the driver
     if large:
         out = joined.where("v > u").select(F.col("v").alias("b"), F.col("m").alias("a"))
     else:
