@@ -124,3 +124,46 @@ def test_held_out_accuracy(spark):
     said = {r.doc_id: r.is_secret for r in secret_scan.scan(docs).collect() if r.value == rows[r.doc_id].value}
     right = [said[i] == bool(rows[i].label) for i in said]
     assert len(right) > 0.7 * len(rows) and sum(right) >= 0.97 * len(right)
+
+
+def plain_features(v: str, words: tuple[str, ...]) -> dict[str, float]:
+    """What some of the features are, by their definitions, over the whole value."""
+    usual, letters = set(secret_scan.usual_pairs(words)), re.sub("[^A-Za-z]", "", v).lower()
+    turns = v
+    for kind, sign in (("[a-z]+", "a"), ("[A-Z]+", "b"), ("[0-9]+", "c"), ("[^abc]+", "d")):
+        turns = re.sub(kind, sign, turns)
+    return {
+        "size": len(v), "digits": sum(c in "0123456789" for c in v) / len(v), "upper": len(re.findall("[A-Z]", v)) / len(v),
+        "signs": len(re.findall("[^A-Za-z0-9]", v)) / len(v), "turns": len(turns) / len(v),
+        "pairs": sum(letters[i : i + 2] in usual for i in range(len(letters) - 1)) / (len(letters) - 1) if len(letters) > 1 else 0,
+        "covered": sum(len(w) for w in re.findall("[A-Z]?[a-z]{2,}|[A-Z]{3,}", v) if w.lower() in words) / len(v),
+        "distinct": len(set(v)) / min(len(v), 32), "hex": bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", v)),
+        "placeholder": bool(re.search("example|x{4,}|^your_", v)),
+    }
+
+
+def test_features_describe_whole_values(spark):
+    rng, words = np.random.default_rng(4), tuple(secret_scan.WORDS)
+    some = lambda signs, n: "".join(rng.choice(list(signs), n))
+    heads = ["a" * 128, "secretTokenValue" * 8, some("0123456789abcdef", 128), "k7", "z", "\U0001f511q" * 64]
+    tails = ["9" * 128, some("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 900), "/the_public_number" * 30, "\U0001f511\n\u4e2d" + "x" * 300 + "y", "ef" * 300 + "_example", ""]
+    values = [h + t for h in heads for t in tails]
+    findings = spark.createDataFrame([(v, "", "", "", float(i)) for i, v in enumerate(values)], "value string, before string, after string, path string, label double")
+    rows = {int(r.label): r for r in secret_scan.described(findings, words).collect()}
+    for i, v in enumerate(values):
+        for name, x in plain_features(v, words).items():
+            assert np.isclose(rows[i][name], x), (v, name)
+
+
+def test_what_stands_after_128_characters_counts(spark):
+    head = "".join(np.random.default_rng(6).choice(list("0123456789abcdef"), 130))
+    docs = spark.createDataFrame([(1, f"api_key={head}{'4d' * 40}"), (2, f"api_key={head}{'-example-placeholder' * 4}")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in secret_scan.scan(docs).collect()}
+    assert rows[1].length == rows[2].length == 210 and rows[1].score > rows[2].score
+
+
+def test_a_very_long_candidate_is_scored_whole(spark):
+    key = "".join(np.random.default_rng(7).choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 500_000))
+    docs = spark.createDataFrame([(1, f"secret={key} end")], "doc_id long, text string")
+    assert [(r.start, r.value == key) for r in secret_scan.scan(docs).collect()] == [(7, True)]
+    assert "end" in secret_scan.redact(docs).first().text

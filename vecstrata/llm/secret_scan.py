@@ -20,8 +20,8 @@ placeholders, references to variables and dictionary words.
 
 Null text has no candidates; a null path counts as empty.  Repeated rows are scanned each
 for itself.  Where candidates overlap, the leftmost counts, then the order of the pattern's
-parts; dictionary ties fall alphabetically.  Texts are scanned whole, however long; only the
-features look at no more than the first ``SEEN`` characters of a candidate.  Further columns,
+parts; dictionary ties fall alphabetically.  Texts are scanned whole, however long, and the
+features describe the whole candidate, in a time that grows with its length.  Further columns,
 whatever their names, are carried.  An empty table gives an empty result.
 """
 
@@ -39,9 +39,8 @@ from pyspark.sql import functions as F
 from .common import Carried
 
 FIT_ROWS, TREES, DEPTH, SEED = 4000, 25, 9, 5
-#: Words of the dictionary, documents that have each, letter pairs taken for usual, characters
-#: that the features look at.
-DICTIONARY, LEAST_DOCS, PAIRS, SEEN = 1000, 5, 220, 128
+#: Words of the dictionary, documents that have each, letter pairs taken for usual.
+DICTIONARY, LEAST_DOCS, PAIRS = 1000, 5, 220
 MARK = "[SECRET]"
 
 # Forms of secrets and the words around them.
@@ -96,6 +95,15 @@ def usual_pairs(words: tuple[str, ...], most: int = PAIRS) -> list[str]:
     return sorted(n, key=lambda p: (-n[p], p))[:most]
 
 
+def no_usual_pair(words: tuple[str, ...]) -> str:
+    """A pattern of the letters (a to z) that do not begin a usual pair where they stand."""
+    then: dict[str, str] = {}
+    for a, b in usual_pairs(words):
+        then[a] = then.get(a, "") + b
+    never = "".join(c for c in _LOWER if c not in then)
+    return "|".join([*(f"{a}(?![{b}])" for a, b in then.items()), *([f"[{never}]"] if never else [])])
+
+
 def let(name: str, value: str, body: str) -> str:
     """SQL: ``body`` with ``value`` computed once under ``name``.  A lambda variable is never
     inlined again by the optimizer, as a column of a select below would be."""
@@ -104,7 +112,6 @@ def let(name: str, value: str, body: str) -> str:
 
 def features(value: str, before: str, after: str, path: str, words: tuple[str, ...]) -> str:
     """SQL of the struct of FEATURES, all doubles, from SQL of the four strings."""
-    listed = lambda rows: "(" + ", ".join(f"'{w}'" for w in rows) + ")"
     book, v = f"split('{' '.join(words)}', ' ')", "fv"  # one folded literal: a list of literals costs the planner much memory
     flag = lambda text, pattern: f"rlike({text}, r'{pattern}')"
     share = lambda kind: f"length(regexp_replace({v}, '[^{kind}]', '')) / length({v})"
@@ -114,17 +121,18 @@ def features(value: str, before: str, after: str, path: str, words: tuple[str, .
     parts = rf"regexp_extract_all({v}, r'\p{{Lu}}?\p{{Ll}}{{2,}}|\p{{Lu}}{{3,}}', 0)"
     covered = f"aggregate({parts}, 0, (a, w) -> a + IF(array_contains(fd, lower(w)), length(w), 0)) / length({v})"
     letters = f"lower(regexp_replace({v}, '[^A-Za-z]', ''))"
-    pairs = let("fl", letters, f"IF(length(fl) < 2, 0, size(filter(sequence(1, length(fl) - 1), i -> substring(fl, i, 2) IN {listed(usual_pairs(words))})) / (length(fl) - 1))")
+    pairs = let("fl", letters, f"IF(length(fl) < 2, 0, length(regexp_replace(fl, '{no_usual_pair(words)}', '')) / (length(fl) - 1))")
     prose = let("fw", rf"regexp_extract_all(lower({before}), r'\p{{Ll}}{{2,}}', 0)", f"IF(size(fw) = 0, 0, size(filter(fw, w -> array_contains(fd, w))) / size(fw))")
+    lasts = rf"regexp_replace({v}, r'(?s)(.)(?=.{{0,255}}?\1)', '')"  # each character is there still, a long value's few times
     cols = [
-        f"length({value})", share("0-9"), share("A-Z"), f"1 - {share('A-Za-z0-9')}", f"length({turns}) / length({v})", pairs, covered,
-        f"size(array_distinct(split({v}, ''))) / least(length({v}), 32)",
+        f"length({v})", share("0-9"), share("A-Z"), f"1 - {share('A-Za-z0-9')}", f"length({turns}) / length({v})", pairs, covered,
+        f"size(array_distinct(split({lasts}, ''))) / least(length({v}), 32)",
         flag(v, "^([0-9a-f]+|[0-9A-F]+)$"), flag(v, KNOWN), flag(before, KEYWORD), flag(before, ADDRESS), flag(before, HARMLESS),
         flag(before, r"[=:]>?\s*[\x22\x27]?$"), flag(before, r"[\x22\x27]$") + " AND " + flag(after, r"^[\x22\x27]"), flag(v, PLACEHOLDER), prose,
         flag(path, "(?i)(test|example|sample|fixture|mock|docs?)(/|$|[._-])"), f"size(split({path}, '/'))",
     ]
     made = "named_struct(" + ", ".join(f"'{n}', CAST({c} AS DOUBLE)" for n, c in zip(FEATURES, cols)) + ")"
-    return let("fd", book, let("fv", f"left({value}, {SEEN})", made))
+    return let("fd", book, let("fv", value, made))
 
 
 KEYS = (
