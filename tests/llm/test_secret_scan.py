@@ -167,3 +167,20 @@ def test_a_very_long_candidate_is_scored_whole(spark):
     docs = spark.createDataFrame([(1, f"secret={key} end")], "doc_id long, text string")
     assert [(r.start, r.value == key) for r in secret_scan.scan(docs).collect()] == [(7, True)]
     assert "end" in secret_scan.redact(docs).first().text
+
+
+def test_a_forest_is_a_few_expressions():
+    """Nested conditions, thousands of them, filled the driver's parser and plans."""
+    rng = np.random.default_rng(2)
+    x, y = rng.random((600, len(secret_scan.FEATURES))), rng.integers(0, 2, 600).astype(float)
+    forest = [secret_scan.grow(x, y, rng) for _ in range(secret_scan.TREES)]
+    said = secret_scan.as_sql(forest)
+    assert len(re.findall(r"\b(?:CASE|WHEN|IF|AND)\b", said)) < 10 and sum(t.depth() > 4 for t in forest) == secret_scan.TREES
+
+
+def test_trees_of_one_leaf_and_of_unequal_depth(spark):
+    leaf, tree = secret_scan.Tree(1.0), secret_scan.Tree(0.0, 1, 0.25, secret_scan.Tree(0.0), secret_scan.Tree(1.0, 0, 8.0, secret_scan.Tree(1.0), secret_scan.Tree(0.0)))
+    x = "named_struct(" + ", ".join(f"'{f}', {v}" for f, v in zip(secret_scan.FEATURES, ["size", "digits", *["0D"] * 17])) + ")"
+    rows = spark.createDataFrame([(9.0, 0.25), (8.0, 0.5), (8.5, 0.5)], "size double, digits double").select(F.expr(x).alias("x"))
+    assert [r[0] for r in rows.select(F.expr(secret_scan.as_sql([leaf, tree]))).collect()] == [0.5, 1.0, 0.5]
+    assert [r[0] for r in rows.select(F.expr(secret_scan.as_sql([secret_scan.Tree(0.0)]))).collect()] == [0.0] * 3

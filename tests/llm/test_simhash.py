@@ -190,3 +190,13 @@ def test_callers_columns_come_back(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", *range(8)), (2, "a b c d e f", *range(8)), (3, None, *range(8))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
     got = simhash.keep_one(docs)
     assert got.columns == docs.columns and sorted(tuple(r)[2:] for r in got.collect()) == [tuple(range(8))] * 2
+
+
+def test_a_star_step_reads_its_edges_twice(spark):
+    """Its plan is planned and reported anew after each of its stages, on the driver."""
+    edges = graph.materialize(spark.createDataFrame([(0, 1), (1, 2), (0, 5)], "a long, b long"), "edges")
+    for large, want in ((True, {(0, 1), (0, 2), (0, 5)}), (False, {(0, 1), (1, 2), (0, 5)})):
+        out = graph._star(edges, large)
+        assert {(r.a, r.b) for r in out.collect()} == want
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") <= 2 and "Union" not in plan

@@ -3,7 +3,7 @@
 Alternating large-star and small-star steps: each is one grouped minimum (combined on the
 map side, so a hub costs no task more than others) and one join that adaptive execution
 can split.  Every step's edges are written to shared scratch, the step before is deleted,
-and the loop ends when a step changes nothing.
+and the loop ends when two steps, one of each, change nothing.
 """
 
 from __future__ import annotations
@@ -17,18 +17,19 @@ from .common import written as materialize
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link the neighbours of each node u (only larger ones, or only smaller ones and u
-    itself) to the smallest of u and its neighbours."""
-    if large:
-        half = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        both = half.union(half.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    itself) to the smallest of u and its neighbours, for written ``edges`` (a < b).
+
+    What needs two rows of an edge makes them in place: a union would repeat all that stands
+    above it, and adaptive execution plans and reports the whole plan anew after each stage."""
+    pair = lambda x, u, y, v: F.struct(F.col(u).alias(x), F.col(v).alias(y))
+    own = pair("u", "b", "v", "a")
+    both = edges.select(F.inline(F.array(own, pair("u", "a", "v", "b")) if large else F.array(own)))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     joined = both.join(low.hint("merge"), "u")  # at no size by broadcast: a dozen rounds would leave theirs on the driver
     if large:
         out = joined.where("v > u").select(F.col("v").alias("b"), F.col("m").alias("a"))
     else:
-        out = joined.select(F.col("v").alias("b"), F.col("m").alias("a")).union(low.select(F.col("u").alias("b"), F.col("m").alias("a")))
+        out = joined.select(F.inline(F.array(pair("b", "v", "a", "m"), pair("b", "u", "a", "m"))))
     return out.where("a <> b").select("a", "b").distinct()
 
 
@@ -47,8 +48,10 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     for _ in range(most):
         if not state[0]:
             break
-        after, then = _settled(_star(_star(now, True), False))
+        half = materialize(_star(now, True), "edges")
         discard(now)
+        after, then = _settled(_star(half, False))
+        discard(half)
         before, now, state = state, after, then
         if state == before:
             break
