@@ -24,12 +24,12 @@ def hybrid_knn(
     keep = (lambda df: df.join(allowed, "id", "left_semi")) if allowed is not None else lambda df: df
     if index is None:
         return knn_batch(keep(documents.where("vector IS NOT NULL")), queries, k, metric)
-    found = keep(ann_candidates(queries, index["heads"], index["postings"], index["versions"], config or IndexConfig(), metric, index.get("parts")))
+    gone = tail_ops.select("id") if tail_ops is not None else None
+    found = ann_candidates(queries, index["heads"], index["postings"], index["versions"], config or IndexConfig(), metric, index.get("parts"), k=max(k, 0), without=gone, allowed=allowed)
     if tail_ops is None:
         return rank_by_query(found, k)
-    kept = found.join(tail_ops.select("id"), "id", "left_anti").select("qid", "id", "dist")
     fresh = knn_batch(keep(tail_ops.where("op = 'upsert' AND vector IS NOT NULL")), queries, k, metric).select("qid", "id", "dist")
-    return rank_by_query(kept.unionByName(fresh), k)
+    return rank_by_query(found.unionByName(fresh), k)
 
 
 def hydrate(hits: DataFrame, documents: DataFrame, include_vectors: bool = False) -> DataFrame:
